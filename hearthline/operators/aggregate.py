@@ -5,13 +5,14 @@ A series is one long table; weights are the long table of operators.weights.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import date
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hearthline.operators.weights import NATION, nearest_period, within
+from hearthline.session import cut_lineage
 
 
 def _up_to_here(*keys: str) -> Window:
@@ -129,6 +130,7 @@ def aggregate_hierarchy(
 
     raw: tract_id, period, weight_type, raw, of one weight type. mapping: one column per
     level. The weight of an area in its parent is the sum of its tracts' raw weights.
+    Each level's series is materialised before the next is planned.
     """
     if NATION not in mapping.columns:
         mapping = mapping.withColumn(NATION, F.lit("USA"))
@@ -144,7 +146,9 @@ def aggregate_hierarchy(
             .agg(F.sum("raw").alias("raw"))
             .join(links, "tract_id")
         )
-        results[parent] = laspeyres(current, within(sums, "geography_id"), links)
+        result = laspeyres(current, within(sums, "geography_id"), links)
+        # Every level above reads this small table several times.
+        results[parent] = replace(result, values=cut_lineage(result.values))
         current = results[parent].values.select(F.col("geography_id").alias("tract_id"), "date", "index_value")
     return results
 

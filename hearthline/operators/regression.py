@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from hearthline.config import FitOptions
 from hearthline.functions.columns import log_ratio, period_number, period_start
 from hearthline.functions.least_squares import PeriodSystem
+from hearthline.session import spread
 
 FIT_FIELDS = (
     "first_period int, num_periods int, log_returns array<double>, standard_errors array<double>, "
@@ -214,7 +215,7 @@ def solve_cells(cells: DataFrame, keys: list[str], options: FitOptions = FitOpti
         return pd.DataFrame([row], columns=columns)
 
     schema = f"{key_fields(cells, keys)}, {FIT_FIELDS}"
-    return cells.groupBy(*keys).applyInPandas(solve, schema)
+    return spread(cells, keys).groupBy(*keys).applyInPandas(solve, schema)
 
 
 def fit_repeat_sales(
@@ -278,30 +279,32 @@ def residuals(
     )
 
 
-def optimality(pairs: DataFrame, fits: DataFrame, keys: list[str], options: FitOptions = FitOptions()) -> DataFrame:
-    """Largest absolute entry of X'e per group, zero at a least-squares solution."""
-    rows = residuals(pairs, fits, keys, options).groupBy(*keys, "first_period", "second_period").agg(
-        F.sum("residual").alias("r"), F.count(F.lit(1)).alias("n")
+def optimality(rows: DataFrame, fits: DataFrame, keys: list[str], weight: str | None = None) -> DataFrame:
+    """Largest absolute entry of X'We per group, zero at a least-squares solution.
+
+    rows: the output of residuals, or of a weighted fit with its weight column.
+    """
+    pull = F.col("residual") if weight is None else F.col("residual") * F.col(weight)
+    cells = rows.groupBy(*keys, "first_period", "second_period").agg(
+        F.sum(pull).alias("r"), F.count(F.lit(1)).alias("n")
     )
-    signed = F.explode(
+    ends = F.explode(
         F.array(
-            F.struct(F.col("first_period").alias("period"), (-F.col("r")).alias("r"), F.col("n").alias("n")),
+            F.struct(F.col("first_period").alias("period"), (-F.col("r")).alias("r"), F.col("n")),
             F.struct(F.col("second_period").alias("period"), F.col("r"), F.lit(0).cast("bigint").alias("n")),
         )
     )
     per_period = (
-        rows.select(*keys, signed.alias("e"))
+        cells.select(*keys, ends.alias("e"))
         .groupBy(*keys, F.col("e.period").alias("period"))
         .agg(F.sum("e.r").alias("r"), F.sum("e.n").alias("n"))
     )
     origins = fits.select(*keys, F.col("first_period").alias("_origin"))
+    free = F.when(F.col("period") != F.col("_origin"), F.abs("r")).otherwise(F.lit(0.0))
     return (
         per_period.join(origins, keys)
         .groupBy(*keys)
-        .agg(
-            F.max(F.when(F.col("period") != F.col("_origin"), F.abs("r")).otherwise(F.lit(0.0))).alias("gradient"),
-            F.sum("n").alias("n_pairs"),
-        )
+        .agg(F.max(free).alias("gradient"), F.sum("n").alias("n_pairs"))
     )
 
 
@@ -330,7 +333,7 @@ def leverage_cells(cells: DataFrame, keys: list[str]) -> DataFrame:
         return out
 
     schema = f"{key_fields(cells, keys)}, first_period int, second_period int, leverage double"
-    return cells.groupBy(*keys).applyInPandas(diagonal, schema)
+    return spread(cells, keys).groupBy(*keys).applyInPandas(diagonal, schema)
 
 
 def period_returns(series: DataFrame, keys: list[str], length: str = "quarterly") -> DataFrame:

@@ -30,7 +30,7 @@ from hearthline.operators.regression import (
     with_periods,
     within_dates,
 )
-from hearthline.session import cut_lineage
+from hearthline.session import cut_lineage, spread
 
 ROBUST_FIELDS = (
     f"{FIT_FIELDS}, iterations int, converged boolean, final_change double, "
@@ -133,7 +133,7 @@ def _fit_in_task(rows: DataFrame, keys: list[str], options: RobustOptions, min_p
         row = _finish(key, origin, size, sums(weights), (done, converged, change), beta, start, scale, all_pairs)
         return pd.DataFrame([row], columns=[*keys, *_NAMES])
 
-    return rows.groupBy(*keys).applyInPandas(fit, f"{key_fields(rows, keys)}, {ROBUST_FIELDS}")
+    return spread(rows, keys).groupBy(*keys).applyInPandas(fit, f"{key_fields(rows, keys)}, {ROBUST_FIELDS}")
 
 
 def _weighted_cells(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -157,7 +157,7 @@ def _solve_weighted(cells: DataFrame, keys: list[str]) -> DataFrame:
         beta = PeriodSystem(size, first - origin, second - origin, w, mean).solve()
         return pd.DataFrame([[*key, int(origin), beta.tolist()]], columns=names)
 
-    return cells.groupBy(*keys).applyInPandas(
+    return spread(cells, keys).groupBy(*keys).applyInPandas(
         solve, f"{key_fields(cells, keys)}, _origin int, beta array<double>"
     )
 
@@ -240,7 +240,7 @@ def _fit_by_aggregates(rows: DataFrame, keys: list[str], options: RobustOptions,
         )
         return pd.DataFrame([row], columns=[*keys, *_NAMES])
 
-    return cells.groupBy(*keys).applyInPandas(finish, f"{key_fields(rows, keys)}, {ROBUST_FIELDS}")
+    return spread(cells, keys).groupBy(*keys).applyInPandas(finish, f"{key_fields(rows, keys)}, {ROBUST_FIELDS}")
 
 
 def fit_robust(

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hearthline.config import SupertractOptions
-from hearthline.session import cut_lineage
+from hearthline.session import cut_lineage, spread
 
 FIELDS = (
     "year int, region string, supertract_id string, component_tract_ids array<string>, "
@@ -142,7 +142,7 @@ def build_supertracts(
         out += [[*key, f"super_{t}", [t], counts[t], False] for t in counts if t not in short]
         return pd.DataFrame(out, columns=[f.split()[0] for f in FIELDS.split(", ")])
 
-    return rows.groupBy("year", "region").applyInPandas(merge, FIELDS)
+    return spread(rows, ["year", "region"]).groupBy("year", "region").applyInPandas(merge, FIELDS)
 
 
 def tract_bridge(supertracts: DataFrame) -> DataFrame:

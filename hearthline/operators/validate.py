@@ -85,10 +85,10 @@ def explain_pairs(pairs: DataFrame, rules: ValidationRules = ValidationRules())
         (F.abs(calendar_months()) < rules.min_months, "Transactions within same 12-month period"),
         (
             F.abs(growth) > rules.max_cagr,
-            F.format_string(f"CAGR %.2f%% exceeds ±{rules.max_cagr:.0%}% threshold", growth * 100),
+            F.format_string(f"CAGR %.2f%% exceeds ±{rules.max_cagr:.0%}% threshold", F.bround(growth * 100, 2)),
         ),
-        (ratio > rules.max_ratio, F.format_string(f"Appreciation %.2fx exceeds {high}x threshold", ratio)),
-        (ratio < rules.min_ratio, F.format_string(f"Appreciation %.2fx below {low}x threshold", ratio)),
+        (ratio > rules.max_ratio, F.format_string(f"Appreciation %.2fx exceeds {high}x threshold", F.bround(ratio, 2))),
+        (ratio < rules.min_ratio, F.format_string(f"Appreciation %.2fx below {low}x threshold", F.bround(ratio, 2))),
         (
             ~holds((clean_number("first_sale_price") > 0) & (clean_number("second_sale_price") > 0)),
             "Invalid price (must be positive)",

@@ -94,12 +94,12 @@ def check_sets(weights: DataFrame, rules: WeightRules = WeightRules()) -> DataFr
     total, largest = F.col("total"), F.col("largest")
     issues = F.array_compact(
         F.array(
-            F.when(F.abs(total - 1) >= rules.tolerance, F.format_string("Weights not normalized: sum = %.6f", total)),
+            F.when(F.abs(total - 1) >= rules.tolerance, F.format_string("Weights not normalized: sum = %.6f", F.bround(total, 6))),
             F.when(F.col("negative") > 0, F.format_string("Negative weights found for %d tracts", F.col("negative"))),
             F.when(F.abs(total) < rules.tolerance, F.lit("Total weight is zero or near zero")),
             F.when(
                 largest > rules.dominance,
-                F.format_string("Dominant weights found: %s = %.3f", F.col("largest_tract"), largest),
+                F.format_string("Dominant weights found: %s = %.3f", F.col("largest_tract"), F.bround(largest, 3)),
             ),
         )
     )
@@ -124,7 +124,7 @@ def incomplete_sets(weights: DataFrame, demographics: DataFrame) -> DataFrame:
     return (
         both.join(wanted, [*SET, "tract_id"], "full")
         .groupBy(*SET)
-        .agg(F.count_if("_given is null").alias("missing"), F.count_if("_wanted is null").alias("unexpected"))
+        .agg(F.count_if(F.col("_given").isNull()).alias("missing"), F.count_if(F.col("_wanted").isNull()).alias("unexpected"))
         .where("missing > 0 or unexpected > 0")
     )
 
@@ -219,7 +219,7 @@ def adjustment_report(original: DataFrame, adjusted: DataFrame, rules: WeightRul
         .agg(
             F.count("_old").alias("original_tract_count"),
             F.count("_new").alias("adjusted_tract_count"),
-            F.count_if("_old is not null and _new is null").alias("tracts_dropped"),
+            F.count_if(F.col("_old").isNotNull() & F.col("_new").isNull()).alias("tracts_dropped"),
             F.sum("_old").alias("original_total_weight"),
             F.sum("_new").alias("adjusted_total_weight"),
         )

@@ -1,4 +1,4 @@
-"""From pairs to an index per geography, as one lazy plan."""
+"""From pairs to an index per geography."""
 
 from __future__ import annotations
 
@@ -15,6 +15,7 @@ from hearthline.operators.regression import fit_repeat_sales, index_series
 from hearthline.operators.robust import fit_robust
 from hearthline.operators.supertracts import build_supertracts, tract_bridge
 from hearthline.operators.weights import NATION, merged_national, raw_weights, within
+from hearthline.session import cut_lineage
 
 LEVELS = ("tract", "cbsa", "state", "national")
 
@@ -83,14 +84,15 @@ def estimate_indices(
     """Supertracts of every year, one regression per supertract, weighted aggregation.
 
     pairs are the valid pairs; tracts has tract_id, cbsa_id and state. A supertract with
-    fewer than the minimum of pairs gets no regression. With robust set, the fits are
-    M-estimates and counting jobs run at once.
+    fewer than the minimum of pairs gets no regression. The supertracts, a small table
+    that several steps read, are materialised at once; with robust set, the fits are
+    M-estimates and counting jobs run as well.
     """
     if level not in LEVELS:
         raise ValueError(f"unknown level: {level}")
     span = _analysis_span(pairs, start, end)
     counts = _in_span(half_pairs(pairs), "year", span)
-    supertracts = build_supertracts(counts, tracts, adjacency, supertract_options, regions)
+    supertracts = cut_lineage(build_supertracts(counts, tracts, adjacency, supertract_options, regions))
     bridge = tract_bridge(supertracts)
     assigned = pairs.join(bridge, "tract_id", "left").withColumn(
         "supertract_id", F.coalesce("supertract_id", F.concat(F.lit("super_"), "tract_id"))

@@ -59,6 +59,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Hash by key into the session's shuffle partitions, whatever the size.
+
+    Solving a group costs far more than its few rows suggest, so the partitions must not
+    be merged by size. A grouped map on the same keys needs no further shuffle.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write once as Parquet in the shared checkpoint folder and read back.
 

@@ -43,7 +43,7 @@ def _factor():
     """Price of a line relative to its part's list price."""
     return (
         (1 - F.col("l_discount")) * (1 + F.col("l_tax")) * (1 + F.col("l_quantity") / 50)
-        * F.exp(F.lit(0.04) * (F.year("l_shipdate") - 1995))
+        * F.exp(F.lit(0.04) * (F.year("l_shipdate") - 1994))
     )
 
 
