@@ -273,9 +273,10 @@ def fit_robust(
         .where(F.col("log_change").isNotNull())
     )
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    large = cut_lineage(sizes.where(F.col("_rows") > robust.rows_per_task).select(*keys))
+    large = sizes.where(F.col("_rows") > robust.rows_per_task).select(*keys)
     if large.isEmpty():
         return _fit_in_task(rows, keys, robust, options.min_pairs)
+    large = cut_lineage(large)
     by_aggregates = _fit_by_aggregates(rows.join(large, keys, "left_semi"), keys, robust, options.min_pairs)
     in_task = _fit_in_task(rows.join(large, keys, "left_anti"), keys, robust, options.min_pairs)
     return in_task.unionByName(by_aggregates)

@@ -23,14 +23,29 @@ QUERIES: dict[str, Query] = {}
 AREA = ["cbsa_id"]
 
 
-def query(build: Query) -> Query:
-    """Register a query under its function's name, with doubles rounded for comparison."""
+def _register(build, run) -> None:
+    def rounded_run(spark: SparkSession, folder: str) -> DataFrame:
+        return rounded(run(ship_package(spark), folder))
 
-    def run(spark: SparkSession, folder: str) -> DataFrame:
-        return rounded(build(ship_package(spark), folder))
+    rounded_run.__doc__ = build.__doc__
+    QUERIES[build.__name__] = rounded_run
 
-    run.__doc__ = build.__doc__
-    QUERIES[build.__name__] = run
+
+def query(build):
+    """Register a query over the daily table, under its function's name."""
+    _register(build, lambda spark, folder: build(retail.daily(spark, folder)))
+    return build
+
+
+def staged_query(build):
+    """The same for a query that reads several tables made from the daily one."""
+    _register(build, lambda spark, folder: build(staged(retail.daily(spark, folder), "daily")))
+    return build
+
+
+def table_query(build):
+    """The same for a query over the source tables themselves."""
+    _register(build, build)
     return build
 
 
@@ -44,42 +59,42 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     )
 
 
-def _valid(spark, folder):
-    return validate.valid_pairs(retail.pairs(spark, folder))
+def _valid(days):
+    return validate.valid_pairs(retail.pairs(days))
 
 
-def _spaced(spark, folder):
+def _spaced(days):
     """Pairs at least a year apart, extreme growth included."""
-    checked = validate.validate_pairs(retail.pairs(spark, folder)).where("valid_time_diff and valid_prices and valid_dates")
+    checked = validate.validate_pairs(retail.pairs(days)).where("valid_time_diff and valid_prices and valid_dates")
     return checked.select(*pairing.SALE_COLUMNS[:3], *[c for c in checked.columns if c.endswith(("sale_date", "sale_price"))])
 
 
-def _tract_levels(spark, folder):
+def _tract_levels(days):
     """A tract series: mean price ratio of the valid pairs by month of the second sale."""
     return (
-        _valid(spark, folder)
+        _valid(days)
         .groupBy("tract_id", F.trunc("second_sale_date", "MM").alias("date"))
         .agg(F.round(100 * F.avg(F.col("second_sale_price") / F.col("first_sale_price")), 4).alias("index_value"))
     )
 
 
-def _area_levels(spark, folder):
+def _area_levels(days):
     """An area series with its year."""
     return (
-        _valid(spark, folder)
+        _valid(days)
         .groupBy(F.col("cbsa_id").alias("geography_id"), F.trunc("second_sale_date", "MM").alias("date"))
         .agg(F.round(100 * F.avg(F.col("second_sale_price") / F.col("first_sale_price")), 4).alias("index_value"))
         .withColumn("year", F.year("date"))
     )
 
 
-def _area_weights(spark, folder, kind="value"):
-    return weights.within(weights.raw_weights(retail.demographics(spark, folder), (kind,)), "cbsa_id")
+def _area_weights(days, kind="value"):
+    return weights.within(weights.raw_weights(retail.demographics(days), (kind,)), "cbsa_id")
 
 
-def _recent_tracts(spark, folder):
+def _recent_tracts(days):
     """Tracts with enough valid half-pairs in some year."""
-    counts = panel.half_pairs(_valid(spark, folder))
+    counts = panel.half_pairs(_valid(days))
     return counts.where("half_pairs >= 40").select("tract_id").distinct()
 
 
@@ -87,16 +102,16 @@ def _recent_tracts(spark, folder):
 
 
 @query
-def sales_by_property_day(spark, folder):
-    return retail.sales(spark, folder)
+def sales_by_property_day(days):
+    return retail.sales(days)
 
 
 @query
-def repeat_sale_pairs(spark, folder):
-    return retail.pairs(spark, folder)
+def repeat_sale_pairs(days):
+    return retail.pairs(days)
 
 
-@query
+@table_query
 def repeat_sale_pairs_of_lines(spark, folder):
     """Single order lines as sales, so days with several sales are chained too."""
     lines = retail.table(spark, folder, "lineitem").select(
@@ -123,66 +138,66 @@ def _comparable_growth(df):
 
 
 @query
-def pair_metrics(spark, folder):
-    return _comparable_growth(pairing.with_metrics(retail.pairs(spark, folder)))
+def pair_metrics(days):
+    return _comparable_growth(pairing.with_metrics(retail.pairs(days)))
 
 
 @query
-def validated_pairs(spark, folder):
-    return _comparable_growth(validate.validate_pairs(retail.pairs(spark, folder)))
+def validated_pairs(days):
+    return _comparable_growth(validate.validate_pairs(retail.pairs(days)))
 
 
 @query
-def explained_pairs(spark, folder):
-    return validate.explain_pairs(retail.pairs(spark, folder)).select(
+def explained_pairs(days):
+    return validate.explain_pairs(retail.pairs(days)).select(
         "property_id", "first_sale_date", "second_sale_date", "accepted", "message"
     )
 
 
 @query
-def rejection_reason_counts(spark, folder):
-    return validate.rejection_counts(validate.validate_pairs(retail.pairs(spark, folder)))
+def rejection_reason_counts(days):
+    return validate.rejection_counts(validate.validate_pairs(retail.pairs(days)))
 
 
 @query
-def validation_report(spark, folder):
-    return validate.validation_report(validate.validate_pairs(retail.pairs(spark, folder)))
+def validation_report(days):
+    return validate.validation_report(validate.validate_pairs(retail.pairs(days)))
 
 
 @query
-def validation_rule_rates(spark, folder):
-    return validate.rule_rates(validate.validate_pairs(retail.pairs(spark, folder)))
+def validation_rule_rates(days):
+    return validate.rule_rates(validate.validate_pairs(retail.pairs(days)))
 
 
 @query
-def screened_pairs(spark, folder):
-    return validate.screen_pairs(retail.pairs(spark, folder))
+def screened_pairs(days):
+    return validate.screen_pairs(retail.pairs(days))
 
 
 @query
-def screen_rate(spark, folder):
-    return validate.screen_rate(retail.pairs(spark, folder))
+def screen_rate(days):
+    return validate.screen_rate(retail.pairs(days))
 
 
 @query
-def pairs_between_dates(spark, folder):
-    return regression.within_dates(retail.pairs(spark, folder), date(1998, 1, 1), date(1999, 12, 31))
+def pairs_between_dates(days):
+    return regression.within_dates(retail.pairs(days), date(1998, 1, 1), date(1999, 12, 31))
 
 
 @query
-def pairs_of_areas(spark, folder):
+def pairs_of_areas(days):
     """Column-in-list filters; the unknown column is ignored."""
-    return validate.keep_values(retail.pairs(spark, folder), {"cbsa_id": ["10100", "10220"], "unknown": ["x"]})
+    return validate.keep_values(retail.pairs(days), {"cbsa_id": ["10100", "10220"], "unknown": ["x"]})
 
 
 @query
-def annual_market(spark, folder):
-    return market.annual_market(retail.sales(spark, folder))
+def annual_market(days):
+    return market.annual_market(retail.sales(days))
 
 
-@query
-def pairs_against_market(spark, folder):
-    found = market.market_appreciation(retail.pairs(spark, folder), market.annual_market(retail.sales(spark, folder)))
+@staged_query
+def pairs_against_market(days):
+    found = market.market_appreciation(retail.pairs(days), market.annual_market(retail.sales(days)))
     return found.select("property_id", "first_sale_date", "first_year", "second_year", "market_ratio")
 
 
@@ -190,135 +205,135 @@ def pairs_against_market(spark, folder):
 
 
 @query
-def half_pairs_by_tract_year(spark, folder):
-    return panel.half_pairs(_valid(spark, folder))
+def half_pairs_by_tract_year(days):
+    return panel.half_pairs(_valid(days))
 
 
 @query
-def half_pairs_of_sales(spark, folder):
-    return panel.half_pairs_of_sales(_valid(spark, folder))
+def half_pairs_of_sales(days):
+    return panel.half_pairs_of_sales(_valid(days))
 
 
 @query
-def half_pair_panel(spark, folder):
-    return panel.half_pair_panel(_valid(spark, folder), 1996, 2001)
+def half_pair_panel(days):
+    return panel.half_pair_panel(_valid(days), 1996, 2001)
 
 
 @query
-def sufficient_tract_years(spark, folder):
-    return panel.sufficient_years(panel.half_pairs(_valid(spark, folder)), require_prior_year=True)
+def sufficient_tract_years(days):
+    return panel.sufficient_years(panel.half_pairs(_valid(days)), require_prior_year=True)
 
 
 @query
-def tract_demographics(spark, folder):
-    return retail.demographics(spark, folder)
+def tract_demographics(days):
+    return retail.demographics(days)
 
 
-@query
-def tracts_with_latest_demographics(spark, folder):
-    tracts = retail.tracts(spark, folder).select("tract_id", "cbsa_id", "state")
-    return panel.tracts_with_demographics(tracts, retail.demographics(spark, folder))
+@staged_query
+def tracts_with_latest_demographics(days):
+    tracts = retail.tracts(days).select("tract_id", "cbsa_id", "state")
+    return panel.tracts_with_demographics(tracts, retail.demographics(days))
 
 
-@query
-def tracts_with_year_demographics(spark, folder):
-    tracts = retail.tracts(spark, folder).select("tract_id", "cbsa_id", "state")
-    return panel.tracts_with_demographics(tracts, retail.demographics(spark, folder), 1998)
+@staged_query
+def tracts_with_year_demographics(days):
+    tracts = retail.tracts(days).select("tract_id", "cbsa_id", "state")
+    return panel.tracts_with_demographics(tracts, retail.demographics(days), 1998)
 
 
 # --- regression ----------------------------------------------------------------------
 
 
 @query
-def design_entries(spark, folder):
-    return regression.design_entries(_valid(spark, folder), ["property_id", "first_sale_date"])
+def design_entries(days):
+    return regression.design_entries(_valid(days), ["property_id", "first_sale_date"])
 
 
 @query
-def period_grid(spark, folder):
-    return regression.period_grid(_valid(spark, folder), AREA)
+def period_grid(days):
+    return regression.period_grid(_valid(days), AREA)
 
 
 @query
-def period_cells(spark, folder):
-    return regression.period_cells(_valid(spark, folder), AREA)
+def period_cells(days):
+    return regression.period_cells(_valid(days), AREA)
 
 
 @query
-def normal_matrix(spark, folder):
-    return regression.normal_matrix(regression.period_cells(_valid(spark, folder), AREA), AREA)
+def normal_matrix(days):
+    return regression.normal_matrix(regression.period_cells(_valid(days), AREA), AREA)
 
 
 @query
-def normal_moments(spark, folder):
-    return regression.normal_moments(regression.period_cells(_valid(spark, folder), AREA), AREA)
+def normal_moments(days):
+    return regression.normal_moments(regression.period_cells(_valid(days), AREA), AREA)
 
 
 @query
-def area_index_monthly(spark, folder):
-    return regression.index_series(regression.fit_repeat_sales(_valid(spark, folder), AREA), AREA)
+def area_index_monthly(days):
+    return regression.index_series(regression.fit_repeat_sales(_valid(days), AREA), AREA)
 
 
 @query
-def area_index_annual(spark, folder):
+def area_index_annual(days):
     options = FitOptions(period="year")
-    return regression.index_series(regression.fit_repeat_sales(_valid(spark, folder), AREA, options), AREA, options)
+    return regression.index_series(regression.fit_repeat_sales(_valid(days), AREA, options), AREA, options)
 
 
 @query
-def area_fit_summary(spark, folder):
-    return regression.fit_summary(regression.fit_repeat_sales(_valid(spark, folder), AREA), AREA)
+def area_fit_summary(days):
+    return regression.fit_summary(regression.fit_repeat_sales(_valid(days), AREA), AREA)
 
 
-@query
-def area_residuals(spark, folder):
-    valid = staged(_valid(spark, folder), "valid")
+@staged_query
+def area_residuals(days):
+    valid = staged(_valid(days), "valid")
     rows = regression.residuals(valid, regression.fit_repeat_sales(valid, AREA), AREA)
     return rows.select("property_id", "cbsa_id", "first_sale_date", "log_change", "residual")
 
 
-@query
-def area_fit_optimality(spark, folder):
+@staged_query
+def area_fit_optimality(days):
     """Certificate of the solve: X'e is zero, over all pairs of the area."""
-    valid = staged(_valid(spark, folder), "valid")
+    valid = staged(_valid(days), "valid")
     fits = staged(regression.fit_repeat_sales(valid, AREA), "fits")
     return regression.optimality(regression.residuals(valid, fits, AREA), fits, AREA)
 
 
-@query
-def nation_fit_optimality(spark, folder):
+@staged_query
+def nation_fit_optimality(days):
     """The same for one regression over all pairs."""
-    valid = staged(_valid(spark, folder).withColumn("nation", F.lit("USA")), "valid")
+    valid = staged(_valid(days).withColumn("nation", F.lit("USA")), "valid")
     fits = staged(regression.fit_repeat_sales(valid, ["nation"]), "fits")
     return regression.optimality(regression.residuals(valid, fits, ["nation"]), fits, ["nation"])
 
 
 @query
-def index_returns_monthly(spark, folder):
-    return regression.period_returns(_tract_levels(spark, folder), ["tract_id"], "monthly")
+def index_returns_monthly(days):
+    return regression.period_returns(_tract_levels(days), ["tract_id"], "monthly")
 
 
 @query
-def index_returns_quarterly(spark, folder):
-    return regression.period_returns(_tract_levels(spark, folder), ["tract_id"], "quarterly")
+def index_returns_quarterly(days):
+    return regression.period_returns(_tract_levels(days), ["tract_id"], "quarterly")
 
 
 @query
-def index_returns_annual(spark, folder):
-    return regression.period_returns(_tract_levels(spark, folder), ["tract_id"], "annual")
+def index_returns_annual(days):
+    return regression.period_returns(_tract_levels(days), ["tract_id"], "annual")
 
 
 @query
-def index_rebased(spark, folder):
-    return regression.rebase(_tract_levels(spark, folder), ["tract_id"], 1998)
+def index_rebased(days):
+    return regression.rebase(_tract_levels(days), ["tract_id"], 1998)
 
 
 # --- robust --------------------------------------------------------------------------
 
 
 def _robust_index(method):
-    def build(spark, folder):
-        fits = robust.fit_robust(staged(_valid(spark, folder), "valid"), AREA, RobustOptions(method=method))
+    def build(days):
+        fits = robust.fit_robust(staged(_valid(days), "valid"), AREA, RobustOptions(method=method))
         return regression.index_series(fits, AREA)
 
     build.__name__ = f"area_index_{method}"
@@ -329,17 +344,17 @@ for _method in ("huber", "bisquare", "cauchy", "welsch"):
     query(_robust_index(_method))
 
 
-@query
-def robust_fit_optimality(spark, folder):
+@staged_query
+def robust_fit_optimality(days):
     """Certificate of the last weighted solve: X'We is zero."""
-    valid = staged(_valid(spark, folder), "valid")
+    valid = staged(_valid(days), "valid")
     fits = staged(robust.fit_robust(valid, AREA), "fits")
     return regression.optimality(robust.weighted_residuals(valid, fits, AREA), fits, AREA, "weight")
 
 
-@query
-def robust_influence(spark, folder):
-    valid = staged(_valid(spark, folder), "valid")
+@staged_query
+def robust_influence(days):
+    valid = staged(_valid(days), "valid")
     fits = staged(robust.fit_robust(valid, AREA), "fits")
     rows = robust.influence(robust.weighted_residuals(valid, fits, AREA), AREA)
     return rows.select(
@@ -348,9 +363,9 @@ def robust_influence(spark, folder):
     )
 
 
-@query
-def robust_against_ols(spark, folder):
-    valid = staged(_valid(spark, folder), "valid")
+@staged_query
+def robust_against_ols(days):
+    valid = staged(_valid(days), "valid")
     return robust.compare_with_ols(valid, robust.fit_robust(valid, AREA), AREA)
 
 
@@ -358,8 +373,8 @@ def robust_against_ols(spark, folder):
 
 
 @query
-def outlier_flags(spark, folder):
-    flagged = outliers.flag_outliers(retail.pairs(spark, folder))
+def outlier_flags(days):
+    flagged = outliers.flag_outliers(retail.pairs(days))
     return flagged.select(
         "property_id", "first_sale_date", "second_sale_date", "is_cagr", "is_time_gap",
         "is_outlier", "outlier_score", "outlier_reasons",
@@ -367,18 +382,18 @@ def outlier_flags(spark, folder):
 
 
 @query
-def outlier_summary(spark, folder):
-    return outliers.outlier_summary(outliers.flag_outliers(retail.pairs(spark, folder)))
+def outlier_summary(days):
+    return outliers.outlier_summary(outliers.flag_outliers(retail.pairs(days)))
 
 
 @query
-def pairs_without_outliers(spark, folder):
-    return outliers.remove_outliers(retail.pairs(spark, folder))
+def pairs_without_outliers(days):
+    return outliers.remove_outliers(retail.pairs(days))
 
 
-@query
-def outlier_regression_flags(spark, folder):
-    valid = staged(_valid(spark, folder), "valid")
+@staged_query
+def outlier_regression_flags(days):
+    valid = staged(_valid(days), "valid")
     fits = staged(regression.fit_repeat_sales(valid, AREA), "fits")
     flagged = outliers.flag_with_regression(valid, fits, AREA)
     return flagged.select(
@@ -387,9 +402,9 @@ def outlier_regression_flags(spark, folder):
     )
 
 
-@query
-def outlier_regression_statistics(spark, folder):
-    valid = staged(_valid(spark, folder), "valid")
+@staged_query
+def outlier_regression_statistics(days):
+    valid = staged(_valid(days), "valid")
     fits = staged(regression.fit_repeat_sales(valid, AREA), "fits")
     return outliers.outlier_statistics(outliers.flag_with_regression(valid, fits, AREA))
 
@@ -408,28 +423,28 @@ def _comparable_prices(df):
 
 
 @query
-def quality_summary(spark, folder):
-    return rounded(quality.summary_metrics(retail.pairs(spark, folder)), 4)
+def quality_summary(days):
+    return rounded(quality.summary_metrics(retail.pairs(days)), 4)
 
 
 @query
-def quality_temporal(spark, folder):
-    return _comparable_prices(quality.temporal_coverage(retail.pairs(spark, folder)))
+def quality_temporal(days):
+    return _comparable_prices(quality.temporal_coverage(retail.pairs(days)))
 
 
-@query
-def quality_geographic(spark, folder):
-    return _comparable_prices(quality.geographic_coverage(retail.pairs(spark, folder), retail.tracts(spark, folder)))
+@staged_query
+def quality_geographic(days):
+    return _comparable_prices(quality.geographic_coverage(retail.pairs(days), retail.tracts(days)))
 
 
 @query
-def quality_prices(spark, folder):
-    return rounded(quality.price_distribution(retail.pairs(spark, folder)), 4)
+def quality_prices(days):
+    return rounded(quality.price_distribution(retail.pairs(days)), 4)
 
 
-@query
-def quality_scores(spark, folder):
-    report = quality.analyze_quality(staged(retail.pairs(spark, folder), "pairs"), retail.tracts(spark, folder))
+@staged_query
+def quality_scores(days):
+    report = quality.analyze_quality(staged(retail.pairs(days), "pairs"), retail.tracts(days))
     return report.scores
 
 
@@ -437,58 +452,59 @@ def quality_scores(spark, folder):
 
 
 @query
-def tract_codes(spark, folder):
-    return retail.tracts(spark, folder).drop("geometry")
+def tract_codes(days):
+    return retail.tracts(days).drop("geometry")
 
 
 @query
-def tract_adjacency(spark, folder):
-    return retail.adjacency(spark, folder)
+def tract_adjacency(days):
+    return geography.adjacent_tracts(retail.tracts(days))
 
 
 @query
-def tract_nearest(spark, folder):
-    return geography.nearest_tracts(retail.tracts(spark, folder), 10)
+def tract_nearest(days):
+    return geography.nearest_tracts(retail.tracts(days), 10)
 
 
 @query
-def area_summary(spark, folder):
-    return geography.area_summary(retail.tracts(spark, folder))
+def area_summary(days):
+    return geography.area_summary(retail.tracts(days))
 
 
 @query
-def tract_issues(spark, folder):
+def tract_issues(days):
     """Two copies of every tract whose brand number is 7, so repeats are found."""
-    tracts = retail.tracts(spark, folder)
+    tracts = retail.tracts(days)
     return validate.tract_issues(tracts.unionByName(tracts.where("centroid_y = 7")))
 
 
-def _supertracts(spark, folder, options=SupertractOptions()):
-    counts = panel.half_pairs(_valid(spark, folder))
-    return supertracts.build_supertracts(counts, retail.tracts(spark, folder), retail.adjacency(spark, folder), options)
+def _supertracts(days, options=SupertractOptions()):
+    tracts = staged(retail.tracts(days), "tracts")
+    edges = geography.adjacent_tracts(tracts)
+    return supertracts.build_supertracts(panel.half_pairs(_valid(days)), tracts, edges, options)
 
 
-@query
-def supertracts_by_year(spark, folder):
-    return supertracts.supertract_shape(_supertracts(spark, folder))
+@staged_query
+def supertracts_by_year(days):
+    return supertracts.supertract_shape(_supertracts(days))
 
 
-@query
-def supertracts_nearest_centroid(spark, folder):
-    return _supertracts(spark, folder, SupertractOptions(strategy="nearest_centroid"))
+@staged_query
+def supertracts_nearest_centroid(days):
+    return _supertracts(days, SupertractOptions(strategy="nearest_centroid"))
 
 
-@query
-def supertract_check(spark, folder):
-    counts = panel.half_pairs(_valid(spark, folder))
-    return supertracts.check_supertracts(_supertracts(spark, folder), counts)
+@staged_query
+def supertract_check(days):
+    counts = panel.half_pairs(_valid(days))
+    return supertracts.check_supertracts(_supertracts(days), counts)
 
 
-@query
-def supertract_invariants(spark, folder):
+@staged_query
+def supertract_invariants(days):
     """Per year: tracts standing alone, and how often a rule of the merge is broken."""
-    built = staged(_supertracts(spark, folder), "supertracts")
-    counts = panel.half_pairs(_valid(spark, folder))
+    built = staged(_supertracts(days), "supertracts")
+    counts = panel.half_pairs(_valid(days))
     checked = supertracts.check_supertracts(built, counts).join(
         built.select("year", "supertract_id", "is_merged"), ["year", "supertract_id"]
     )
@@ -508,48 +524,48 @@ def supertract_invariants(spark, folder):
     )
 
 
-@query
-def supertract_bridge(spark, folder):
-    return supertracts.tract_bridge(_supertracts(spark, folder))
+@staged_query
+def supertract_bridge(days):
+    return supertracts.tract_bridge(_supertracts(days))
 
 
-@query
-def supertract_yearly_mapping(spark, folder):
-    return supertracts.yearly_mapping(_supertracts(spark, folder))
+@staged_query
+def supertract_yearly_mapping(days):
+    return supertracts.yearly_mapping(_supertracts(days))
 
 
 # --- weights -------------------------------------------------------------------------
 
 
 @query
-def weights_all_types(spark, folder):
-    return weights.demographic_weights(retail.demographics(spark, folder))
+def weights_all_types(days):
+    return weights.demographic_weights(retail.demographics(days))
 
 
 @query
-def weights_merged_national(spark, folder):
-    return weights.merged_national(_area_weights(spark, folder))
+def weights_merged_national(days):
+    return weights.merged_national(_area_weights(days))
 
 
 @query
-def weights_equal(spark, folder):
-    return weights.equal_weights(retail.tracts(spark, folder), 1996, 1999)
+def weights_equal(days):
+    return weights.equal_weights(retail.tracts(days), 1996, 1999)
 
 
-@query
-def weights_half_pairs(spark, folder):
-    return weights.half_pair_weights(panel.half_pairs(_valid(spark, folder)), retail.tracts(spark, folder))
+@staged_query
+def weights_half_pairs(days):
+    return weights.half_pair_weights(panel.half_pairs(_valid(days)), retail.tracts(days))
 
 
 @query
-def weights_available_periods(spark, folder):
-    return weights.available_periods(weights.demographic_weights(retail.demographics(spark, folder), ("unit",)))
+def weights_available_periods(days):
+    return weights.available_periods(weights.demographic_weights(retail.demographics(days), ("unit",)))
 
 
 @query
-def weights_sound(spark, folder):
+def weights_sound(days):
     """First broken rule per set, with the college sets left unscaled."""
-    raw = weights.raw_weights(retail.demographics(spark, folder), ("college", "unit"))
+    raw = weights.raw_weights(retail.demographics(days), ("college", "unit"))
     sets = raw.select(
         F.col("cbsa_id").alias("geography_id"), "period", "weight_type", "tract_id", F.col("raw").alias("weight")
     )
@@ -559,9 +575,9 @@ def weights_sound(spark, folder):
 
 
 @query
-def weights_checked(spark, folder):
+def weights_checked(days):
     """Every problem per set; college shares are left unscaled, so most are not sound."""
-    raw = weights.raw_weights(retail.demographics(spark, folder), ("college",))
+    raw = weights.raw_weights(retail.demographics(days), ("college",))
     sets = raw.select(
         F.col("cbsa_id").alias("geography_id"), "period", "weight_type", "tract_id", F.col("raw").alias("weight")
     )
@@ -569,30 +585,30 @@ def weights_checked(spark, folder):
 
 
 @query
-def weights_consistency(spark, folder):
-    return weights.consistency(_area_weights(spark, folder, "upb"))
+def weights_consistency(days):
+    return weights.consistency(_area_weights(days, "upb"))
 
 
-@query
-def weights_incomplete(spark, folder):
-    kept = _area_weights(spark, folder).join(_recent_tracts(spark, folder), "tract_id", "left_semi")
-    return weights.incomplete_sets(kept, retail.demographics(spark, folder))
+@staged_query
+def weights_incomplete(days):
+    kept = _area_weights(days).join(_recent_tracts(days), "tract_id", "left_semi")
+    return weights.incomplete_sets(kept, retail.demographics(days))
 
 
-@query
-def weights_filled(spark, folder):
-    tracts = retail.tracts(spark, folder).select(F.col("cbsa_id").alias("geography_id"), "tract_id")
-    return weights.fill_missing(_area_weights(spark, folder), tracts, 0.01)
+@staged_query
+def weights_filled(days):
+    tracts = retail.tracts(days).select(F.col("cbsa_id").alias("geography_id"), "tract_id")
+    return weights.fill_missing(_area_weights(days), tracts, 0.01)
 
 
-@query
-def weights_redistributed(spark, folder):
-    return weights.redistribute(_area_weights(spark, folder), _recent_tracts(spark, folder))
+@staged_query
+def weights_redistributed(days):
+    return weights.redistribute(_area_weights(days), _recent_tracts(days))
 
 
 def _merged(strategy):
-    def build(spark, folder):
-        sets = weights.within(weights.raw_weights(retail.demographics(spark, folder), ("unit", "upb")), "cbsa_id")
+    def build(days):
+        sets = weights.within(weights.raw_weights(retail.demographics(days), ("unit", "upb")), "cbsa_id")
         ordered = sets.withColumns(
             {"source": F.when(F.col("weight_type") == "unit", 1).otherwise(2), "weight_type": F.lit("merged")}
         )
@@ -606,20 +622,20 @@ for _strategy in ("average", "sum", "first"):
     query(_merged(_strategy))
 
 
-@query
-def weights_coverage(spark, folder):
-    return weights.effective_coverage(_area_weights(spark, folder), _recent_tracts(spark, folder))
+@staged_query
+def weights_coverage(days):
+    return weights.effective_coverage(_area_weights(days), _recent_tracts(days))
 
 
-@query
-def weights_adjustment_report(spark, folder):
-    original = _area_weights(spark, folder)
-    return weights.adjustment_report(original, weights.redistribute(original, _recent_tracts(spark, folder)))
+@staged_query
+def weights_adjustment_report(days):
+    original = _area_weights(days)
+    return weights.adjustment_report(original, weights.redistribute(original, _recent_tracts(days)))
 
 
 @query
-def weights_nearest_year(spark, folder):
-    sets = _area_weights(spark, folder).where("period in (1996, 1998, 2001)")
+def weights_nearest_year(days):
+    sets = _area_weights(days).where("period in (1996, 1998, 2001)")
     wanted = sets.select("geography_id").distinct().withColumn("base_year", F.lit(1997))
     return weights.nearest_period(sets, wanted)
 
@@ -627,102 +643,102 @@ def weights_nearest_year(spark, folder):
 # --- aggregation ---------------------------------------------------------------------
 
 
-@query
-def area_index_by_year_weights(spark, folder):
-    levels = _tract_levels(spark, folder).withColumnRenamed("tract_id", "supertract_id")
-    bridge = retail.tracts(spark, folder).select("tract_id", F.col("tract_id").alias("supertract_id"))
-    return aggregate.combine_by_year(levels, bridge, _area_weights(spark, folder))
+@staged_query
+def area_index_by_year_weights(days):
+    levels = _tract_levels(days).withColumnRenamed("tract_id", "supertract_id")
+    bridge = retail.tracts(days).select("tract_id", F.col("tract_id").alias("supertract_id"))
+    return aggregate.combine_by_year(levels, bridge, _area_weights(days))
 
 
-@query
-def area_index_log_chain(spark, folder):
-    levels = _tract_levels(spark, folder).withColumnRenamed("tract_id", "supertract_id")
-    bridge = retail.tracts(spark, folder).select("tract_id", F.col("tract_id").alias("supertract_id"))
-    return aggregate.combine_by_year(levels, bridge, _area_weights(spark, folder), "log_chain")
+@staged_query
+def area_index_log_chain(days):
+    levels = _tract_levels(days).withColumnRenamed("tract_id", "supertract_id")
+    bridge = retail.tracts(days).select("tract_id", F.col("tract_id").alias("supertract_id"))
+    return aggregate.combine_by_year(levels, bridge, _area_weights(days), "log_chain")
 
 
-def _laspeyres(spark, folder):
-    mapping = retail.tracts(spark, folder).select("tract_id", F.col("cbsa_id").alias("geography_id"))
-    return aggregate.laspeyres(_tract_levels(spark, folder), _area_weights(spark, folder), mapping)
+def _laspeyres(days):
+    mapping = retail.tracts(days).select("tract_id", F.col("cbsa_id").alias("geography_id"))
+    return aggregate.laspeyres(_tract_levels(days), _area_weights(days), mapping)
 
 
 @query
-def laspeyres_area(spark, folder):
-    return _laspeyres(spark, folder).values
+def laspeyres_area(days):
+    return _laspeyres(days).values
 
 
 @query
-def laspeyres_coverage(spark, folder):
-    return _laspeyres(spark, folder).coverage
+def laspeyres_coverage(days):
+    return _laspeyres(days).coverage
 
 
-@query
-def laspeyres_national(spark, folder):
-    raw = weights.raw_weights(retail.demographics(spark, folder), ("value",))
-    mapping = retail.tracts(spark, folder).select("tract_id", F.lit(weights.NATION).alias("geography_id"))
-    return aggregate.laspeyres(_tract_levels(spark, folder), weights.within(raw, "", weights.NATION), mapping).values
+@staged_query
+def laspeyres_national(days):
+    raw = weights.raw_weights(retail.demographics(days), ("value",))
+    mapping = retail.tracts(days).select("tract_id", F.lit(weights.NATION).alias("geography_id"))
+    return aggregate.laspeyres(_tract_levels(days), weights.within(raw, "", weights.NATION), mapping).values
 
 
-@query
-def hierarchy_index(spark, folder):
+@staged_query
+def hierarchy_index(days):
     """Tract, area, state and nation in one table."""
-    levels = staged(_tract_levels(spark, folder), "levels")
-    raw = staged(weights.raw_weights(retail.demographics(spark, folder), ("value",)), "raw")
-    mapping = staged(retail.mapping(retail.tracts(spark, folder)), "mapping")
+    levels = staged(_tract_levels(days), "levels")
+    raw = staged(weights.raw_weights(retail.demographics(days), ("value",)), "raw")
+    mapping = staged(retail.mapping(retail.tracts(days)), "mapping")
     results = aggregate.aggregate_hierarchy(levels, raw, mapping, ("tract_id", "cbsa_id", "state", weights.NATION))
     return aggregate.combine_levels(levels, results)
 
 
 @query
-def aggregation_tree(spark, folder):
+def aggregation_tree(days):
     return aggregate.aggregation_tree(
-        retail.mapping(retail.tracts(spark, folder)), ("tract_id", "cbsa_id", "state", weights.NATION)
+        retail.mapping(retail.tracts(days)), ("tract_id", "cbsa_id", "state", weights.NATION)
     )
 
 
 @query
-def chained_index(spark, folder):
-    return aggregate.chain_years(_area_levels(spark, folder))
+def chained_index(days):
+    return aggregate.chain_years(_area_levels(days))
 
 
 @query
-def chained_index_compounding(spark, folder):
-    return aggregate.chain_years(_area_levels(spark, folder), compounding=True)
+def chained_index_compounding(days):
+    return aggregate.chain_years(_area_levels(days), compounding=True)
 
 
-def _tract_changes(spark, folder):
+def _tract_changes(days):
     return (
-        _valid(spark, folder)
+        _valid(days)
         .groupBy("tract_id", F.trunc("second_sale_date", "YEAR").alias("date"))
         .agg(F.round(F.avg(F.ln("second_sale_price") - F.ln("first_sale_price")), 6).alias("change"))
     )
 
 
-@query
-def weighting_difference(spark, folder):
-    raw = weights.raw_weights(retail.demographics(spark, folder), ("value", "unit"))
-    return aggregate.weighting_difference(_tract_changes(spark, folder), weights.within(raw, "cbsa_id"), "value", "unit")
+@staged_query
+def weighting_difference(days):
+    raw = weights.raw_weights(retail.demographics(days), ("value", "unit"))
+    return aggregate.weighting_difference(_tract_changes(days), weights.within(raw, "cbsa_id"), "value", "unit")
 
 
-@query
-def distance_gradient(spark, folder):
-    tracts = retail.tracts(spark, folder)
+@staged_query
+def distance_gradient(days):
+    tracts = retail.tracts(days)
     centers = tracts.groupBy("cbsa_id").agg(F.min("centroid_x").alias("center_x"), F.min("centroid_y").alias("center_y"))
-    return aggregate.distance_gradient(_tract_changes(spark, folder), tracts, centers)
+    return aggregate.distance_gradient(_tract_changes(days), tracts, centers)
 
 
 # --- end to end ----------------------------------------------------------------------
 
 
-def _inputs(spark, folder):
-    tracts = staged(retail.tracts(spark, folder), "tracts")
-    return staged(_valid(spark, folder), "valid"), tracts, geography.adjacent_tracts(tracts)
+def _inputs(days):
+    tracts = staged(retail.tracts(days), "tracts")
+    return staged(_valid(days), "valid"), tracts, geography.adjacent_tracts(tracts)
 
 
 def _index(level, kind):
-    def build(spark, folder):
-        valid, tracts, edges = _inputs(spark, folder)
-        people = None if kind == "equal" else retail.demographics(spark, folder)
+    def build(days):
+        valid, tracts, edges = _inputs(days)
+        people = None if kind == "equal" else retail.demographics(days)
         return estimate_indices(valid, tracts, edges, people, kind, level).index_values
 
     build.__name__ = f"index_{level}_{kind}"
@@ -733,37 +749,37 @@ for _level, _kind in (
     ("tract", "equal"), ("cbsa", "equal"), ("cbsa", "value"), ("cbsa", "college"), ("state", "upb"),
     ("national", "equal"), ("national", "value"), ("national", "unit"), ("national", "non_white"),
 ):
-    query(_index(_level, _kind))
+    staged_query(_index(_level, _kind))
 
 
-@query
-def index_cbsa_robust(spark, folder):
-    valid, tracts, edges = _inputs(spark, folder)
+@staged_query
+def index_cbsa_robust(days):
+    valid, tracts, edges = _inputs(days)
     return estimate_indices(valid, tracts, edges, level="cbsa", robust=RobustOptions()).index_values
 
 
-@query
-def index_coverage(spark, folder):
-    valid, tracts, edges = _inputs(spark, folder)
+@staged_query
+def index_coverage(days):
+    valid, tracts, edges = _inputs(days)
     return estimate_indices(valid, tracts, edges).coverage
 
 
 # --- sensitivity ---------------------------------------------------------------------
 
 
-@query
-def sensitivity_series(spark, folder):
-    return sensitivity.scenario_series(staged(_spaced(spark, folder), "spaced"))
+@staged_query
+def sensitivity_series(days):
+    return sensitivity.scenario_series(staged(_spaced(days), "spaced"))
 
 
-@query
-def sensitivity_impact(spark, folder):
-    return sensitivity.impact(staged(sensitivity.scenario_series(staged(_spaced(spark, folder), "spaced")), "series"))
+@staged_query
+def sensitivity_impact(days):
+    return sensitivity.impact(staged(sensitivity.scenario_series(staged(_spaced(days), "spaced")), "series"))
 
 
-@query
-def sensitivity_importance(spark, folder):
-    series = staged(sensitivity.scenario_series(staged(_spaced(spark, folder), "spaced")), "series")
+@staged_query
+def sensitivity_importance(days):
+    series = staged(sensitivity.scenario_series(staged(_spaced(days), "spaced")), "series")
     return sensitivity.importance(sensitivity.impact(series))
 
 
@@ -776,22 +792,22 @@ def _records(spark, folder):
     )
 
 
-@query
+@table_query
 def metric_summary(spark, folder):
     return metrics.metric_summary(_records(spark, folder))
 
 
-@query
+@table_query
 def metric_summary_recent(spark, folder):
     return metrics.metric_summary(metrics.recent(_records(spark, folder)))
 
 
-@query
+@table_query
 def job_status_counts(spark, folder):
     return metrics.status_counts(retail.table(spark, folder, "orders"), "o_orderstatus")
 
 
-@query
+@table_query
 def bottlenecks(spark, folder):
     """Users by total and by largest value, five of each."""
     summary = retail.table(spark, folder, "events").groupBy("user_id").agg(

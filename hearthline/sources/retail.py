@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthline.operators.geography import adjacent_tracts, square_tracts, with_codes
+from hearthline.operators.geography import square_tracts, with_codes
 from hearthline.operators.pairs import pair_daily_sales
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -47,76 +47,61 @@ def _factor():
     )
 
 
-def sales(spark: SparkSession, folder: str) -> DataFrame:
-    """One sale per property and day, at the mean price of the day's lines.
+def daily(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines summed per property and day: all that sales, tracts and demographics need.
 
-    Lines are averaged before the part join, which so only sees one row per property-day.
+    Summing before the part join keeps that join to one row per property-day.
     """
     lines = table(spark, folder, "lineitem").select(
         "l_partkey", F.col("l_suppkey").alias("s_suppkey"), F.col("l_shipdate").cast("date").alias("sale_date"),
-        _factor().alias("factor"),
+        _factor().alias("factor"), (F.col("l_returnflag") == "R").alias("r"), (F.col("l_linestatus") == "O").alias("o"),
     )
-    daily = (
+    part = table(spark, folder, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_retailprice")
+    return (
         lines.join(_areas(spark, folder), "s_suppkey")
         .groupBy("l_partkey", "s_nationkey", "n_regionkey", "sale_date")
-        .agg(F.avg("factor").alias("factor"))
+        .agg(
+            F.count(F.lit(1)).alias("n"), F.sum("factor").alias("factor"),
+            F.count_if("r").alias("r"), F.count_if("o").alias("o"),
+        )
+        .join(part, "l_partkey")
     )
-    part = table(spark, folder, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_retailprice")
-    return daily.join(part, "l_partkey").select(
+
+
+def sales(days: DataFrame) -> DataFrame:
+    """One sale per property and day, at the mean price of the day's lines."""
+    return days.select(
         F.concat_ws("-", F.col("l_partkey").cast("string"), F.col("s_nationkey").cast("string")).alias("property_id"),
         _tract_id().alias("tract_id"),
         _cbsa_id().alias("cbsa_id"),
         "sale_date",
-        F.round(100 * F.col("p_retailprice") * F.col("factor"), 2).alias("sale_price"),
+        F.round(100 * F.col("p_retailprice") * (F.col("factor") / F.col("n")), 2).alias("sale_price"),
     )
 
 
-def pairs(spark: SparkSession, folder: str) -> DataFrame:
-    return pair_daily_sales(sales(spark, folder))
+def pairs(days: DataFrame) -> DataFrame:
+    return pair_daily_sales(sales(days))
 
 
-def demographics(spark: SparkSession, folder: str) -> DataFrame:
+def demographics(days: DataFrame) -> DataFrame:
     """Per tract and year: distinct parts, mean price, price total and two flag shares."""
-    lines = table(spark, folder, "lineitem").select(
-        "l_partkey", F.col("l_suppkey").alias("s_suppkey"), F.year("l_shipdate").alias("year"),
-        _factor().alias("factor"), (F.col("l_returnflag") == "R").alias("r"), (F.col("l_linestatus") == "O").alias("o"),
-    )
-    yearly = (
-        lines.join(_areas(spark, folder), "s_suppkey")
-        .groupBy("l_partkey", "s_nationkey", "n_regionkey", "year")
-        .agg(
-            F.count(F.lit(1)).alias("n"), F.sum("factor").alias("factor"),
-            F.count_if("r").alias("r"), F.count_if("o").alias("o"),
-        )
-    )
-    part = table(spark, folder, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_retailprice")
+    yearly = days.groupBy(
+        "l_partkey", "s_nationkey", "n_regionkey", "p_brand", "p_retailprice", F.year("sale_date").alias("year")
+    ).agg(F.sum("n").alias("n"), F.sum("factor").alias("factor"), F.sum("r").alias("r"), F.sum("o").alias("o"))
     price = F.sum(100 * F.col("p_retailprice") * F.col("factor"))
     n = F.sum("n")
-    return (
-        yearly.join(part, "l_partkey")
-        .groupBy(_tract_id().alias("tract_id"), _cbsa_id().alias("cbsa_id"), "year")
-        .agg(
-            F.count(F.lit(1)).cast("int").alias("housing_units"),
-            F.round(price / n, 2).alias("median_value"),
-            F.round(F.sum("r") / n, 6).alias("college_share"),
-            F.round(F.sum("o") / n, 6).alias("non_white_share"),
-            F.round(price, 2).alias("upb_total"),
-        )
+    return yearly.groupBy(_tract_id().alias("tract_id"), _cbsa_id().alias("cbsa_id"), "year").agg(
+        F.count(F.lit(1)).cast("int").alias("housing_units"),
+        F.round(price / n, 2).alias("median_value"),
+        F.round(F.sum("r") / n, 6).alias("college_share"),
+        F.round(F.sum("o") / n, 6).alias("non_white_share"),
+        F.round(price, 2).alias("upb_total"),
     )
 
 
-def tracts(spark: SparkSession, folder: str) -> DataFrame:
+def tracts(days: DataFrame) -> DataFrame:
     """Every brand sold in a nation, as a unit square on a line per nation."""
-    part = table(spark, folder, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
-    sold = (
-        table(spark, folder, "lineitem").select("l_partkey", F.col("l_suppkey").alias("s_suppkey"))
-        .join(_areas(spark, folder), "s_suppkey")
-        .groupBy("l_partkey", "s_nationkey", "n_regionkey")
-        .agg(F.count(F.lit(1)).alias("population"))
-        .join(part, "l_partkey")
-        .groupBy("s_nationkey", "n_regionkey", "p_brand")
-        .agg(F.sum("population").alias("population"))
-    )
+    sold = days.groupBy("s_nationkey", "n_regionkey", "p_brand").agg(F.sum("n").alias("population"))
     placed = sold.select(
         _tract_id().alias("tract_id"),
         _cbsa_id().alias("cbsa_id"),
@@ -128,9 +113,5 @@ def tracts(spark: SparkSession, folder: str) -> DataFrame:
     return square_tracts(with_codes(placed), 1.0)
 
 
-def adjacency(spark: SparkSession, folder: str) -> DataFrame:
-    return adjacent_tracts(tracts(spark, folder))
-
-
 def mapping(tract_table: DataFrame) -> DataFrame:
     return tract_table.select("tract_id", "cbsa_id", "state")
