@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from hearthline.config import FitOptions, RobustOptions, SupertractOptions
 from hearthline.operators.aggregate import combine_by_year, coverage_statistics
+from hearthline.operators.geography import adjacent_tracts
 from hearthline.operators.panel import half_pairs
 from hearthline.operators.regression import fit_repeat_sales, index_series
 from hearthline.operators.robust import fit_robust
@@ -86,10 +87,13 @@ def estimate_indices(
     pairs are the valid pairs; tracts has tract_id, cbsa_id and state. A supertract with
     fewer than the minimum of pairs gets no regression. The supertracts, a small table
     that several steps read, are materialised at once; with robust set, the fits are
-    M-estimates and counting jobs run as well.
+    M-estimates and counting jobs run as well. Without adjacency, tracts whose outlines
+    touch are neighbours.
     """
     if level not in LEVELS:
         raise ValueError(f"unknown level: {level}")
+    if adjacency is None and supertract_options.strategy == "adjacent":
+        adjacency = adjacent_tracts(tracts)
     span = _analysis_span(pairs, start, end)
     counts = _in_span(half_pairs(pairs), "year", span)
     supertracts = cut_lineage(build_supertracts(counts, tracts, adjacency, supertract_options, regions))
