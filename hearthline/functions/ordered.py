@@ -97,14 +97,18 @@ def _with_counts_below(
 
 
 def exact_quantiles(
-    df: DataFrame, keys: list[str], value: str, shares: dict[str, float]
+    df: DataFrame, keys: list[str], value: str, shares: dict[str, float], levels: int = 2
 ) -> DataFrame:
-    """Linearly interpolated quantiles per group, one column per entry of shares."""
+    """Linearly interpolated quantiles per group, one column per entry of shares.
+
+    Exact for any number of levels; one level is quicker where groups are known to be
+    small enough for a window over a thousandth of them.
+    """
     pooled = not keys
     if pooled:
         df, keys = df.withColumn("_group", F.lit(0)), ["_group"]
     placed = _with_counts_below(
-        value_counts(df, keys, value), keys, list(shares.values())
+        value_counts(df, keys, value), keys, list(shares.values()), levels
     )
 
     def at(rank: Column) -> Column:

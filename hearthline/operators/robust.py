@@ -171,14 +171,16 @@ def _weights_at(rows: DataFrame, state: DataFrame, keys: list[str], options: Rob
     )
 
 
-def _scales(rows: DataFrame, state: DataFrame, keys: list[str], options: RobustOptions) -> DataFrame:
+def _scales(
+    rows: DataFrame, state: DataFrame, keys: list[str], options: RobustOptions, levels: int
+) -> DataFrame:
     """Scale of each group: its exact median absolute deviation, in any group size."""
     left = rows.join(state.select(*keys, "_origin", "start"), keys).select(
         *keys, (F.col("log_change") - predicted("start")).alias("_r")
     )
-    middle = exact_quantiles(left, keys, "_r", {"_median": 0.5})
+    middle = exact_quantiles(left, keys, "_r", {"_median": 0.5}, levels)
     spread = left.join(middle, keys).select(*keys, F.abs(F.col("_r") - F.col("_median")).alias("_d"))
-    return exact_quantiles(spread, keys, "_d", {"scale": 0.5}).withColumn(
+    return exact_quantiles(spread, keys, "_d", {"scale": 0.5}, levels).withColumn(
         "scale", F.col("scale") * options.mad_factor
     )
 
@@ -188,6 +190,8 @@ def _fit_by_aggregates(rows: DataFrame, keys: list[str], options: RobustOptions,
     rows = cut_lineage(
         rows.where("kept").join(sizes.where(F.col("all_pairs") >= min_pairs), keys, "left_semi").drop("kept")
     )
+    largest = sizes.agg(F.max("all_pairs")).first()[0] or 0
+    levels = 1 if largest < 10_000_000 else 2
     first_cells = _weighted_cells(rows.withColumn("_w", F.lit(1.0)), keys)
     state = cut_lineage(
         _solve_weighted(first_cells, keys).select(
@@ -207,7 +211,7 @@ def _fit_by_aggregates(rows: DataFrame, keys: list[str], options: RobustOptions,
             break
         moving = moving.withColumn("start", F.col("beta"))
         active = rows.join(moving.select(*keys), keys, "left_semi")
-        moving = moving.drop("scale", "beta").join(_scales(active, moving, keys, options), keys)
+        moving = moving.drop("scale", "beta").join(_scales(active, moving, keys, options, levels), keys)
         moving = cut_lineage(moving)
         solved = _solve_weighted(_weighted_cells(_weights_at(active, moving, keys, options), keys), keys)
         step = F.aggregate(
