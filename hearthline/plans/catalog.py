@@ -20,12 +20,14 @@ from hearthline.sources import retail
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+# Shares of rounded shares can lie exactly between two sixth digits.
+DIGITS = {"weights_all_types": 9}
 AREA = ["cbsa_id"]
 
 
 def _register(build, run) -> None:
     def rounded_run(spark: SparkSession, folder: str) -> DataFrame:
-        return rounded(run(ship_package(spark), folder))
+        return rounded(run(ship_package(spark), folder), DIGITS.get(build.__name__, 6))
 
     rounded_run.__doc__ = build.__doc__
     QUERIES[build.__name__] = rounded_run

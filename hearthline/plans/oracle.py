@@ -544,7 +544,7 @@ SELECTS: dict[str, tuple[tuple[str, ...], str]] = {
              0::BIGINT AS with_unknown_tracts, 0::BIGINT AS tracts_in_two_groups
            FROM half WHERE half_pairs >= 40 GROUP BY year""",
     ),
-    "weights_all_types": (("shares",), f"SELECT {SET}, tract_id, round(weight, 6) AS weight FROM shares"),
+    "weights_all_types": (("shares",), f"SELECT {SET}, tract_id, round(weight, 9) AS weight FROM shares"),
     "weights_merged_national": (
         ("area_value",),
         """SELECT 'national' AS geography_id, period, weight_type, tract_id,

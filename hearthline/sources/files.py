@@ -56,12 +56,13 @@ def read_tracts(spark: SparkSession, path: str, one_feature_per_line: bool = Tru
     return features.select("f.properties.*", F.col("f.geometry.coordinates")[0].alias("geometry"))
 
 
-def read_adjacency(spark: SparkSession, path: str) -> DataFrame:
-    """Edges (tract_id, neighbor_id, rank) from a JSON object of neighbour lists.
+def read_adjacency(spark: SparkSession, path: str, one_object_per_line: bool = False) -> DataFrame:
+    """Edges (tract_id, neighbor_id, rank) from JSON objects of neighbour lists.
 
-    The object is a single document, so its size is that of the geography.
+    A single object is one document, whose size is that of the geography; the layout our
+    own sink writes has one object per line and is read in parallel.
     """
-    document = spark.read.text(path, wholetext=True).select(
+    document = spark.read.text(path, wholetext=not one_object_per_line).select(
         F.from_json("value", "map<string, array<string>>").alias("m")
     )
     lists = document.select(F.explode("m").alias("tract_id", "neighbors"))

@@ -8,6 +8,7 @@ import pytest
 
 from hearthline import cli, schemas
 from hearthline.config import SupertractOptions
+from hearthline.operators.geography import nearest_tracts
 from hearthline.plans import pipeline, service, store
 from hearthline.plans.catalog import QUERIES
 from hearthline.plans.oracle import statements
@@ -113,7 +114,7 @@ def test_upload_keeps_valid_rows_only(spark):
     folder = tempfile.mkdtemp(prefix="hearthline-up-")
     with open(f"{folder}/new.csv", "w") as target:
         target.write(HEADER + "P1,00000000001,10000,2019-01-01,100000,2020-01-01,105000\n")
-        target.write("P2,00000000001,10000,2019-01-01,100000,2019-03-01,105000\nP3,00000000001,10000,yesterday,1,2,3\n")
+        target.write("P2,00000000001,10000,2019-01-01,100000,2019-03-01,100500\nP3,00000000001,10000,yesterday,1,2,3\n")
     answer = service.upload(spark, f"{folder}/store", f"{folder}/new.csv", service.UploadRequest("transactions", "csv"))
     assert (answer.status, answer.records_processed, answer.records_valid, answer.records_invalid) == ("success", 3, 1, 2)
     assert {e["rejection_reason"] for e in answer.validation_errors} == {"Same 12-month period", "Unreadable record"}
@@ -151,13 +152,10 @@ def test_stored_results(spark):
 def test_geography_files_round_trip(spark):
     folder = tempfile.mkdtemp(prefix="hearthline-geo-")
     tracts = generate.tract_geometries(spark, 12, 2).selectExpr("*", "'' AS centroid")
-    from hearthline.operators.geography import nearest_tracts
-
     written = sinks.export_geography({"tracts": tracts, "cbsas": generate.area_table(tracts), "adjacency": nearest_tracts(tracts, 3)}, folder)
     back = files.read_tracts(spark, written[0])
     assert back.count() == 12 and len(back.first().geometry) == 5
-    edges = files.read_adjacency(spark, written[2]) if os.path.isfile(written[2]) else None
-    assert edges is None or edges.count() == 36
+    assert files.read_adjacency(spark, written[2], one_object_per_line=True).count() == 36
     assert files.read_cbsas(spark, written[1]).count() == 2
 
 
