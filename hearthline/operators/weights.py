@@ -52,8 +52,8 @@ def demographic_weights(
     demographics: DataFrame, types: tuple[str, ...] = ("sample", *DEMOGRAPHIC_TYPES)
 ) -> DataFrame:
     """Weights in every area and in the nation as a whole."""
-    raw = raw_weights(demographics, types)
-    return within(raw, "cbsa_id").unionByName(within(raw, "", NATION))
+    both = F.explode(F.array("cbsa_id", F.lit(NATION)))
+    return within(raw_weights(demographics, types).withColumn("_geography", both), "_geography")
 
 
 def merged_national(area_weights: DataFrame) -> DataFrame:
