@@ -12,6 +12,7 @@ from hearthline.functions.columns import (
     calendar_months,
     clean_number,
     holds,
+    log_ratio,
     price_ratio,
     years_between,
 )
@@ -128,6 +129,17 @@ def screen_rate(pairs: DataFrame, rules: ScreenRules = ScreenRules()) -> DataFra
     )
 
 
+def screen_by_years(pairs: DataFrame, rules: ValidationRules = ValidationRules(), min_years: float = 1.0) -> DataFrame:
+    """The filter variant that counts a full year of days and takes growth from the log change."""
+    years, change = years_between(), log_ratio()
+    growth = F.exp(F.try_divide(change, years)) - 1
+    return (
+        pairs.where(years >= min_years)
+        .withColumns({"time_diff_years": years, "log_price_change": change, "cagr": growth})
+        .where((F.abs("cagr") <= rules.max_cagr) & price_ratio().between(rules.min_ratio, rules.max_ratio))
+    )
+
+
 def keep_values(pairs: DataFrame, filters: dict[str, list]) -> DataFrame:
     """Keep rows whose column is in the list; unknown columns are ignored."""
     for column, values in filters.items():

@@ -176,6 +176,11 @@ def screened_pairs(days):
     return validate.screen_pairs(retail.pairs(days))
 
 
+@query
+def screened_by_years(days):
+    return validate.screen_by_years(retail.pairs(days))
+
+
 @query
 def screen_rate(days):
     return validate.screen_rate(retail.pairs(days))

@@ -342,6 +342,14 @@ SELECTS: dict[str, tuple[tuple[str, ...], str]] = {
             WHERE first_sale_price >= 10000 AND second_sale_price >= 10000 AND months_diff >= 12
               AND abs(cagr) <= 0.30 AND appreciation BETWEEN 0.75 AND 10.0""",
     ),
+    "screened_by_years": (
+        ("measured",),
+        f"""SELECT {PAIR}, round(time_diff_years, 6) AS time_diff_years, round(y, 6) + 0.0 AS log_price_change,
+            round(exp(y / time_diff_years) - 1, 6) + 0.0 AS cagr FROM (
+            SELECT *, ln(second_sale_price) - ln(first_sale_price) AS y FROM measured)
+            WHERE time_diff_years >= 1.0 AND abs(exp(y / time_diff_years) - 1) <= 0.30
+              AND appreciation_ratio BETWEEN 0.75 AND 10.0""",
+    ),
     "screen_rate": (
         ("screened",),
         """SELECT total, kept, round(1 - kept / total, 6) AS rejection_rate FROM (
