@@ -84,7 +84,7 @@ def estimate_indices(
 ) -> IndexEstimate:
     """Supertracts of every year, one regression per supertract, weighted aggregation.
 
-    pairs are the valid pairs; tracts has tract_id, cbsa_id and state. A supertract with
+    pairs are the valid pairs, best a stored table, as it is read several times; tracts has tract_id, cbsa_id and state. A supertract with
     fewer than the minimum of pairs gets no regression. The supertracts, a small table
     that several steps read, are materialised at once; with robust set, the fits are
     M-estimates and counting jobs run as well. Without adjacency, tracts whose outlines
