@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthline.llm import simhash
-from hearthline.llm.common import table, unsigned_hex
+from hearthline.llm import simhash, substring
+from hearthline.llm.common import column_set, table, unsigned_hex
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -24,3 +24,11 @@ def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     found = simhash.near_duplicates(table(spark, folder, "documents"))
     return found.select("doc_id", unsigned_hex(F.col("f0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of every document, words removed as repeats, and the digest of the rest."""
+    cut = substring.remove_repeats(column_set(table(spark, folder, "documents"), "doc_id", "text"))
+    kept = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2(kept, 256).alias("kept_sha256"))
