@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthline.llm import simhash, substring
+from hearthline.llm import mixing, simhash, substring
 from hearthline.llm.common import column_set, table, unsigned_hex
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,3 +32,15 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     cut = substring.remove_repeats(column_set(table(spark, folder, "documents"), "doc_id", "text"))
     kept = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2(kept, 256).alias("kept_sha256"))
+
+
+@query
+def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Words that the mixture takes of every document, with its source's target."""
+    docs = column_set(table(spark, folder, "documents"), "doc_id", "text", "source")
+    return mixing.mixture(docs).select(
+        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken")
+    )
+
+
+ORACLE_SQL["op6_mixing"] = mixing.ORACLE
