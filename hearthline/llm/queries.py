@@ -7,13 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthline.llm import mixing, simhash, substring
+from hearthline.llm import mixing, packing, simhash, substring
 from hearthline.llm.common import column_set, table, unsigned_hex
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+def tokenizer_path(name: str) -> str:
+    """Place of a public tokenizer's file; the package that ships them knows it."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 def query(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     QUERIES[build.__name__] = build
     return build
@@ -44,3 +51,9 @@ def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ORACLE_SQL["op6_mixing"] = mixing.ORACLE
+
+
+@query
+def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Every piece of every document with its sequence and place there."""
+    return packing.packed(table(spark, folder, "documents"), tokenizer_path("word_bpe_49k.json"))
