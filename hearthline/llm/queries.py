@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthline.llm import mixing, packing, simhash, substring
+from hearthline.llm import cover_tree, mixing, packing, simhash, substring, vantage
 from hearthline.llm.common import column_set, table, unsigned_hex
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +57,17 @@ ORACLE_SQL["op6_mixing"] = mixing.ORACLE
 def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Every piece of every document with its sequence and place there."""
     return packing.packed(table(spark, folder, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+@query
+def op1_cover_tree(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten largest integer products for every hundredth vector."""
+    return cover_tree.top_k(table(spark, folder, "embeddings"), F.col("id") % 100 == 0)
+
+
+@query
+def op9_vantage_point(spark: SparkSession, folder: str) -> DataFrame:
+    """Twenty near neighbours of every twentieth vector."""
+    vectors = table(spark, folder, "embeddings")
+    some = vectors.where(F.exists("embedding", lambda x: x != 0))
+    return vantage.nearest(some, F.col("id") % 20 == 0)
