@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthline.llm import cover_tree, mixing, packing, simhash, substring, vantage
+from hearthline.llm import chat, cover_tree, mixing, packing, simhash, substring, vantage
 from hearthline.llm.common import column_set, table, unsigned_hex
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +71,16 @@ def op9_vantage_point(spark: SparkSession, folder: str) -> DataFrame:
     vectors = table(spark, folder, "embeddings")
     some = vectors.where(F.exists("embedding", lambda x: x != 0))
     return vantage.nearest(some, F.col("id") % 20 == 0)
+
+
+@query
+def op5_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    """Digests of every conversation, read back from its formatted text."""
+    rows = column_set(table(spark, folder, "conversations"), "conv_id", "turn", "role", "text")
+    # Control strings inside texts, which no table need hold.
+    text = r"\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], rows.schema)
+    return chat.read_back(chat.format_chats(rows.unionByName(extra)))
+
+
+ORACLE_SQL["op5_chat_formatting"] = chat.ORACLE
