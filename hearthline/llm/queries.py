@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthline.llm import chat, cover_tree, labeller, mixing, packing, simhash, substring, vantage
+from hearthline.llm import chat, cover_tree, labeller, mixing, packing, simhash, substring, toxicity, vantage
 from hearthline.llm.common import column_set, table, unsigned_hex
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +91,11 @@ def op2_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     """Main text of every page."""
     found = labeller.main_text(table(spark, folder, "pages"))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity score of every document."""
+    docs = column_set(table(spark, folder, "documents"), "doc_id", "text")
+    found = toxicity.scored(docs, table(spark, folder, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted")
