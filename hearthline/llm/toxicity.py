@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearthline.llm.common import chunked, column_set, texts_of
+from hearthline.llm.simhash import shingle_hashes
 from hearthline.session import staged
 
 FOLDS = 4
@@ -30,7 +31,7 @@ THRESHOLD = 0.3
 FIT_ROWS = 20_000
 LEXICON = 4_000
 LEAST_DOCS = 3
-Z = (2.5, 4.0, 6.0)
+LEAST_EVIDENCE = 3.0
 NEAR = 3
 TREES, DEPTH, RATE, BINS, LEAST_WEIGHT, RIDGE = 100, 4, 0.1, 64, 2.0, 1.0
 
@@ -42,13 +43,15 @@ SECOND_PERSON = frozenset(
 LOOKALIKES = str.maketrans("013457@$!", "oieastasi")
 
 _WORD = re.compile(r"[^\W_]+")
-_MASKED = re.compile(r"\b[^\W\d_]*[0-9@$*!#][^\W\d_]+")
-_LONG = re.compile(r"([^\W\d_])\1\1")
-_SPACED = re.compile(r"\b(?:[^\W\d_][ .\-]){3,}[^\W\d_]\b")
-_RUN = re.compile(r"[!?]{2,}")
+_MASKED = re.compile(r"[^\W\d_]*[0-9@$*!#][^\W\d_]+")
+_SHOUTED = re.compile(rb"[A-Z]{3,}")
+_RUN = re.compile(rb"[!?]{2,}")
+_UPPER, _DIGITS, _SIGNS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"@#$%*&^"
+CACHED_WORDS = 1 << 18
 
+TIERS = ((3.0, 1.0), (5.0, 2.5), (8.0, 3.5))
 NAMES = (
-    [f"{kind}_{what}" for kind in ("word", "stem") for what in ("count", "density", "sum", "max", "second", *(f"above_{z}" for z in Z))]
+    [f"{kind}_{what}" for kind in ("word", "stem") for what in ("count", "density", "sum", "max", "second", *(f"above_{t[0]}" for t in TIERS))]
     + ["masked_hits", "near", "nearest", "you", "upper", "shouted", "exclaimed", "asked", "runs", "signs", "masked", "long", "spaced"]
     + ["words", "word_length", "digits", "variety", "lines"]
 )
@@ -62,52 +65,105 @@ def stems(word: str) -> tuple[str, ...]:
     return tuple(word[:n] for n in (3, 4, 5) if len(word) > n)
 
 
+NOTHING = (0.0, 0.0)
+
+
 @dataclass
 class Lexicon:
-    """Evidence (a z score) of words and of stems."""
-
-    words: dict[str, float]
-    stems: dict[str, float]
-
-
-def _log_odds(pos: float, neg: float, positives: float, negatives: float) -> float:
-    """Log odds ratio over its standard error, with half a row added everywhere."""
-    ratio = math.log((pos + 0.5) / (positives - pos + 0.5)) - math.log((neg + 0.5) / (negatives - neg + 0.5))
-    return ratio / math.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
-
-
-def features(texts: Iterable[str], lexicon: Lexicon) -> np.ndarray:
-    rows = []
-    for text in texts:
-        lower = text.lower()
-        words = _WORD.findall(lower)
-        n, chars = max(1, len(words)), max(1, len(text))
-        hits = [(at, z) for at, w in enumerate(words) if (z := lexicon.words.get(w))]
-        known = {w: max((lexicon.stems.get(s, 0.0) for s in stems(w)), default=0.0) for w in set(words)}
-        stem_hits = [z for w in words if (z := known[w])]
-        row: list[float] = []
-        for scores in ([z for _, z in hits], stem_hits):
-            top = sorted(scores, reverse=True)[:2] + [0.0, 0.0]
-            row += [len(scores), len(scores) / n, sum(scores), *top[:2], *(sum(z >= least for z in scores) for least in Z)]
-        masked = _MASKED.findall(lower)
-        row.append(sum(w.replace("*", "").translate(LOOKALIKES) in lexicon.words for w in masked))
-        you = [at for at, w in enumerate(words) if w in SECOND_PERSON]
-        strong = [at for at, z in hits if z >= Z[0]]
-        nearest = n
-        if you and strong:
-            places = np.asarray(you)
-            gaps = [int(np.abs(places - at).min()) for at in strong]
-            nearest = min(gaps)
-            row.append(sum(g <= NEAR for g in gaps))
-        else:
-            row.append(0)
-        upper = sum(map(str.isupper, text))
-        shouted = sum(1 for w in _WORD.findall(text) if len(w) > 2 and w.isupper()) if upper > 2 else 0
-        signs = sum(text.count(c) for c in "@#$%*&^")
-        row += [min(nearest, 50), len(you) / n, upper / chars, shouted / n, text.count("!") / n, text.count("?") / n]
-        row += [len(_RUN.findall(text)), signs / chars, len(masked) / n, sum(1 for _ in _LONG.finditer(lower)) / n, sum(1 for _ in _SPACED.finditer(lower))]
-        row += [math.log1p(len(words)), sum(map(len, words)) / n, sum(map(str.isdigit, text)) / chars, len(known) / n, math.log1p(text.count("\n"))]
-        rows.append(row)
+    """Evidence and log odds of words and of stems."""
+
+    words: dict[str, tuple[float, float]]
+    stems: dict[str, tuple[float, float]]
+
+    def __post_init__(self) -> None:
+        self.known: dict[str, tuple] = {}
+
+    def of(self, word: str) -> tuple:
+        """The word's own entry and the best of its stems."""
+        found = self.known.get(word)
+        if found is None:
+            if len(self.known) > CACHED_WORDS:
+                self.known.clear()
+            stem = max((self.stems.get(s, NOTHING) for s in stems(word)), key=lambda e: e[1]) if len(word) > 3 else NOTHING
+            found = self.known[word] = (self.words.get(word, NOTHING), stem)
+        return found
+
+    def __getstate__(self) -> dict:
+        return {"words": self.words, "stems": self.stems, "known": {}}
+
+
+def weighed(pos: float, neg: float, positives: float, negatives: float) -> tuple[float, float]:
+    """Square root of the likelihood ratio statistic, 0 if the token is rarer among toxic rows; log odds."""
+    odds = math.log((pos + 0.5) / (positives - pos + 0.5)) - math.log((neg + 0.5) / (negatives - neg + 0.5))
+    both, rows = pos + neg, max(1.0, positives + negatives)
+    if odds <= 0 or not both:
+        return 0.0, odds
+    expected = both * positives / rows, both * negatives / rows
+    ratio = sum(x * math.log(x / e) for x, e in zip((pos, neg), expected, strict=True) if x)
+    return math.sqrt(max(0.0, 2 * ratio)), odds
+
+
+def _long_runs(data: bytes) -> int:
+    """Places where an ASCII letter stands three times."""
+    a = np.frombuffer(data, np.uint8)
+    if len(a) < 3:
+        return 0
+    letters = (a[2:] >= 97) & (a[2:] <= 122)
+    return int((letters & (a[2:] == a[1:-1]) & (a[1:-1] == a[:-2])).sum())
+
+
+def _spaced(words: list[str]) -> int:
+    """Runs of four or more words of one letter."""
+    runs = length = 0
+    for word in words:
+        length = length + 1 if len(word) == 1 else 0
+        runs += length == 4
+    return runs
+
+
+def _entries(found: list[tuple[tuple[float, float], int]], words: int) -> list[float]:
+    count = sum(n for _, n in found)
+    odds = sorted((e[1] for e, _ in found), reverse=True)[:2] + [0.0, 0.0]
+    tiers = [sum(n for e, n in found if e[0] >= evidence and e[1] >= least) for evidence, least in TIERS]
+    return [count, count / words, sum(e[1] * n for e, n in found), *odds[:2], *tiers]
+
+
+def _features(data: bytes, lexicon: Lexicon) -> list[float]:
+    lower = data.decode().lower()
+    words = _WORD.findall(lower)
+    n, size = max(1, len(words)), max(1, len(data))
+    counts = Counter(words)
+    own, stemmed, strong = [], [], set()
+    for word, times in counts.items():
+        entry, stem = lexicon.of(word)
+        if entry[0]:
+            own.append((entry, times))
+        if stem[0]:
+            stemmed.append((stem, times))
+        if max(entry[1] if entry[0] else 0, stem[1] if stem[0] else 0) >= TIERS[1][1]:
+            strong.add(word)
+    row = _entries(own, n) + _entries(stemmed, n)
+    upper, digits, signs = (size - len(data.translate(None, kind)) if data else 0 for kind in (_UPPER, _DIGITS, _SIGNS))
+    exclaimed, asked = data.count(b"!"), data.count(b"?")
+    masked = _MASKED.findall(lower) if digits or signs or exclaimed else []
+    row.append(sum(w.replace("*", "").translate(LOOKALIKES) in lexicon.words for w in masked))
+    addressed = SECOND_PERSON & counts.keys()
+    near, nearest = 0, 50
+    if addressed and strong:
+        you = np.array([at for at, w in enumerate(words) if w in addressed])
+        hits = np.array([at for at, w in enumerate(words) if w in strong])
+        after = np.searchsorted(you, hits)
+        gaps = np.minimum(np.abs(you[np.minimum(after, len(you) - 1)] - hits), np.abs(you[np.maximum(after - 1, 0)] - hits))
+        near, nearest = int((gaps <= NEAR).sum()), min(50, int(gaps.min()))
+    row += [near, nearest, sum(counts[w] for w in addressed) / n, upper / size, len(_SHOUTED.findall(data)) / n, exclaimed / n, asked / n]
+    row += [len(_RUN.findall(data)) if exclaimed + asked > 1 else 0, signs / size, len(masked) / n, _long_runs(lower.encode()) / n]
+    row.append(_spaced(words) if sum(c for w, c in counts.items() if len(w) == 1) > 3 else 0)
+    row += [math.log1p(len(words)), size / n, digits / size, len(counts) / n, math.log1p(data.count(b"\n"))]
+    return row
+
+
+def features(texts: Iterable[bytes], lexicon: Lexicon) -> np.ndarray:
+    rows = [_features(t, lexicon) for t in texts]
     return np.array(rows, np.float64).reshape(len(rows), len(NAMES))
 
 
@@ -231,22 +287,38 @@ def _lexicons(sample: DataFrame) -> dict[tuple[int, ...], Lexicon]:
     counts = _counted(sample.where(F.col("fold").isin(*FIT_FOLDS)))
     pos = sum((F.col(f"n{f}1") for f in FIT_FOLDS), F.lit(0))
     neg = sum((F.col(f"n{f}0") for f in FIT_FOLDS), F.lit(0))
-    # The ratio orders tokens like the z score does, near enough to keep all that pass it.
-    share = (pos + 0.5) / (neg + 0.5) * F.sqrt(pos)
-    likely = counts.where(pos >= LEAST_DOCS).orderBy(share.desc(), "kind", "token").limit(LEXICON).collect()
+    totals = [max(1, sum(size.get((f, t), 0) for f in FIT_FOLDS)) for t in (1, 0)]
+    # Orders tokens much as their evidence does.
+    gain = pos * (F.ln((pos + 0.5) / (neg + 0.5)) + math.log(totals[1] / totals[0]))
+    likely = counts.where((pos >= LEAST_DOCS) & (gain > 0)).orderBy(gain.desc(), "kind", "token").limit(LEXICON).collect()
     out = {}
     for folds in ((FIT_FOLDS[0],), (FIT_FOLDS[1],), FIT_FOLDS):
         totals = [sum(size.get((f, t), 0) for f in folds) for t in (1, 0)]
         made = Lexicon({}, {})
         for row in likely:
-            have, lack = (sum(row[f"n{f}{t}"] for f in folds) for t in (1, 0))
-            z = _log_odds(have, lack, *totals) if have else 0.0
-            if z >= Z[0] / 2:
-                (made.words if row["kind"] == "w" else made.stems)[row["token"]] = z
+            entry = weighed(*(sum(row[f"n{f}{t}"] for f in folds) for t in (1, 0)), *totals)
+            if entry[0] >= LEAST_EVIDENCE:
+                (made.words if row["kind"] == "w" else made.stems)[row["token"]] = entry
         out[folds] = made
     return out
 
 
+def _thinned(sample: DataFrame) -> DataFrame:
+    """Rows to learn from: of texts that share their smallest shingle hash and label, one.
+
+    Groups of copies would else make all their words look like evidence.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunked(batches, "_text"):
+            keys = [min(shingle_hashes(t, 5, True), default=0) >> 1 for t in texts_of(batch, "_text")]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], [*batch.schema.names, "key"])
+
+    keyed = sample.select("_id", "_text", "toxic", "fold").mapInArrow(run, "_id long, _text string, toxic int, fold int, key long")
+    first = keyed.groupBy("key", "toxic").agg(F.min("_id").alias("_id"))
+    return keyed.join(first, ["key", "toxic", "_id"]).select("_id", "_text", "toxic", "fold")
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[Lexicon, Trees]:
     """The joint lexicon and calibrated trees; labels: (id, toxic), of several the highest."""
     known = labels.where(F.col("toxic").isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max("toxic").cast("int").alias("toxic"))
@@ -256,6 +328,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts = column_set(docs, id_col, text_col).toDF("_id", "_text")
     # About FIT_ROWS rows of three numbers, whatever the table's size.
     sample = staged(texts.join(F.broadcast(known.where(draw < share)), "_id"), "labelled")
+    learnt = F.col("fold").isin(*FIT_FOLDS)
+    sample = staged(_thinned(sample.where(learnt)).unionByName(sample.where(~learnt).select("_id", "_text", "toxic", "fold")), "thinned")
     lexicons = _lexicons(sample)
     one, two = FIT_FOLDS
     by_fold = {one: lexicons[(two,)], two: lexicons[(one,)]}
@@ -264,7 +338,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for batch in chunked(batches, "_text"):
             numbers, found = batch.column("fold").to_pylist(), []
             for text, number in zip(texts_of(batch, "_text"), numbers, strict=True):
-                found.append(features([text.decode()], by_fold.get(number, lexicons[FIT_FOLDS]))[0])
+                found.append(features([text], by_fold.get(number, lexicons[FIT_FOLDS]))[0])
             x = pa.ListArray.from_arrays(np.arange(0, len(found) + 1, dtype=np.int32) * len(NAMES), pa.array(np.concatenate(found)))
             yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("fold"), batch.column("toxic"), x], ["_id", "fold", "toxic", "x"])
 
@@ -290,7 +364,7 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunked(batches, at):
-            x = features((t.decode() for t in texts_of(batch, at)), lexicon)
+            x = features(texts_of(batch, at), lexicon)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(trees.scores(x))], [*batch.schema.names, "score"])
 
     kinds = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema, strict=True))
