@@ -99,3 +99,11 @@ def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = column_set(table(spark, folder, "documents"), "doc_id", "text")
     found = toxicity.scored(docs, table(spark, folder, "labels"))
     return found.select("doc_id", "held_out", "score", "predicted")
+
+
+@query
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    """The stages of ``corpus_pipeline``, one after the other."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, folder)
