@@ -34,39 +34,66 @@ ISLANDS = 2
 EPOCHS = 2
 GENERATIONS = 6
 POPULATION = 6
-CACHED_WORDS = 1 << 18
+CACHED_WORDS = 700_000
+PUNCTUATION = b".,;:!?|"
 
 
 class WordTokenizer:
     """Ids of whole texts, looked up word by word.
 
     The tokenizer drops white space and never joins characters across it, so a text's ids
-    are those of its words in turn. Texts that hold a special token's string are encoded
-    whole, as such a string is taken out before words are.
+    are those of its words in turn. Words not seen before are encoded together, parted by a
+    special token; ASCII case is dropped first, as the tokenizer drops it. Texts that hold a special token's string are encoded whole, as such a
+    string is taken out before words are.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.special = [t.content.encode() for t in self.model.get_added_tokens_decoder().values()]
+        special = self.model.get_added_tokens_decoder()
+        self.special = [t.content.encode() for t in special.values()]
+        self.part, token = next(iter(special.items()))
+        self.between = token.content
         self.known: dict[bytes, bytes] = {}
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.model.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
-
-    def ids(self, text: bytes) -> bytes:
-        if any(s in text for s in self.special):
-            return self._encode([text.decode()])[0]
-        words = text.split()
-        new = [w for w in set(words) if w not in self.known]
-        if new:
-            if len(self.known) > CACHED_WORDS:
-                self.known.clear()
-                new = list(set(words))
-            self.known.update(zip(new, self._encode([w.decode() for w in new]), strict=True))
-        return b"".join(map(self.known.__getitem__, words))
+    def _encode(self, text: str) -> np.ndarray:
+        return np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _learn(self, words: set[bytes]) -> None:
+        """Words that end in punctuation follow from the part before, as letters and signs are never joined."""
+        ended = {}
+        for word in words:
+            core = word.rstrip(PUNCTUATION)
+            if core and len(core) < len(word) and core[-1:].isalpha():
+                ended[word] = (core, word[len(core) :])
+        parts = words.difference(ended).union(*ended.values()).difference(self.known)
+        self._encode_new(list(parts))
+        known = self.known
+        known.update({word: known[core] + known[tail] for word, (core, tail) in ended.items()})
+
+    def _encode_new(self, words: list[bytes]) -> None:
+        for start in range(0, len(words), 4096):
+            some = words[start : start + 4096]
+            ids = self._encode(self.between.join([w.decode() for w in some]) + self.between)
+            ends = np.flatnonzero(ids == self.part)
+            starts = np.concatenate(([0], ends[:-1] + 1))
+            data = ids.tobytes()
+            self.known.update(zip(some, [data[a:b] for a, b in zip((4 * starts).tolist(), (4 * ends).tolist(), strict=True)], strict=True))
+
+    def ids(self, texts: list[bytes]) -> list[bytes]:
+        """Little-endian 32-bit ids of each text."""
+        lower = [t.lower() for t in texts]
+        whole = {i for s in self.special for i, t in enumerate(lower) if s in t}
+        words = [[] if i in whole else t.split() for i, t in enumerate(lower)]
+        seen = set().union(*words)
+        new = seen - self.known.keys()
+        if len(self.known) + len(new) > CACHED_WORDS:
+            self.known.clear()
+            new = seen
+        self._learn(new)
+        get = self.known.__getitem__
+        return [self._encode(t.decode()).tobytes() if i in whole else b"".join(map(get, w)) for i, (t, w) in enumerate(zip(texts, words, strict=True))]
 
 
 _loaded: dict[str, WordTokenizer] = {}
@@ -86,8 +113,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
         row, model, end = TaskContext.get().partitionId() << 33, tokenizer(tokenizer_path), np.array([END_ID], "<u4").tobytes()
         for batch in chunked(batches, "_text"):
             out: dict[str, list] = {n: [] for n in ("at", "piece", "start", "length", "ids_crc32", "ids")}
-            for at, text in enumerate(texts_of(batch, "_text")):
-                ids = model.ids(text) + end
+            for at, ids in enumerate(model.ids(texts_of(batch, "_text"))):
+                ids += end
                 for piece, start in enumerate(range(0, len(ids), 4 * SEQUENCE)):
                     own = ids[start : start + 4 * SEQUENCE]
                     for name, value in zip(out, (at, piece, start // 4, len(own) // 4, zlib.crc32(own), own), strict=True):
