@@ -43,7 +43,7 @@ SECOND_PERSON = frozenset(
 LOOKALIKES = str.maketrans("013457@$!", "oieastasi")
 
 _WORD = re.compile(r"[^\W_]+")
-_MASKED = re.compile(r"[^\W\d_]*[0-9@$*!#][^\W\d_]+")
+_MASKED = re.compile(r"[^\W\d_]*(?:[0-9@$*!#]+[^\W\d_]+)+")
 _SHOUTED = re.compile(rb"[A-Z]{3,}")
 _RUN = re.compile(rb"[!?]{2,}")
 _UPPER, _DIGITS, _SIGNS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"@#$%*&^"
