@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import argparse
 import json
+import sys
 from datetime import date
 
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
 from hearthline.config import WeightType
 from hearthline.operators import quality, validate
 from hearthline.operators.geography import nearest_tracts
 from hearthline.operators.pairs import pair_sales
-from hearthline.plans.estimator import LEVELS, estimate_indices
+from hearthline.plans.estimator import LEVELS, estimate_indices, require_demographics
 from hearthline.session import build_session, staged
 from hearthline.sources import files, generate, sinks
 
@@ -21,14 +25,20 @@ def _calculate(spark, args) -> None:
     if tracts is None:
         tracts = pairs.select("tract_id", "cbsa_id").distinct().selectExpr("*", "substring(tract_id, 1, 2) AS state")
     edges = files.read_adjacency(spark, args.adjacency) if args.adjacency else None
-    if edges is None:
+    if edges is None and "geometry" not in tracts.columns:
+        print("neither adjacency nor outlines given: thin tracts are not merged", file=sys.stderr)
         edges = spark.createDataFrame([], "tract_id string, neighbor_id string")
     people = files.read_demographics(spark, args.demographics) if args.demographics else None
+    require_demographics(args.weighting, args.geography, people)
     estimate = estimate_indices(
         pairs, tracts, edges, people, args.weighting, args.geography, args.start_date, args.end_date
     )
     values = staged(estimate.index_values, "values")
     sinks.write_table(values, args.output, args.format)
+    order = Window.partitionBy("geography_id").orderBy("date")
+    step = values.select((F.try_divide(F.col("index_value"), F.lag("index_value").over(order)) - 1).alias("change"))
+    change = step.agg(F.avg("change")).first()[0]
+    print(f"average change from one date to the next: {'n/a' if change is None else format(change, '.4%')}")
     print(f"{args.geography} index, {args.weighting} weights, {args.start_date} to {args.end_date}: {values.count()} rows")
 
 

@@ -36,9 +36,13 @@ def half_pairs_of_sales(pairs: DataFrame, keys: list[str] = ["tract_id"]) -> Dat
 
 
 def half_pair_panel(
-    pairs: DataFrame, start_year: int, end_year: int, window_years: int = 2, keys: list[str] = ["tract_id"]
+    pairs: DataFrame, start_year: int | None = None, end_year: int | None = None, window_years: int = 2,
+    keys: list[str] = ["tract_id"],
 ) -> DataFrame:
-    """Pairs with a sale in a year or the ones before it in the window, for every year."""
+    """Pairs with a sale in a year or the ones before it in the window, for every year.
+
+    Years are those between the bounds; without a bound, all that a window reaches.
+    """
     reach = window_years - 1
     touched = F.array_distinct(
         F.concat(F.sequence("_y1", F.col("_y1") + reach), F.sequence("_y2", F.col("_y2") + reach))
@@ -46,7 +50,8 @@ def half_pair_panel(
     return (
         _by_sale_years(pairs, keys)
         .select(*keys, F.explode(touched).alias("year"), "_n")
-        .where(F.col("year").between(start_year, end_year))
+        .where(F.lit(True) if start_year is None else F.col("year") >= start_year)
+        .where(F.lit(True) if end_year is None else F.col("year") <= end_year)
         .groupBy(*keys, "year")
         .agg(F.sum("_n").alias("half_pairs"))
     )

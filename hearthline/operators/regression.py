@@ -353,12 +353,12 @@ def period_returns(series: DataFrame, keys: list[str], length: str = "quarterly"
 
 
 def rebase(series: DataFrame, keys: list[str], base_year: int, base_value: float = 100.0) -> DataFrame:
-    """Scale each series so that its first value in base_year is base_value."""
-    base = (
-        series.where(F.year("date") == base_year)
-        .groupBy(*keys)
-        .agg(F.min_by("index_value", "date").alias("_base"))
-    )
+    """Scale each series so that its first value in base_year is base_value.
+
+    A series without that year is scaled by the first value of the year nearest to it.
+    """
+    nearest = F.struct(F.abs(F.year("date") - base_year), "date")
+    base = series.groupBy(*keys).agg(F.min_by("index_value", nearest).alias("_base"))
     return (
         series.join(base, keys)
         .withColumn("index_value", F.col("index_value") / F.col("_base") * base_value)

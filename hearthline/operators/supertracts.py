@@ -6,6 +6,7 @@ input there is one row per tract with its neighbour list, bounded by geography.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 
 import numpy as np
@@ -17,7 +18,7 @@ from hearthline.config import SupertractOptions
 from hearthline.session import cut_lineage, spread
 
 FIELDS = (
-    "year int, region string, supertract_id string, component_tract_ids array<string>, "
+    "year int, region string, supertract_id string, label string, component_tract_ids array<string>, "
     "half_pairs_count bigint, is_merged boolean"
 )
 
@@ -29,11 +30,19 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return forward.unionByName(backward).where("tract_id <> neighbor_id").distinct()
 
 
-def connected_regions(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Smallest tract id reachable from each tract; for adjacency that crosses areas."""
+def group_id(members: list[str]) -> str:
+    """Name of a merged group by all its members, so that groups share a name only if they are the same."""
+    return "super_" + hashlib.sha1("\x1f".join(sorted(members)).encode()).hexdigest()
+
+
+def connected_regions(edges: DataFrame) -> DataFrame:
+    """Smallest tract id reachable from each tract; for adjacency that crosses areas.
+
+    Labels move along edges and jump to their own label's label until none changes.
+    """
     edges = cut_lineage(both_ways(edges))
     labels = cut_lineage(edges.select("tract_id", F.col("tract_id").alias("region")).distinct())
-    for _ in range(max_rounds):
+    while True:
         seen = edges.join(labels.withColumnRenamed("tract_id", "neighbor_id"), "neighbor_id")
         lowest = seen.groupBy("tract_id").agg(F.min("region").alias("_seen"))
         nearer = labels.join(lowest, "tract_id").select("tract_id", F.least("region", "_seen").alias("region"))
@@ -45,20 +54,37 @@ def connected_regions(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         labels = moved
         if changed.isEmpty():
             return labels
-    raise RuntimeError("regions did not settle; raise max_rounds")
 
 
-def _by_adjacency(counts: dict, short: set, neighbors: dict, met) -> list[list[str]]:
+class _Running:
+    """Sums of a growing group, this year's and, where asked for, the year before's."""
+
+    def __init__(self, counts: dict, earlier: dict, minimum: int, prior_too: bool) -> None:
+        self.counts, self.earlier, self.minimum, self.prior_too = counts, earlier, minimum, prior_too
+        self.now = self.before = 0
+
+    def start(self) -> None:
+        self.now = self.before = 0
+
+    def add(self, tract: str) -> bool:
+        """Whether the group has enough with this tract."""
+        self.now += self.counts[tract]
+        self.before += self.earlier[tract]
+        return self.now >= self.minimum and (not self.prior_too or self.before >= self.minimum)
+
+
+def _by_adjacency(counts: dict, short: set, neighbors: dict, sums: _Running) -> list[list[str]]:
     """Grow each thin tract through its frontier, thin and small neighbours first."""
     groups, taken = [], set()
     for seed in sorted(short, key=lambda t: (counts[t], t)):
         if seed in taken:
             continue
         members, frontier, newest = [], [], seed
+        sums.start()
         while True:
             members.append(newest)
             taken.add(newest)
-            if met(members):
+            if sums.add(newest):
                 groups.append(members)
                 break
             for other in neighbors.get(newest, ()):
@@ -72,7 +98,18 @@ def _by_adjacency(counts: dict, short: set, neighbors: dict, met) -> list[list[s
     return groups
 
 
-def _by_centroid(counts: dict, short: set, points: pd.DataFrame, met) -> list[list[str]]:
+def _nearest_first(names: np.ndarray, away: np.ndarray):
+    """Names by distance, then name; only as many are sorted as are asked for."""
+    done, size = 0, 64
+    while done < len(names):
+        reach = np.partition(away, min(size, len(away)) - 1)[min(size, len(away)) - 1]
+        near = np.flatnonzero(away <= reach)
+        order = near[np.lexsort((names[near], away[near]))]
+        yield from names[order[done:]]
+        done, size = len(order), size * 8
+
+
+def _by_centroid(counts: dict, short: set, points: pd.DataFrame, sums: _Running) -> list[list[str]]:
     """Grow each thin tract with the nearest tracts not yet taken."""
     groups, taken = [], set()
     names = points.index.to_numpy()
@@ -82,13 +119,16 @@ def _by_centroid(counts: dict, short: set, points: pd.DataFrame, met) -> list[li
             continue
         at = points.index.get_loc(seed)
         members = [seed]
-        for other in names[np.lexsort((names, np.hypot(x - x[at], y - y[at])))]:
-            if met(members):
+        sums.start()
+        enough = sums.add(seed)
+        for other in _nearest_first(names, np.hypot(x - x[at], y - y[at])):
+            if enough:
                 break
             if other != seed and other not in taken:
                 members.append(other)
+                enough = sums.add(other)
         taken.update(members)
-        if met(members):
+        if enough:
             groups.append(members)
     return groups
 
@@ -124,22 +164,23 @@ def build_supertracts(
         counts = dict(zip(frame["tract_id"], frame["half_pairs"].astype(int)))
         earlier = dict(zip(frame["tract_id"], frame["prior"].fillna(0).astype(int)))
 
-        def met(members):
-            return sum(counts[t] for t in members) >= minimum and (
-                not prior_too or sum(earlier[t] for t in members) >= minimum
-            )
+        sums = _Running(counts, earlier, minimum, prior_too)
+
+        def alone(tract):
+            sums.start()
+            return sums.add(tract)
 
-        short = {t for t in counts if not met([t])}
+        short = {t for t in counts if not alone(t)}
         if nearest:
             points = frame.set_index("tract_id").rename(columns={"centroid_x": "x", "centroid_y": "y"})
-            merged = _by_centroid(counts, short, points, met)
+            merged = _by_centroid(counts, short, points, sums)
         else:
             near = {t: n for t, n in zip(frame["tract_id"], frame["neighbors"]) if n is not None}
-            merged = _by_adjacency(counts, short, near, met)
+            merged = _by_adjacency(counts, short, near, sums)
         out = [
-            [*key, "super_" + "_".join(sorted(m)[:3]), sorted(m), sum(counts[t] for t in m), True] for m in merged
+            [*key, group_id(m), "super_" + "_".join(sorted(m)[:3]), sorted(m), sum(counts[t] for t in m), True] for m in merged
         ]
-        out += [[*key, f"super_{t}", [t], counts[t], False] for t in counts if t not in short]
+        out += [[*key, f"super_{t}", f"super_{t}", [t], counts[t], False] for t in counts if t not in short]
         return pd.DataFrame(out, columns=[f.split()[0] for f in FIELDS.split(", ")])
 
     return spread(rows, ["year", "region"]).groupBy("year", "region").applyInPandas(merge, FIELDS)

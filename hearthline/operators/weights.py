@@ -61,14 +61,14 @@ def merged_national(area_weights: DataFrame) -> DataFrame:
     return normalise(area_weights.withColumn("geography_id", F.lit(NATION)))
 
 
-def equal_weights(tracts: DataFrame, start_year: int, end_year: int, column: str = "cbsa_id") -> DataFrame:
-    """The same weight for every tract of a geography, in every year."""
+def equal_weights(tracts: DataFrame, periods: DataFrame, column: str = "cbsa_id") -> DataFrame:
+    """The same weight for every tract of a geography, in every year of periods (period), a table of a few rows."""
     geography = F.lit(NATION) if column == NATION else F.col(column)
     members = tracts.select(geography.alias("geography_id"), "tract_id").distinct()
     counts = members.groupBy("geography_id").agg(F.count(F.lit(1)).alias("_n"))
-    years = F.explode(F.sequence(F.lit(start_year), F.lit(end_year)))
-    return members.join(counts, "geography_id").select(
-        "geography_id", years.alias("period"), F.lit("sample").alias("weight_type"), "tract_id", (1 / F.col("_n")).alias("weight")
+    years = periods.agg(F.collect_set("period").alias("_periods"))
+    return members.join(counts, "geography_id").crossJoin(years).select(
+        "geography_id", F.explode("_periods").alias("period"), F.lit("sample").alias("weight_type"), "tract_id", (1 / F.col("_n")).alias("weight")
     )
 
 

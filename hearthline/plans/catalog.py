@@ -130,11 +130,11 @@ def repeat_sale_pairs_of_lines(spark, folder):
 
 
 def _comparable_growth(df):
-    """Growth over a few days runs to powers of ten beyond double precision; its log does not."""
+    """Growth over a few days runs to hundreds of digits: compared at ten of them, and by its log."""
     return df.withColumns(
         {
             "log_growth": F.try_divide(F.ln("second_sale_price") - F.ln("first_sale_price"), F.col("time_diff_years")),
-            "cagr": F.when(F.abs("cagr") <= 1000, F.col("cagr")),
+            "cagr": F.when(F.col("cagr").isNotNull(), F.format_string("%.9e", "cagr")),
         }
     )
 
@@ -223,7 +223,7 @@ def half_pairs_of_sales(days):
 
 @query
 def half_pair_panel(days):
-    return panel.half_pair_panel(_valid(days), 1996, 2001)
+    return panel.half_pair_panel(_valid(days))
 
 
 @query
@@ -556,7 +556,7 @@ def weights_merged_national(days):
 
 @query
 def weights_equal(days):
-    return weights.equal_weights(retail.tracts(days), 1996, 1999)
+    return weights.equal_weights(retail.tracts(days), days.select(F.year("sale_date").alias("period")).distinct())
 
 
 @staged_query
@@ -642,8 +642,12 @@ def weights_adjustment_report(days):
 
 @query
 def weights_nearest_year(days):
-    sets = _area_weights(days).where("period in (1996, 1998, 2001)")
-    wanted = sets.select("geography_id").distinct().withColumn("base_year", F.lit(1997))
+    sets = _area_weights(days)
+    # Base years before, inside and after the periods there are, by geography.
+    spans = sets.groupBy("geography_id").agg(F.min("period").alias("_first"), F.max("period").alias("_last"))
+    place = F.pmod(F.col("geography_id").cast("int"), F.lit(3))
+    base_year = F.when(place == 0, F.col("_first") - 2).when(place == 1, F.floor((F.col("_first") + F.col("_last")) / 2)).otherwise(F.col("_last") + 3)
+    wanted = spans.select("geography_id", base_year.cast("int").alias("base_year"))
     return weights.nearest_period(sets, wanted)
 
 

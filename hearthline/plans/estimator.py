@@ -46,6 +46,12 @@ def _in_span(df: DataFrame, column: str, span: DataFrame) -> DataFrame:
     return df.join(F.broadcast(span), F.col(column).between(F.col("_from"), F.col("_to"))).drop("_from", "_to")
 
 
+def require_demographics(weight_type: str, level: str, demographics: DataFrame | None) -> None:
+    """Equal weights are what "sample" means; any other weighting cannot do without the table."""
+    if demographics is None and level != "tract" and weight_type != "sample":
+        raise ValueError(f"weighting by {weight_type} needs demographics, and there are none")
+
+
 def level_weights(
     tracts: DataFrame, demographics: DataFrame | None, weight_type: str, level: str, span: DataFrame
 ) -> DataFrame:

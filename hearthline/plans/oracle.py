@@ -228,7 +228,7 @@ PARTS.update(_hierarchy_step("state", "nation", "state_series", "USA"))
 PAIR = "property_id, tract_id, cbsa_id, first_sale_date, first_sale_price, second_sale_date, second_sale_price"
 SET = "geography_id, period, weight_type"
 GROWTH = """round((ln(second_sale_price) - ln(first_sale_price)) / time_diff_years, 6) + 0.0 AS log_growth,
-    CASE WHEN abs(cagr) <= 1000 THEN round(cagr, 6) + 0.0 END AS cagr"""
+    printf('%.9e', cagr) AS cagr"""
 
 
 def _moments(column: str, label: str) -> str:
@@ -382,7 +382,7 @@ SELECTS: dict[str, tuple[tuple[str, ...], str]] = {
     "half_pair_panel": (
         ("touched",),
         """SELECT tract_id, CAST(y.year AS INT) AS year, count(*) AS half_pairs
-           FROM touched JOIN (SELECT unnest(range(1996, 2002)) AS year) y
+           FROM touched JOIN (SELECT unnest(range(least(min(y1), min(y2)), greatest(max(y1), max(y2)) + 2)) AS year FROM touched) y
              ON y1 BETWEEN y.year - 1 AND y.year OR y2 BETWEEN y.year - 1 AND y.year GROUP BY ALL""",
     ),
     "sufficient_tract_years": (
@@ -443,7 +443,8 @@ SELECTS: dict[str, tuple[tuple[str, ...], str]] = {
     "index_rebased": (
         ("levels",),
         """SELECT tract_id, date, round(index_value / base * 100, 6) AS index_value FROM levels JOIN (
-             SELECT tract_id, arg_min(index_value, date) AS base FROM levels WHERE year(date) = 1998 GROUP BY 1)
+             SELECT tract_id, arg_min(index_value, abs(year(date) - 1998) * 1000000 + date_diff('day', DATE '1900-01-01', date)) AS base
+             FROM levels GROUP BY 1)
            USING (tract_id)""",
     ),
     "outlier_flags": (
@@ -559,10 +560,10 @@ SELECTS: dict[str, tuple[tuple[str, ...], str]] = {
              round(weight / sum(weight) OVER (PARTITION BY period), 6) AS weight FROM area_value""",
     ),
     "weights_equal": (
-        ("tracts",),
+        ("tracts", "lines"),
         """SELECT cbsa_id AS geography_id, CAST(y.period AS INT) AS period, 'sample' AS weight_type, tract_id,
              round(1 / count(*) OVER (PARTITION BY cbsa_id, y.period), 6) AS weight
-           FROM tracts, (SELECT unnest(range(1996, 2000)) AS period) y""",
+           FROM tracts, (SELECT DISTINCT year(sale_date) AS period FROM lines) y""",
     ),
     "weights_half_pairs": (
         ("half", "tracts"),
@@ -655,8 +656,12 @@ SELECTS: dict[str, tuple[tuple[str, ...], str]] = {
     "weights_nearest_year": (
         ("area_value",),
         f"""SELECT {SET}, tract_id, round(weight, 6) AS weight FROM area_value WHERE (geography_id, period) IN (
-             SELECT geography_id, arg_min(period, abs(period - 1997) * 10000 + period)
-             FROM area_value WHERE period IN (1996, 1998, 2001) GROUP BY 1)""",
+             SELECT geography_id, arg_min(period, abs(period - base_year) * 10000 + period) FROM (
+               SELECT *, CASE CAST(geography_id AS INT) % 3 WHEN 0 THEN low - 2
+                 WHEN 1 THEN CAST(floor((low + high) / 2) AS INT) ELSE high + 3 END AS base_year
+               FROM (SELECT geography_id, period, min(period) OVER g AS low, max(period) OVER g AS high
+                     FROM area_value WINDOW g AS (PARTITION BY geography_id)))
+             GROUP BY 1)""",
     ),
     "area_index_by_year_weights": (
         ("area_value", "levels"),

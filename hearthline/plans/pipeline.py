@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from hearthline.config import FitOptions, OutlierRules, RobustOptions, SupertractOptions
 from hearthline.operators import outliers, quality, validate
-from hearthline.plans.estimator import estimate_indices
+from hearthline.plans.estimator import estimate_indices, require_demographics
 from hearthline.session import ship_package
 from hearthline.sources import files, sinks
 
@@ -80,10 +80,9 @@ def build_index(
         sinks.write_table(report.scores, f"{output}/quality_scores", single_file=True)
         scores = report.scores.first().asDict()
         summary = report.summary.first().asDict()
-        rates = [r.asDict() for r in report.rules.collect()]
         content = {
             "overall_score": scores["overall"], "scores": scores, "metrics": summary,
-            "recommendations": quality.recommendations(summary, rates, scores),
+            "recommendations": quality.recommendations(report),
         }
         sinks.write_json(spark, content, f"{output}/quality_report.json")
 
@@ -92,9 +91,11 @@ def build_index(
         sinks.write_table(flagged, f"{output}/flagged")
 
     def estimated():
+        people = demographics if demographics is not None else files.load_stored_demographics(spark, folder)
+        require_demographics(weight_type, level, people)
         pairs = read(f"{output}/flagged").where("not is_outlier")
         estimate = estimate_indices(
-            pairs, files.load_stored_tracts(spark, folder), files.load_stored_adjacency(spark, folder), demographics,
+            pairs, files.load_stored_tracts(spark, folder), files.load_stored_adjacency(spark, folder), people,
             weight_type, level, start, end, supertract_options=supertract_options,
             fit_options=FitOptions(min_pairs=10), robust=RobustOptions() if robust else None,
         )

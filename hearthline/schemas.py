@@ -29,7 +29,7 @@ TRACT_FEATURE = (
     "struct<type: string, properties: struct<tract_id: string, state: string, county: string, "
     "cbsa_id: string, centroid: string, population: bigint, area_sqmi: double, "
     "centroid_x: double, centroid_y: double>, "
-    "geometry: struct<type: string, coordinates: array<array<array<double>>>>>"
+    "geometry: struct<type: string, coordinates: string>>"
 )
 
 WEIGHTS = "geography_id string, period int, weight_type string, tract_id string, weight double"

@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 from datetime import date
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hearthline import schemas
 from hearthline.operators.regression import within_dates
 
+# Folders below a store that writers and readers share.
+STREAMED = "transactions_streamed"
+TRACTS = "geography/tracts.parquet"
+
 
 def _csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.csv(path, schema=schema, header=True, mode="FAILFAST", enforceSchema=False)
@@ -39,33 +45,62 @@ def read_market_indices(spark: SparkSession, path: str) -> DataFrame:
     return _csv(spark, path, schemas.MARKET_INDICES)
 
 
-def read_tracts(spark: SparkSession, path: str, one_feature_per_line: bool = True) -> DataFrame:
+RING = "array<array<double>>"
+
+
+def _files_without(rows: DataFrame, found: Column) -> list[str]:
+    """Files none of whose lines meet the condition; the driver lists the files anyhow."""
+    counts = rows.groupBy(F.input_file_name().alias("file")).agg(F.count_if(found).alias("n"))
+    return [r["file"] for r in counts.where("n = 0").collect()]
+
+
+def _outer_ring(geometry: str) -> Column:
+    """Outer ring of a polygon; of several polygons, the one with the largest bounding box."""
+    text = F.col(f"{geometry}.coordinates")
+    several = F.from_json(text, f"array<array<{RING}>>")
+    rings = F.transform(several, lambda polygon: polygon[0])
+
+    def extent(ring: Column, axis: int) -> Column:
+        along = F.transform(ring, lambda point: point[axis])
+        return F.array_max(along) - F.array_min(along)
+
+    sized = F.transform(rings, lambda r: F.struct((extent(r, 0) * extent(r, 1)).alias("size"), r.alias("ring")))
+    return F.when(F.col(f"{geometry}.type") == "MultiPolygon", F.array_max(sized)["ring"]).otherwise(
+        F.from_json(text, f"array<{RING}>")[0]
+    )
+
+
+def read_tracts(spark: SparkSession, path: str) -> DataFrame:
     """GeoJSON tracts with their outer ring as an array of points.
 
-    The usual layout has one feature per line and is read in parallel; any other layout
-    is read as one document per file.
+    Files with one feature per line are read in parallel. Any other layout, on one line or
+    indented, is read as one document per file, whose size is that of the file.
     """
-    if one_feature_per_line:
-        lines = spark.read.text(path).select(F.rtrim(F.trim("value"), F.lit(",")).alias("line"))
-        features = lines.where(F.col("line").rlike(r'^\{\s*"type"\s*:\s*"Feature"\s*,')).select(
-            F.from_json("line", schemas.TRACT_FEATURE).alias("f")
-        )
-    else:
-        document = spark.read.schema(f"features array<{schemas.TRACT_FEATURE}>").json(path, multiLine=True)
-        features = document.select(F.explode("features").alias("f"))
-    return features.select("f.properties.*", F.col("f.geometry.coordinates")[0].alias("geometry"))
-
-
-def read_adjacency(spark: SparkSession, path: str, one_object_per_line: bool = False) -> DataFrame:
+    line = F.rtrim(F.trim("value"), F.lit(","))
+    lines = spark.read.text(path)
+    per_line = line.rlike(r'^\{\s*"type"\s*:\s*"Feature"\s*,')
+    features = lines.where(per_line).select(F.from_json(line, schemas.TRACT_FEATURE).alias("f"))
+    documents = _files_without(lines, per_line)
+    if documents:
+        whole = spark.read.schema(f"features array<{schemas.TRACT_FEATURE}>").json(documents, multiLine=True)
+        features = features.unionByName(whole.select(F.explode("features").alias("f")))
+    return features.select("f.properties.*", _outer_ring("f.geometry").alias("geometry"))
+
+
+def read_adjacency(spark: SparkSession, path: str) -> DataFrame:
     """Edges (tract_id, neighbor_id, rank) from JSON objects of neighbour lists.
 
-    A single object is one document, whose size is that of the geography; the layout our
-    own sink writes has one object per line and is read in parallel.
+    One object per line, the layout of our own sink, is read in parallel. A file without
+    such a line is one document, whose size is that of the geography.
     """
-    document = spark.read.text(path, wholetext=not one_object_per_line).select(
-        F.from_json("value", "map<string, array<string>>").alias("m")
-    )
-    lists = document.select(F.explode("m").alias("tract_id", "neighbors"))
+    kind = "map<string, array<string>>"
+    lines = spark.read.text(path)
+    parsed = F.from_json("value", kind)
+    maps = lines.select(parsed.alias("m")).where(F.col("m").isNotNull())
+    documents = _files_without(lines, parsed.isNotNull())
+    if documents:
+        maps = maps.unionByName(spark.read.text(documents, wholetext=True).select(parsed.alias("m")))
+    lists = maps.select(F.explode("m").alias("tract_id", "neighbors"))
     return lists.select("tract_id", F.posexplode("neighbors").alias("position", "neighbor_id")).select(
         "tract_id", "neighbor_id", (F.col("position") + 1).alias("rank")
     )
@@ -97,16 +132,37 @@ def read_upload(spark: SparkSession, path: str, file_format: str, schema: str =
     raise ValueError(f"unsupported file format: {file_format}")
 
 
+def _stored(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:
+    """A stored Parquet table, or None where there is none."""
+    try:
+        return (spark.read.schema(schema) if schema else spark.read).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
 def load_pairs_between(
     spark: SparkSession, folder: str, start: date | None = None, end: date | None = None
 ) -> DataFrame:
-    """Stored pairs whose second sale lies in the range; the filter reaches the Parquet scan."""
-    stored = spark.read.schema(schemas.PAIRS).parquet(f"{folder}/transactions")
-    return within_dates(stored, start, end)
+    """Stored pairs whose second sale lies in the range; the filter reaches the Parquet scan.
+
+    Uploaded pairs and those appended by a stream lie in two folders: once a stream has
+    written to a folder, readers trust its log and would not see other files there.
+    """
+    parts = [_stored(spark, f"{folder}/{name}", schemas.PAIRS) for name in ("transactions", STREAMED)]
+    found = [p for p in parts if p is not None]
+    if not found:
+        raise FileNotFoundError(f"no stored pairs in {folder}")
+    return within_dates(reduce(DataFrame.unionByName, found), start, end)
 
 
 def load_stored_tracts(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/geography/tracts.parquet")
+    return spark.read.parquet(f"{folder}/{TRACTS}")
+
+
+def load_stored_demographics(spark: SparkSession, folder: str) -> DataFrame | None:
+    return _stored(spark, f"{folder}/demographics", schemas.DEMOGRAPHICS)
 
 
 def load_stored_adjacency(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Pairs that keep arriving as files: check them once, append the valid ones.
 
-The store this writes is the one the batch jobs read, so a later index build simply sees
-more pairs.
+They go to a folder of their own in the store, next to the one that uploads append to: a
+folder with a stream's log hides files that others put there. Readers take both.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from hearthline import schemas
 from hearthline.operators.validate import validate_pairs
+from hearthline.sources.files import STREAMED
 
 
 def arriving_pairs(spark: SparkSession, folder: str, file_format: str = "csv") -> DataFrame:
@@ -27,7 +28,7 @@ def append_valid_pairs(arriving: DataFrame, store: str, progress: str) -> Stream
     valid = arriving.where("is_valid").select(*schemas.PAIR_COLUMNS)
     return (
         valid.writeStream.format("parquet")
-        .option("path", f"{store}/transactions")
+        .option("path", f"{store}/{STREAMED}")
         .option("checkpointLocation", progress)
         .outputMode("append")
         .trigger(availableNow=True)

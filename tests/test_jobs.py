@@ -1,13 +1,16 @@
 import glob
+import json
 import os
 import tempfile
 from datetime import date
 
 import duckdb
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from hearthline import cli, schemas
-from hearthline.config import SupertractOptions
+from hearthline.config import SupertractOptions, WeightType
 from hearthline.operators.geography import nearest_tracts
 from hearthline.plans import pipeline, service, store
 from hearthline.plans.catalog import QUERIES
@@ -18,7 +21,7 @@ from hearthline.streaming.uploads import append_valid_pairs, arriving_pairs, rej
 TABLES = "/root/testdata/sf0.001"
 CHECKED = [
     "sales_by_property_day", "repeat_sale_pairs_of_lines", "validated_pairs", "validation_report", "half_pair_panel",
-    "tracts_with_latest_demographics", "normal_moments", "area_fit_optimality", "quality_geographic", "tract_nearest",
+    "tracts_with_latest_demographics", "normal_moments", "pair_metrics", "weights_nearest_year", "weights_equal", "index_rebased", "area_fit_optimality", "quality_geographic", "tract_nearest",
     "weights_all_types", "weights_consistency", "laspeyres_area", "area_index_log_chain", "metric_summary",
 ]
 
@@ -129,7 +132,13 @@ def test_arriving_files_are_appended_once(spark):
         with open(f"{folder}/in/{i}.csv", "w") as target:
             target.write(HEADER + f"P{i},01,10000,2019-01-01,100000,2020-01-01,105000\nP{i},01,10000,2019-01-01,1,2019-01-02,1\n")
         append_valid_pairs(arriving_pairs(spark, f"{folder}/in"), f"{folder}/store", f"{folder}/progress").awaitTermination(120)
-    assert spark.read.parquet(f"{folder}/store/transactions").count() == 2
+    assert files.load_pairs_between(spark, f"{folder}/store").count() == 2
+    upload = service.UploadRequest("transactions", "csv")
+    for count, upload.replace_existing in ((3, False), (4, False), (3, True)):
+        assert service.upload(spark, f"{folder}/store", f"{folder}/in/0.csv", upload).status == "success"
+        assert files.load_pairs_between(spark, f"{folder}/store").count() == count
+    with pytest.raises(FileNotFoundError):
+        files.load_pairs_between(spark, f"{folder}/none")
     assert rejections(arriving_pairs(spark, f"{folder}/in")).isStreaming
 
 
@@ -155,10 +164,65 @@ def test_geography_files_round_trip(spark):
     written = sinks.export_geography({"tracts": tracts, "cbsas": generate.area_table(tracts), "adjacency": nearest_tracts(tracts, 3)}, folder)
     back = files.read_tracts(spark, written[0])
     assert back.count() == 12 and len(back.first().geometry) == 5
-    assert files.read_adjacency(spark, written[2], one_object_per_line=True).count() == 36
+    assert files.read_adjacency(spark, written[2]).count() == 36
+    geography = files.read_geography(spark, folder, cbsas="cbsas")
+    assert {name: table.count() for name, table in geography.items()} == {"tracts": 12, "cbsas": 2, "adjacency": 36}
     assert files.read_cbsas(spark, written[1]).count() == 2
 
 
+def test_geojson_in_any_layout(spark):
+    folder = tempfile.mkdtemp(prefix="hearthline-geo-")
+
+    def feature(name, kind, coordinates):
+        return {"type": "Feature", "properties": {"tract_id": name}, "geometry": {"type": kind, "coordinates": coordinates}}
+
+    small, large = [[[0, 0], [1, 0], [1, 1], [0, 0]]], [[[5, 5], [9, 5], [9, 9], [5, 5]]]
+    whole = {"type": "FeatureCollection", "features": [feature("a", "Polygon", small), feature("b", "MultiPolygon", [small, large])]}
+    lines = '{"type": "FeatureCollection", "features": [\n' + ",\n".join(json.dumps(f) for f in whole["features"]) + "\n]}"
+    for name, text in (("one", json.dumps(whole)), ("indented", json.dumps(whole, indent=2)), ("lines", lines)):
+        with open(f"{folder}/{name}.geojson", "w") as target:
+            target.write(text)
+        found = {r.tract_id: r.geometry for r in files.read_tracts(spark, f"{folder}/{name}.geojson").collect()}
+        assert found == {"a": small[0], "b": large[0]}
+    assert files.read_tracts(spark, folder).count() == 6
+    edges = {"a": ["b", "c"], "b": ["a"]}
+    for name, indent in (("one", None), ("indented", 2)):
+        with open(f"{folder}/{name}.json", "w") as target:
+            json.dump(edges, target, indent=indent)
+        assert files.read_adjacency(spark, f"{folder}/{name}.json").count() == 3
+
+
+def test_rejected_rows_are_all_kept(spark):
+    folder = tempfile.mkdtemp(prefix="hearthline-up-")
+    with open(f"{folder}/new.csv", "w") as target:
+        target.write(HEADER + "".join(f"P{i},01,10000,2019-01-01,1,2019-01-02,1\n" for i in range(150)))
+    answer = service.upload(spark, f"{folder}/store", f"{folder}/new.csv", service.UploadRequest("transactions", "csv", errors_shown=7))
+    assert (answer.status, len(answer.validation_errors), answer.records_invalid) == ("validation_failed", 7, 150)
+    assert spark.read.parquet(answer.rejected_path).count() == 150
+
+
+def test_weights_are_what_they_say(spark, stored):
+    request = service.IndexRequest(date(2010, 1, 1), date(2020, 12, 31), weighting_scheme=WeightType.VALUE, include_quality_metrics=False, include_outlier_analysis=False)
+    few = SupertractOptions(min_half_pairs=10)
+    people = files.load_stored_demographics(spark, stored)
+    assert people is None
+    answer = service.calculate_index(spark, stored, request, supertract_options=few)
+    assert answer.status == "error" and "needs demographics" in answer.error_message
+    tracts = files.load_stored_tracts(spark, stored).select("tract_id").distinct()
+    rank = F.dense_rank().over(Window.orderBy("tract_id")).cast("double")
+    table = tracts.withColumn("value", F.pow(rank, 3)).crossJoin(spark.range(2008, 2022)).selectExpr(
+        "tract_id", "cast(id as int) year", "1 housing_units", "value median_value", "0.1D college_share", "0.1D non_white_share", "1D upb_total"
+    )
+    value = service.calculate_index(spark, stored, request, table, supertract_options=few)
+    request.weighting_scheme = WeightType.SAMPLE
+    request.filters = {"no_such_column": ["x"]}
+    equal = service.calculate_index(spark, stored, request, supertract_options=few)
+    assert value.status == equal.status == "success" and equal.seconds > 0
+    assert equal.warnings == ["no column no_such_column: that filter keeps all rows"]
+    levels = [{(r.geography_id, r.date): r.index_value for r in a.index_values.collect()} for a in (value, equal)]
+    assert any(abs(levels[0][k] - levels[1][k]) > 1e-6 for k in levels[0].keys() & levels[1].keys())
+
+
 def test_command_line(spark, capsys):
     folder = tempfile.mkdtemp(prefix="hearthline-cli-")
     cli.main(["generate", "--output", folder, "--num-cbsas", "2", "--tracts-per-cbsa", "3", "--properties-per-tract", "150"])

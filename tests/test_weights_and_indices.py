@@ -119,8 +119,27 @@ def test_scenarios_equal_their_own_fits(spark, pairs_table, random_pairs):
         assert got[name] == {d: pytest.approx(x) for d, x in want.items()}
     impacts = {r.scenario: r for r in sensitivity.impact(found).collect()}
     assert impacts["weight_upb"].max_difference == pytest.approx(0, abs=1e-9)
-    kinds = [r.asDict() for r in sensitivity.importance(sensitivity.impact(found), chosen).collect()]
-    assert sensitivity.recommendations([r.asDict() for r in impacts.values()], kinds)[1].startswith("Most sensitive to")
+    effects = sensitivity.impact(found)
+    assert sensitivity.recommendations(effects, sensitivity.importance(effects, chosen))[1].startswith("Most sensitive to")
+
+
+def test_advice_follows_its_rules(spark):
+    kinds = spark.createDataFrame([("time_window", 12.0), ("data_filter", 6.0), ("robust_method", 9.0), ("weight_type", 1.0)], "parameter_type string, avg_impact double")
+    impacts = spark.createDataFrame([("time_window_3y", 12.0), ("robust_huber", 3.0)], "scenario string, max_pct_difference double")
+    advice = sensitivity.recommendations(impacts, kinds)
+    assert advice[0].startswith("⚠ High sensitivity detected: Index values can vary by up to 12.0%")
+    assert advice[1] == "Most sensitive to: time_window (avg impact: 12.0%)"
+    assert advice[2:4] == [sensitivity.ADVICE["time_window"], sensitivity.ADVICE["data_filter"]] and advice[4] == sensitivity.ROBUST
+    assert sensitivity.recommendations(impacts.limit(0), kinds.limit(0)) == [sensitivity.LOW % 0.0]
+
+
+def test_a_scenario_that_fails_leaves_a_warning(spark, pairs_table, random_pairs):
+    table, warnings = pairs_table(random_pairs(120, months=8)), []
+    chosen = [sensitivity.Scenario("odd", "no_such_kind"), sensitivity.Scenario("robust_odd", "robust_method", {"method": "none"}), sensitivity.default_scenarios()[0]]
+    found = {r.scenario for r in sensitivity.scenario_series(table, chosen, warnings=warnings).select("scenario").distinct().collect()}
+    assert found == {"base_case", chosen[2].name} and len(warnings) == 2
+    with pytest.raises(ValueError):
+        sensitivity.scenario_series(table, chosen)
 
 
 def test_estimate_on_every_level(spark, pairs_table, random_pairs):
