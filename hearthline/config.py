@@ -63,9 +63,6 @@ class RobustOptions:
     mad_factor: float = 1.4826
     scale_floor: float = 1e-10
     remove_outliers: bool = False
-    # Groups above this many pairs are estimated by Spark aggregates instead of
-    # inside one task; both ways give the same estimate.
-    rows_per_task: int = 1_000_000
 
     def __post_init__(self):
         if self.method != "ols" and self.method not in TUNING:

@@ -1,9 +1,10 @@
 """Exact order statistics that do not put one group's rows into one task.
 
 A group may hold a large share of the table, so neither a window over the whole group
-nor a per-group value map is safe. Values are first collapsed to counts per distinct
-value, then located through two levels of value bins: a window only ever runs over the
-bins of one group or over the values of one bin.
+nor a per-group value map is safe. A first aggregate finds each group's range, a second
+one counts rows per value bin; a window over the bins of a group tells which bins hold
+the wanted ranks. Only their rows are read again, collapsed to counts per distinct value,
+and a window over the values of one bin finds the ranks. All shares are found at once.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BINS = 1024
+BINS = 4096
 
 
 def _squash(value: Column) -> Column:
@@ -22,21 +23,14 @@ def _squash(value: Column) -> Column:
     return F.signum(value) * F.log1p(F.abs(value))
 
 
-def _bin(value: Column, low: Column, high: Column, bins: int) -> Column:
+def _bin(value: Column, low: Column, high: Column) -> Column:
     share = F.try_divide(_squash(value) - _squash(low), _squash(high) - _squash(low))
-    return F.coalesce(
-        F.least(F.floor(share * bins).cast("int"), F.lit(bins - 1)), F.lit(0)
-    )
+    return F.coalesce(F.least(F.floor(share * BINS).cast("int"), F.lit(BINS - 1)), F.lit(0))
 
 
-def value_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+def _numbers(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     number = F.col(value).cast("double")
-    return (
-        df.select(*keys, number.alias("_value"))
-        .where(F.col("_value").isNotNull() & ~F.isnan("_value"))
-        .groupBy(*keys, "_value")
-        .agg(F.count(F.lit(1)).alias("_count"))
-    )
+    return df.select(*keys, number.alias("_value")).where(F.col("_value").isNotNull() & ~F.isnan("_value"))
 
 
 def _rank_bounds(share: float) -> tuple[Column, Column]:
@@ -44,72 +38,42 @@ def _rank_bounds(share: float) -> tuple[Column, Column]:
     return F.floor(place), F.ceil(place)
 
 
-def _with_counts_below(
-    counts: DataFrame, keys: list[str], shares: list[float] | None, levels: int = 2, bins: int = BINS
-) -> DataFrame:
-    """Add _below, the number of rows with a smaller value; keep only bins the shares fall in."""
-    nodes = list(keys)
-    frame = counts
-    for level in range(levels):
-        name = f"_bin{level}"
-        extras = [] if level == 0 else [F.first("_base").alias("_base"), F.first("_total").alias("_total")]
-        carried = [] if level == 0 else ["_base", "_total"]
-        span = frame.groupBy(*nodes).agg(
-            F.min("_value").alias("_low"),
-            F.max("_value").alias("_high"),
-            F.sum("_count").alias("_size0"),
-            *extras,
-        )
-        if level == 0:
-            span = span.withColumn("_base", F.lit(0).cast("bigint")).withColumnRenamed("_size0", "_total")
-        else:
-            span = span.drop("_size0")
-        frame = (
-            frame.drop(*carried)
-            .join(span, nodes)
-            .withColumn(name, _bin(F.col("_value"), F.col("_low"), F.col("_high"), bins))
-            .drop("_low", "_high")
-        )
-        earlier = Window.partitionBy(*nodes).orderBy(name).rowsBetween(Window.unboundedPreceding, -1)
-        sizes = (
-            frame.groupBy(*nodes, name)
-            .agg(
-                F.sum("_count").alias("_size"),
-                F.first("_base").alias("_base"),
-                F.first("_total").alias("_total"),
-            )
-            .withColumn(
-                "_base", F.col("_base") + F.coalesce(F.sum("_size").over(earlier), F.lit(0))
-            )
-        )
-        if shares is not None:
-            wanted = [rank for share in shares for rank in _rank_bounds(share)]
-            inside = [
-                (rank >= F.col("_base")) & (rank < F.col("_base") + F.col("_size")) for rank in wanted
-            ]
-            sizes = sizes.where(reduce(or_, inside))
-        nodes = nodes + [name]
-        frame = frame.drop("_base", "_total").join(sizes.drop("_size"), nodes)
+def _binned(numbers: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Numbers with their bin; per bin the group's size and the number of rows in lower bins."""
+    span = numbers.groupBy(*keys).agg(F.min("_value").alias("_low"), F.max("_value").alias("_high"))
+    binned = numbers.join(span, keys).select(*keys, "_value", _bin(F.col("_value"), F.col("_low"), F.col("_high")).alias("_bin"))
+    group = Window.partitionBy(*keys)
+    lower = group.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = binned.groupBy(*keys, "_bin").agg(F.count(F.lit(1)).alias("_size")).select(
+        *keys, "_bin", "_size",
+        F.coalesce(F.sum("_size").over(lower), F.lit(0)).alias("_base"),
+        F.sum("_size").over(group).alias("_total"),
+    )
+    return binned, sizes
+
+
+def _located(binned: DataFrame, sizes: DataFrame, keys: list[str]) -> DataFrame:
+    """Distinct values of the given bins with their count and the number of smaller values in the group."""
+    nodes = [*keys, "_bin"]
+    counts = binned.join(sizes.drop("_size"), nodes).groupBy(*nodes, "_value").agg(
+        F.count(F.lit(1)).alias("_count"), F.first("_base").alias("_base"), F.first("_total").alias("_total")
+    )
     smaller = Window.partitionBy(*nodes).orderBy("_value").rowsBetween(Window.unboundedPreceding, -1)
-    return frame.withColumn(
-        "_below", F.col("_base") + F.coalesce(F.sum("_count").over(smaller), F.lit(0))
-    ).drop("_base", *[f"_bin{level}" for level in range(levels)])
+    return counts.withColumn("_below", F.col("_base") + F.coalesce(F.sum("_count").over(smaller), F.lit(0)))
 
 
-def exact_quantiles(
-    df: DataFrame, keys: list[str], value: str, shares: dict[str, float], levels: int = 2
-) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
     """Linearly interpolated quantiles per group, one column per entry of shares.
 
-    Exact for any number of levels; one level is quicker where groups are known to be
-    small enough for a window over a thousandth of them.
+    Reads df three times: best a stored table, or a cheap projection of one.
     """
     pooled = not keys
     if pooled:
         df, keys = df.withColumn("_group", F.lit(0)), ["_group"]
-    placed = _with_counts_below(
-        value_counts(df, keys, value), keys, list(shares.values()), levels
-    )
+    binned, sizes = _binned(_numbers(df, keys, value), keys)
+    wanted = [rank for share in shares.values() for rank in _rank_bounds(share)]
+    inside = [(rank >= F.col("_base")) & (rank < F.col("_base") + F.col("_size")) for rank in wanted]
+    placed = _located(binned, sizes.where(reduce(or_, inside)), keys)
 
     def at(rank: Column) -> Column:
         covers = (rank >= F.col("_below")) & (rank < F.col("_below") + F.col("_count"))
@@ -119,20 +83,16 @@ def exact_quantiles(
     for name, share in shares.items():
         low, high = _rank_bounds(share)
         sides += [at(low).alias(f"_lo_{name}"), at(high).alias(f"_hi_{name}")]
-        fraction = F.lit(float(share)) * (F.col("_total") - 1) - F.floor(
-            F.lit(float(share)) * (F.col("_total") - 1)
-        )
-        results.append(
-            (F.col(f"_lo_{name}") + (F.col(f"_hi_{name}") - F.col(f"_lo_{name}")) * fraction).alias(name)
-        )
+        fraction = F.lit(float(share)) * (F.col("_total") - 1) - low
+        results.append((F.col(f"_lo_{name}") + (F.col(f"_hi_{name}") - F.col(f"_lo_{name}")) * fraction).alias(name))
     found = placed.groupBy(*keys).agg(F.first("_total").alias("_total"), *sides).select(*keys, *results)
     return found.drop("_group") if pooled else found
 
 
 def percentile_rank(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
     """Rank as a share of the group, ties given their average rank."""
-    placed = _with_counts_below(value_counts(df, keys, value), keys, None)
-    ranks = placed.select(
+    binned, sizes = _binned(_numbers(df, keys, value), keys)
+    ranks = _located(binned, sizes, keys).select(
         *keys,
         F.col("_value").alias(value),
         ((F.col("_below") + (F.col("_count") + 1) / 2) / F.col("_total")).alias(out),

@@ -1,9 +1,9 @@
 """Repeat-sales estimates that weigh down outlying pairs (M-estimation).
 
 Each round scales the residuals by their median absolute deviation, weighs the pairs and
-solves again. Groups up to a row limit run their rounds inside one task. Larger groups
-run every round as Spark aggregates over all their rows: exact medians by value bins,
-weighted sums per period combination, and a solve that only sees those sums.
+solves again. A round is a few Spark aggregates over the rows of all groups still moving:
+exact medians by value bins, weighted sums per period combination, and a solve that only
+sees those sums. Groups of any size take the same way.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from hearthline.operators.regression import (
     with_periods,
     within_dates,
 )
-from hearthline.session import cut_lineage, spread
+from hearthline.session import spread, staged
 
 ROBUST_FIELDS = (
     f"{FIT_FIELDS}, iterations int, converged boolean, final_change double, "
@@ -39,20 +39,6 @@ ROBUST_FIELDS = (
 _NAMES = [f.split()[0] for f in ROBUST_FIELDS.split(", ")]
 
 
-def _weigh(method: str, constant: float, scaled: np.ndarray) -> np.ndarray:
-    size = np.abs(scaled)
-    if method == "huber":
-        return np.minimum(1.0, constant / np.maximum(size, constant))
-    square = (scaled / constant) ** 2
-    if method == "bisquare":
-        return np.where(size <= constant, (1 - square) ** 2, 0.0)
-    if method == "cauchy":
-        return 1 / (1 + square)
-    if method == "welsch":
-        return np.exp(-square)
-    return np.ones_like(scaled)
-
-
 def _finish(key, origin, size, cells, rounds, beta, weight_beta, scale, all_pairs) -> list:
     """Standard errors and fit summary from weighted sums per period combination.
 
@@ -88,54 +74,6 @@ def _finish(key, origin, size, cells, rounds, beta, weight_beta, scale, all_pair
     ]
 
 
-def _fit_in_task(rows: DataFrame, keys: list[str], options: RobustOptions, min_pairs: int) -> DataFrame:
-    method, constant = options.method, options.constant
-    rounds, tolerance = options.max_iterations, options.tolerance
-    factor, floor = options.mad_factor, options.scale_floor
-
-    def fit(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        all_pairs = len(frame)
-        frame = frame[frame["kept"]]
-        if all_pairs < min_pairs or frame.empty:
-            return pd.DataFrame(columns=[*keys, *_NAMES])
-        first, second = frame["first_period"].to_numpy(), frame["second_period"].to_numpy()
-        y = frame["log_change"].to_numpy()
-        origin = min(first.min(), second.min())
-        f, s = first - origin, second - origin
-        size = int(max(f.max(), s.max())) + 1
-        codes, cell = np.unique(f.astype(np.int64) * size + s, return_inverse=True)
-        cf, cs = codes // size, codes % size
-
-        def sums(w):
-            return {
-                "first": cf, "second": cs, "n": np.bincount(cell), "w": np.bincount(cell, w),
-                "wy": np.bincount(cell, w * y), "wyy": np.bincount(cell, w * y * y),
-            }
-
-        def solve(w):
-            c = sums(w)
-            mean = np.divide(c["wy"], c["w"], out=np.zeros(len(cf)), where=c["w"] > 0)
-            return PeriodSystem(size, cf, cs, c["w"], mean).solve()
-
-        beta = solve(np.ones(len(y)))
-        start, scale, change, converged, done = beta, 0.0, np.inf, False, 0
-        weights = np.ones(len(y))
-        for done in range(1, rounds + 1):
-            start = beta
-            residual = y - (start[s] - start[f])
-            scale = factor * np.median(np.abs(residual - np.median(residual)))
-            weights = _weigh(method, constant, residual / scale) if scale > floor else np.ones(len(y))
-            beta = solve(weights)
-            change = float(np.max(np.abs(beta - start)))
-            converged = change < tolerance
-            if converged:
-                break
-        row = _finish(key, origin, size, sums(weights), (done, converged, change), beta, start, scale, all_pairs)
-        return pd.DataFrame([row], columns=[*keys, *_NAMES])
-
-    return spread(rows, keys).groupBy(*keys).applyInPandas(fit, f"{key_fields(rows, keys)}, {ROBUST_FIELDS}")
-
-
 def _weighted_cells(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys, "first_period", "second_period").agg(
         F.count(F.lit(1)).alias("n"),
@@ -171,29 +109,27 @@ def _weights_at(rows: DataFrame, state: DataFrame, keys: list[str], options: Rob
     )
 
 
-def _scales(
-    rows: DataFrame, state: DataFrame, keys: list[str], options: RobustOptions, levels: int
-) -> DataFrame:
+def _scales(rows: DataFrame, state: DataFrame, keys: list[str], options: RobustOptions) -> DataFrame:
     """Scale of each group: its exact median absolute deviation, in any group size."""
     left = rows.join(state.select(*keys, "_origin", "start"), keys).select(
         *keys, (F.col("log_change") - predicted("start")).alias("_r")
     )
-    middle = exact_quantiles(left, keys, "_r", {"_median": 0.5}, levels)
+    middle = staged(exact_quantiles(left, keys, "_r", {"_median": 0.5}), "median")
     spread = left.join(middle, keys).select(*keys, F.abs(F.col("_r") - F.col("_median")).alias("_d"))
-    return exact_quantiles(spread, keys, "_d", {"scale": 0.5}, levels).withColumn(
-        "scale", F.col("scale") * options.mad_factor
-    )
+    return exact_quantiles(spread, keys, "_d", {"scale": 0.5}).withColumn("scale", F.col("scale") * options.mad_factor)
 
 
-def _fit_by_aggregates(rows: DataFrame, keys: list[str], options: RobustOptions, min_pairs: int) -> DataFrame:
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("all_pairs"))
-    rows = cut_lineage(
-        rows.where("kept").join(sizes.where(F.col("all_pairs") >= min_pairs), keys, "left_semi").drop("kept")
-    )
-    largest = sizes.agg(F.max("all_pairs")).first()[0] or 0
-    levels = 1 if largest < 10_000_000 else 2
+def _fit(rows: DataFrame, keys: list[str], options: RobustOptions, min_pairs: int) -> DataFrame:
+    """Rounds over all groups at once; what a round knows of a group is one row of a stored table.
+
+    The planner broadcasts that table where its measured size allows, so that rows of a
+    large group stay where they are; what is shuffled are sums per bin or period combination.
+    """
+    sizes = staged(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("all_pairs")), "sizes")
+    enough = sizes.where(F.col("all_pairs") >= min_pairs)
+    rows = staged(rows.where("kept").join(enough.select(*keys), keys, "left_semi").drop("kept"), "rows")
     first_cells = _weighted_cells(rows.withColumn("_w", F.lit(1.0)), keys)
-    state = cut_lineage(
+    state = staged(
         _solve_weighted(first_cells, keys).select(
             *keys,
             "_origin",
@@ -203,17 +139,16 @@ def _fit_by_aggregates(rows: DataFrame, keys: list[str], options: RobustOptions,
             F.lit(0).alias("iterations"),
             F.lit(False).alias("converged"),
             F.lit(float("inf")).alias("final_change"),
-        )
+        ),
+        "state",
     )
     for done in range(1, options.max_iterations + 1):
         moving = state.where(~F.col("converged"))
         if moving.isEmpty():
             break
         moving = moving.withColumn("start", F.col("beta"))
-        active = rows.join(moving.select(*keys), keys, "left_semi")
-        moving = moving.drop("scale", "beta").join(_scales(active, moving, keys, options, levels), keys)
-        moving = cut_lineage(moving)
-        solved = _solve_weighted(_weighted_cells(_weights_at(active, moving, keys, options), keys), keys)
+        moving = staged(moving.drop("scale", "beta").join(_scales(rows, moving, keys, options), keys), "scales")
+        solved = _solve_weighted(_weighted_cells(_weights_at(rows, moving, keys, options), keys), keys)
         step = F.aggregate(
             F.zip_with("beta", "start", lambda new, old: F.abs(new - old)),
             F.lit(0.0),
@@ -226,7 +161,7 @@ def _fit_by_aggregates(rows: DataFrame, keys: list[str], options: RobustOptions,
             .withColumn("iterations", F.lit(done))
             .select(*state.columns)
         )
-        state = cut_lineage(state.where("converged").unionByName(moved))
+        state = staged(state.where("converged").unionByName(moved), "state")
 
     carried = state.select(*keys, "iterations", "converged", "final_change", "start", "scale", "beta").join(sizes, keys)
     cells = _weighted_cells(_weights_at(rows, state, keys, options), keys).join(carried, keys)
@@ -257,8 +192,7 @@ def fit_robust(
 ) -> DataFrame:
     """M-estimate of every group, in the shape of fit_repeat_sales plus its rounds.
 
-    Runs one counting job to find groups too large for a task; iterating on those runs
-    further jobs.
+    Runs its rounds at once, a few jobs for each.
     """
     from hearthline.operators.outliers import remove_outliers
 
@@ -276,14 +210,7 @@ def fit_robust(
         .select(*keys, "first_period", "second_period", "log_change", kept.alias("kept"))
         .where(F.col("log_change").isNotNull())
     )
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    large = sizes.where(F.col("_rows") > robust.rows_per_task).select(*keys)
-    if large.isEmpty():
-        return _fit_in_task(rows, keys, robust, options.min_pairs)
-    large = cut_lineage(large)
-    by_aggregates = _fit_by_aggregates(rows.join(large, keys, "left_semi"), keys, robust, options.min_pairs)
-    in_task = _fit_in_task(rows.join(large, keys, "left_anti"), keys, robust, options.min_pairs)
-    return in_task.unionByName(by_aggregates)
+    return _fit(rows, keys, robust, options.min_pairs)
 
 
 def weighted_residuals(

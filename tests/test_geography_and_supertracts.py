@@ -108,3 +108,22 @@ def test_area_summary_takes_the_common_state(spark):
     row = geography.area_summary(table).first()
     assert (row.state, row.tract_count, row.total_population) == ("01", 3, 18)
     assert row.total_area_sqmi == pytest.approx(6.0)
+
+
+def test_groups_with_the_same_first_members_are_told_apart(spark):
+    rows = [(t, y, 12) for y, names in ((2000, "ABCD"), (2001, "ABCE")) for t in names]
+    counts = spark.createDataFrame(rows, "tract_id string, year int, half_pairs long")
+    tracts = spark.createDataFrame([(t, "X") for t in "ABCDE"], "tract_id string, cbsa_id string")
+    edges = spark.createDataFrame([("A", "B"), ("B", "C"), ("C", "D"), ("C", "E")], "tract_id string, neighbor_id string")
+    merged = supertracts.build_supertracts(counts, tracts, edges)
+    rows = {tuple(r.component_tract_ids): r for r in merged.collect()}
+    assert set(rows) == {tuple("ABCD"), tuple("ABCE")}
+    assert len({r.supertract_id for r in rows.values()}) == 2 and {r.label for r in rows.values()} == {"super_A_B_C"}
+    bridge = {r.tract_id: r.supertract_id for r in supertracts.tract_bridge(merged).collect()}
+    assert bridge["D"] == bridge["A"] != bridge["E"]
+
+
+def test_regions_of_a_long_chain_settle(spark):
+    names = [f"t{i:04}" for i in range(150)]
+    edges = spark.createDataFrame(list(zip(names, names[1:])), "tract_id string, neighbor_id string")
+    assert {r.region for r in supertracts.connected_regions(edges).collect()} == {"t0000"}

@@ -115,12 +115,11 @@ def dense_robust(x, y, method, rounds=50):
 
 
 @pytest.mark.parametrize("method", ["huber", "bisquare", "cauchy", "welsch"])
-def test_robust_estimates_equal_dense_reweighting_on_both_ways(pairs_table, random_pairs, method):
+def test_robust_estimates_equal_dense_reweighting(pairs_table, random_pairs, method):
     rows = random_pairs(300, months=14)
     table = pairs_table(rows)
-    ways = [(10**6, 50)] + ([(0, 2)] if method in ("huber", "bisquare") else [])
-    for limit, rounds in ways:
-        options = RobustOptions(method=method, rows_per_task=limit, max_iterations=rounds)
+    for rounds in (50, 2):
+        options = RobustOptions(method=method, max_iterations=rounds)
         fits = cut_lineage(robust.fit_robust(table, AREA, options))
         got = {r.cbsa_id: r for r in fits.collect()}
         weights = {(r.cbsa_id, r.property_id): r.weight for r in robust.weighted_residuals(table, fits, AREA, options).collect()}
