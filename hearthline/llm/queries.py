@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthline.llm import chat, cover_tree, labeller, mixing, packing, simhash, substring, toxicity, vantage
+from hearthline.llm import chat, cover_tree, labeller, mixing, packing, simhash, site_quality, substring, toxicity, vantage
 from hearthline.llm.common import column_set, table, unsigned_hex
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +107,10 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, folder)
+
+
+@query
+def op7_site_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of every document; its source stands for the host, its language for the path."""
+    docs = column_set(table(spark, folder, "documents"), "doc_id", "text", "source", "lang")
+    return site_quality.scored(docs, table(spark, folder, "labels"), F.col("source"), F.col("lang"))
