@@ -31,7 +31,8 @@ THRESHOLD = 0.3
 FIT_ROWS = 20_000
 LEXICON = 4_000
 LEAST_DOCS = 3
-LEAST_EVIDENCE = 3.0
+# Among tens of thousands of tokens, less than one is expected to reach this by chance.
+LEAST_EVIDENCE = 4.0
 NEAR = 3
 TREES, DEPTH, RATE, BINS, LEAST_WEIGHT, RIDGE = 100, 4, 0.1, 64, 2.0, 1.0
 
@@ -49,7 +50,7 @@ _RUN = re.compile(rb"[!?]{2,}")
 _UPPER, _DIGITS, _SIGNS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"@#$%*&^"
 CACHED_WORDS = 1 << 18
 
-TIERS = ((3.0, 1.0), (5.0, 2.5), (8.0, 3.5))
+TIERS = ((4.0, 1.0), (5.5, 2.5), (8.0, 3.5))
 NAMES = (
     [f"{kind}_{what}" for kind in ("word", "stem") for what in ("count", "density", "sum", "max", "second", *(f"above_{t[0]}" for t in TIERS))]
     + ["masked_hits", "near", "nearest", "you", "upper", "shouted", "exclaimed", "asked", "runs", "signs", "masked", "long", "spaced"]
