@@ -12,9 +12,12 @@ from pyspark.sql import functions as F
 from hearthline.session import ship_package
 
 CHUNK_BYTES = 1 << 20
+BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table of the folder; rows with long texts go to Python in small batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return ship_package(spark).read.parquet(f"{folder}/{name}.parquet")
 
 

@@ -12,8 +12,9 @@ shingles. Two ways of finding close fingerprints:
 * ``wide_links`` (several 64-bit words): at a shingle similarity of 0.8 some 15 % of all
   bits differ, where no partition into blocks of useful width is certain to leave one
   alone. ``TABLES`` blocks of ``KEY_BITS`` bits, drawn from the wide fingerprint, make
-  sharing one likely; distances are then verified. Larger buckets compare every member
-  with two of them instead of all pairs.
+  sharing one likely; distances are then verified. Close pairs share many blocks, so in
+  buckets above ``WIDE_BUCKET`` every member meets the smallest one only, and what a group
+  of copies costs grows with its members.
 
 Documents are joined by fingerprint, so copies never become pairs.
 """
@@ -35,6 +36,7 @@ from hearthline.session import staged
 
 SEED = 42
 BUCKET = 16
+WIDE_BUCKET = 8
 DISTANCE = 2
 BLOCKS = 4
 TABLES = 96
@@ -102,16 +104,16 @@ def fingerprints(
     return source.mapInArrow(run, "_id long, " + ", ".join(f"{n} long" for n in names))
 
 
-def _pairs_within(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _pairs_within(keyed: DataFrame, bucket: int) -> tuple[DataFrame, DataFrame]:
     """From (key, node): the pairs (a, b) of small buckets, and the rows of larger ones."""
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     lists = (
-        keyed.join(sizes.where(F.col("n").between(2, BUCKET)), "key")
+        keyed.join(sizes.where(F.col("n").between(2, bucket)), "key")
         .groupBy("key")
         .agg(F.collect_list("node").alias("nodes"))
     )
     pairs = lists.select("nodes", F.explode("nodes").alias("a")).select("a", F.explode("nodes").alias("b")).where("a < b")
-    return pairs, keyed.join(sizes.where(F.col("n") > BUCKET), "key").select("key", "node")
+    return pairs, keyed.join(sizes.where(F.col("n") > bucket), "key").select("key", "node")
 
 
 def _block_keys() -> Column:
@@ -128,7 +130,7 @@ def _block_keys() -> Column:
 def exact_links(nodes: DataFrame) -> DataFrame:
     """All of (a, b) needed to join fingerprints with at most two differing bits; nodes: (node)."""
     keyed = nodes.select("node", F.explode(_block_keys()).alias("key"))
-    pairs, crowded = _pairs_within(keyed)
+    pairs, crowded = _pairs_within(keyed, BUCKET)
     close = pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE)
     flips = [F.col("node").bitwiseXOR(F.lit((1 << i) - (1 << 64) if i == 63 else 1 << i)) for i in range(64)]
     points = crowded.select("node").distinct().select("node", F.explode(F.array(F.col("node"), *flips)).alias("point"))
@@ -158,12 +160,10 @@ def wide_links(nodes: DataFrame, words: int, distance: int) -> DataFrame:
 
     keyed = nodes.select("node", *names).mapInArrow(keys, "node long, key int")
     keyed = staged(keyed, "keys")
-    pairs, crowded = _pairs_within(keyed)
-    ends = crowded.groupBy("key").agg(F.array_distinct(F.array(F.min("node"), F.max("node"))).alias("ends"))
-    stars = crowded.join(ends, "key").select("node", F.explode("ends").alias("end")).where("node <> end")
-    candidates = pairs.unionByName(
-        stars.select(F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b"))
-    ).distinct()
+    pairs, crowded = _pairs_within(keyed, WIDE_BUCKET)
+    first = crowded.groupBy("key").agg(F.min("node").alias("a"))
+    stars = crowded.join(first, "key").select("a", F.col("node").alias("b")).where("a <> b")
+    candidates = pairs.unionByName(stars).distinct()
     side = lambda end: nodes.select(F.col("node").alias(end), F.struct(*names).alias(f"{end}_print"))
     both = candidates.join(side("a"), "a").join(side("b"), "b")
     apart = sum((F.bit_count(F.col(f"a_print.{n}").bitwiseXOR(F.col(f"b_print.{n}"))) for n in names), F.lit(0))
