@@ -225,6 +225,112 @@ PARTS.update(_hierarchy_step("tract_id", "cbsa_id", "tract_series", ""))
 PARTS.update(_hierarchy_step("cbsa_id", "state", "cbsa_id_series", ""))
 PARTS.update(_hierarchy_step("state", "nation", "state_series", "USA"))
 
+
+
+def _least_squares(name: str, period: str) -> dict[str, tuple[tuple[str, ...], str]]:
+    """Repeat-sales fit per area by Gauss-Jordan on (normal matrix, moments, identity).
+
+    Columns f and s of months, or their years, are the periods; the first one of an area is
+    the base. A period without pairs is a row of zeros and keeps its zero coefficient.
+    """
+    return {
+        f"{name}_rows": (
+            ("months",),
+            f"""SELECT *, {period.format("f")} - o AS i, {period.format("s")} - o AS j FROM (
+                  SELECT *, min(least({period.format("f")}, {period.format("s")})) OVER (PARTITION BY cbsa_id) AS o FROM months)""",
+        ),
+        f"{name}_size": (
+            (f"{name}_rows",),
+            f"""SELECT cbsa_id, min(o) AS o, CAST(max(greatest(i, j)) AS INT) AS n, count(*) AS pairs FROM {name}_rows GROUP BY 1""",
+        ),
+        f"{name}_entries": (
+            (f"{name}_rows",),
+            f"""SELECT cbsa_id, r, c, sum(v) AS v FROM (
+                  SELECT cbsa_id, unnest([i, j, i, j]) AS r, unnest([i, j, j, i]) AS c, unnest([1.0, 1.0, -1.0, -1.0]::DOUBLE[]) AS v
+                  FROM {name}_rows) GROUP BY ALL""",
+        ),
+        f"{name}_moments": (
+            (f"{name}_rows",),
+            f"""SELECT cbsa_id, r, sum(v) AS v FROM (
+                  SELECT cbsa_id, unnest([i, j]) AS r, unnest([-y, y]) AS v FROM {name}_rows) GROUP BY ALL""",
+        ),
+        f"{name}_matrix": (
+            (f"{name}_size", f"{name}_entries", f"{name}_moments"),
+            f"""SELECT cbsa_id, n, list(line ORDER BY r) AS m FROM (
+                  SELECT cbsa_id, n, r, list_concat(list(coalesce(e.v, 0.0::DOUBLE) ORDER BY c), [coalesce(any_value(b.v), 0.0::DOUBLE)],
+                           list_transform(range(1, n + 1), lambda x: CASE WHEN x = r THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)) AS line
+                  FROM (SELECT cbsa_id, n, r, unnest(range(1, n + 1)) AS c FROM (
+                          SELECT cbsa_id, n, unnest(range(1, n + 1)) AS r FROM {name}_size))
+                  LEFT JOIN {name}_entries e USING (cbsa_id, r, c) LEFT JOIN {name}_moments b USING (cbsa_id, r)
+                  GROUP BY cbsa_id, n, r) GROUP BY ALL""",
+        ),
+        # Standard errors come from the matrix with the fit's ridge on its diagonal.
+        f"{name}_ridged_matrix": (
+            (f"{name}_matrix",),
+            f"""SELECT cbsa_id, n, list_transform(m, lambda line, pos: list_transform(line, lambda x, col: x + CASE WHEN col = pos THEN 1e-10 ELSE 0 END)) AS m
+                FROM {name}_matrix""",
+        ),
+        f"{name}_ridged_reduced": (
+            (f"{name}_ridged_matrix",),
+            f"""SELECT cbsa_id, n, 1 AS k, m FROM {name}_ridged_matrix
+                UNION ALL SELECT cbsa_id, n, k + 1, list_transform(m, lambda line, pos: CASE WHEN pos = k
+                    THEN list_transform(line, lambda x: x / m[k][k])
+                    ELSE list_transform(list_zip(line, m[k]), lambda z: z[1] - line[k] / m[k][k] * z[2]) END)
+                FROM {name}_ridged_reduced WHERE k <= n""",
+        ),
+        f"{name}_reached_reduced": (
+            (f"{name}_entries", f"{name}_size"),
+            f"""SELECT cbsa_id, idx AS node, idx AS other FROM (SELECT cbsa_id, unnest(range(0, n + 1)) AS idx FROM {name}_size)
+                UNION SELECT g.cbsa_id, g.node, e.c FROM {name}_reached_reduced g JOIN {name}_entries e ON e.cbsa_id = g.cbsa_id AND e.r = g.other""",
+        ),
+        f"{name}_labels": (
+            (f"{name}_reached_reduced",),
+            f"""SELECT cbsa_id, node AS idx, min(other) AS label FROM {name}_reached_reduced GROUP BY ALL""",
+        ),
+        f"{name}_reduced": (
+            (f"{name}_matrix",),
+            f"""SELECT cbsa_id, n, 1 AS k, m FROM {name}_matrix
+                UNION ALL SELECT cbsa_id, n, k + 1, CASE WHEN abs(m[k][k]) < 1e-9 THEN m ELSE
+                  list_transform(m, lambda line, pos: CASE WHEN pos = k THEN list_transform(line, lambda x: x / m[k][k])
+                    ELSE list_transform(list_zip(line, m[k]), lambda z: z[1] - line[k] / m[k][k] * z[2]) END) END
+                FROM {name}_reduced WHERE k <= n""",
+        ),
+        f"{name}_solved": (
+            (f"{name}_reduced", f"{name}_ridged_reduced", f"{name}_labels", f"{name}_size"),
+            f"""SELECT cbsa_id, idx, label, beta - CASE WHEN label = 0 THEN 0 ELSE avg(beta) OVER (PARTITION BY cbsa_id, label) END AS beta,
+                  inverse, label = 0 AS identified
+                FROM (SELECT cbsa_id, 0 AS idx, 0.0::DOUBLE AS beta, 0.0::DOUBLE AS inverse FROM {name}_size
+                  UNION ALL SELECT cbsa_id, idx, CASE WHEN abs(d.m[idx][idx]) < 1e-9 THEN 0 ELSE d.m[idx][n + 1] END, i.m[idx][n + 1 + idx]
+                  FROM (SELECT *, unnest(range(1, n + 1)) AS idx FROM {name}_reduced WHERE k = n + 1) d
+                  JOIN (SELECT cbsa_id, m FROM {name}_ridged_reduced WHERE k = n + 1) i USING (cbsa_id))
+                JOIN {name}_labels USING (cbsa_id, idx)""",
+        ),
+        f"{name}_errors": (
+            (f"{name}_rows", f"{name}_solved"),
+            f"""SELECT r.*, y - (b.beta - a.beta) AS residual FROM {name}_rows r
+                JOIN {name}_solved a ON a.cbsa_id = r.cbsa_id AND a.idx = i JOIN {name}_solved b ON b.cbsa_id = r.cbsa_id AND b.idx = j""",
+        ),
+        f"{name}_fit": (
+            (f"{name}_errors", f"{name}_size"),
+            f"""SELECT cbsa_id, min(n) AS n, min(z.o) AS o, count(*) AS pairs, sum(residual * residual) AS rss, var_pop(y) * count(*) AS tss
+                FROM {name}_errors JOIN {name}_size z USING (cbsa_id) GROUP BY 1""",
+        ),
+    }
+
+
+def _index_levels(name: str, date: str) -> tuple[tuple[str, ...], str]:
+    return (
+        (f"{name}_solved", f"{name}_fit"),
+        f"""SELECT cbsa_id, CAST(idx AS INT) AS period_idx, {date} AS date, round(100 * exp(beta), 6) AS index_value,
+             round(beta, 6) + 0.0 AS log_return,
+             CASE WHEN idx = 0 THEN 0.0 WHEN pairs > n THEN round(sqrt(inverse * rss / (pairs - n)), 6) END AS standard_error,
+             identified FROM {name}_solved JOIN {name}_fit USING (cbsa_id)""",
+    )
+
+
+PARTS.update(_least_squares("ols_month", "{}"))
+PARTS.update(_least_squares("ols_year", "({} // 12)"))
+
 PAIR = "property_id, tract_id, cbsa_id, first_sale_date, first_sale_price, second_sale_date, second_sale_price"
 SET = "geography_id, period, weight_type"
 GROWTH = """round((ln(second_sale_price) - ln(first_sale_price)) / time_diff_years, 6) + 0.0 AS log_growth,
@@ -437,6 +543,20 @@ SELECTS: dict[str, tuple[tuple[str, ...], str]] = {
     "area_fit_optimality": (("valid",), "SELECT cbsa_id, 0.0::DOUBLE AS gradient, count(*) AS n_pairs FROM valid GROUP BY 1"),
     "nation_fit_optimality": (("valid",), "SELECT 'USA' AS nation, 0.0::DOUBLE AS gradient, count(*) AS n_pairs FROM valid"),
     "robust_fit_optimality": (("valid",), "SELECT cbsa_id, 0.0::DOUBLE AS gradient, count(*) AS n_pairs FROM valid GROUP BY 1"),
+    "area_index_monthly": _index_levels("ols_month", "make_date(CAST((o + idx) // 12 AS BIGINT), CAST((o + idx) % 12 + 1 AS BIGINT), 1)"),
+    "area_index_annual": _index_levels("ols_year", "make_date(CAST(o + idx AS BIGINT), 1, 1)"),
+    "area_fit_summary": (
+        ("ols_month_fit", "ols_month_solved"),
+        """SELECT cbsa_id, pairs AS num_observations, CAST(any_value(n) + 1 AS INT) AS num_periods,
+             CAST(count(*) - count(DISTINCT label) AS INT) AS rank, count(DISTINCT label) = 1 AS full_rank,
+             round(1 - any_value(rss) / any_value(tss), 6) AS r_squared, round(sqrt(any_value(rss)), 6) AS residual_norm
+           FROM ols_month_solved JOIN ols_month_fit USING (cbsa_id) GROUP BY cbsa_id, pairs""",
+    ),
+    "area_residuals": (
+        ("ols_month_errors",),
+        """SELECT property_id, cbsa_id, first_sale_date, round(y, 6) + 0.0 AS log_change, round(residual, 6) + 0.0 AS residual
+           FROM ols_month_errors""",
+    ),
     "index_returns_monthly": (("levels",), _returns(1)),
     "index_returns_quarterly": (("levels",), _returns(3)),
     "index_returns_annual": (("levels",), _returns(12)),
@@ -769,8 +889,11 @@ def _with_parts(needed: tuple[str, ...], final: str) -> str:
         add(name)
     if not order:
         return final
-    parts = ",\n".join(f"{name} AS MATERIALIZED ({PARTS[name][1]})" for name in order)
-    return f"WITH {parts}\n{final}"
+    parts = ",\n".join(
+        f"{name} AS {'' if name.endswith('_reduced') else 'MATERIALIZED '}({PARTS[name][1]})" for name in order
+    )
+    recursive = "RECURSIVE " if any(name.endswith("_reduced") for name in order) else ""
+    return f"WITH {recursive}{parts}\n{final}"
 
 
 def statements() -> dict[str, str]:

@@ -21,7 +21,7 @@ from hearthline.streaming.uploads import append_valid_pairs, arriving_pairs, rej
 TABLES = "/root/testdata/sf0.001"
 CHECKED = [
     "sales_by_property_day", "repeat_sale_pairs_of_lines", "validated_pairs", "validation_report", "half_pair_panel",
-    "tracts_with_latest_demographics", "normal_moments", "pair_metrics", "weights_nearest_year", "weights_equal", "index_rebased", "area_fit_optimality", "quality_geographic", "tract_nearest",
+    "tracts_with_latest_demographics", "normal_moments", "pair_metrics", "area_index_annual", "area_fit_summary", "area_residuals", "weights_nearest_year", "weights_equal", "index_rebased", "area_fit_optimality", "quality_geographic", "tract_nearest",
     "weights_all_types", "weights_consistency", "laspeyres_area", "area_index_log_chain", "metric_summary",
 ]
 
