@@ -328,6 +328,36 @@ def _index_levels(name: str, date: str) -> tuple[tuple[str, ...], str]:
     )
 
 
+def _diagnosed(fit: str) -> dict[str, tuple[tuple[str, ...], str]]:
+    """Leverage, studentised residual and Cook's distance of every pair, and the five tests."""
+    return {
+        "leverages": (
+            (f"{fit}_errors", f"{fit}_fit", f"{fit}_reduced", f"{fit}_labels"),
+            f"""SELECT *, CASE WHEN pairs > n THEN rss / (pairs - n) END AS mse, CASE WHEN pieces = 1 THEN
+                    CASE WHEN j = 0 THEN 0 ELSE m[j][n + 1 + j] END + CASE WHEN i = 0 THEN 0 ELSE m[i][n + 1 + i] END
+                    - 2 * CASE WHEN i = 0 OR j = 0 THEN 0 ELSE m[i][n + 1 + j] END END AS leverage
+                FROM {fit}_errors e JOIN (SELECT cbsa_id, n, pairs, rss FROM {fit}_fit) USING (cbsa_id)
+                JOIN (SELECT cbsa_id, m FROM {fit}_reduced WHERE k = n + 1) USING (cbsa_id)
+                JOIN (SELECT cbsa_id, count(DISTINCT label) AS pieces FROM {fit}_labels GROUP BY 1) USING (cbsa_id)""",
+        ),
+        "diagnosed": (
+            ("leverages",),
+            """SELECT *, residual / (sqrt(mse) + 1e-8) AS studentized,
+                 pow(residual / (sqrt(greatest(mse * (1 - leverage), 0)) + 1e-8), 2) * leverage / (n * (1 - leverage + 1e-8)) AS cooks_distance,
+                 date_diff('day', first_sale_date, second_sale_date) / 365.25 AS years FROM leverages""",
+        ),
+        "regression_tests": (
+            ("diagnosed",),
+            """SELECT *, coalesce(years > 0 AND abs(pow(second_sale_price / first_sale_price, 1 / years) - 1) > 0.5, false) AS is_cagr,
+                 years > 30 AS is_time_gap, coalesce(cooks_distance > greatest(4.0 / pairs, 4 * avg(cooks_distance) OVER w), false) AS is_cooks,
+                 coalesce(abs(studentized) > 3, false) AS is_residual, coalesce(leverage > 3.0 * n / pairs, false) AS is_leverage
+               FROM diagnosed WINDOW w AS (PARTITION BY cbsa_id
+                 ORDER BY first_sale_date, property_id, second_sale_date, second_sale_price ROWS UNBOUNDED PRECEDING)""",
+        ),
+    }
+
+
+PARTS.update(_diagnosed("ols_month"))
 PARTS.update(_least_squares("ols_month", "{}"))
 PARTS.update(_least_squares("ols_year", "({} // 12)"))
 
@@ -575,6 +605,26 @@ SELECTS: dict[str, tuple[tuple[str, ...], str]] = {
                AS outlier_reasons
            FROM outlying""",
     ),
+    "outlier_regression_flags": (
+        ("regression_tests",),
+        """SELECT property_id, cbsa_id, first_sale_date, round(residual, 6) + 0.0 AS residual, round(studentized, 6) + 0.0 AS studentized,
+             round(leverage, 6) AS leverage, round(cooks_distance, 6) AS cooks_distance, is_cooks, is_residual, is_leverage,
+             is_cagr OR is_time_gap OR is_cooks OR is_residual OR is_leverage AS is_outlier,
+             round(CAST(is_cagr AS INT) + CAST(is_time_gap AS INT) + CASE WHEN is_cooks THEN cooks_distance ELSE 0 END
+               + CASE WHEN is_residual THEN abs(studentized) ELSE 0 END + CASE WHEN is_leverage THEN leverage ELSE 0 END, 6) AS outlier_score,
+             concat_ws('; ', CASE WHEN is_cagr THEN 'Extreme CAGR' END, CASE WHEN is_time_gap THEN 'Excessive time gap' END,
+               CASE WHEN is_cooks THEN 'High Cook''s distance' END, CASE WHEN is_residual THEN 'Large studentized residual' END,
+               CASE WHEN is_leverage THEN 'High leverage' END) AS outlier_reasons
+           FROM regression_tests""",
+    ),
+    "outlier_regression_statistics": (
+        ("regression_tests",),
+        """SELECT count(*) AS total_observations, count(*) FILTER (any_test) AS total_outliers,
+             round(avg(CAST(any_test AS INT)), 6) AS outlier_rate, count(*) FILTER (is_cagr) AS cagr_outliers,
+             count(*) FILTER (is_time_gap) AS time_gap_outliers, count(*) FILTER (is_cooks) AS cooks_outliers,
+             count(*) FILTER (is_residual) AS residual_outliers, count(*) FILTER (is_leverage) AS leverage_outliers
+           FROM (SELECT *, is_cagr OR is_time_gap OR is_cooks OR is_residual OR is_leverage AS any_test FROM regression_tests)""",
+    ),
     "outlier_summary": (
         ("outlying",),
         """SELECT category, metric, round(value, 6) AS value FROM (
