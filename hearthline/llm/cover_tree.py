@@ -132,3 +132,16 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_i
         return job.results()
 
     return search(vectors, queries, k, run, "long", id_col, vector_col)
+
+
+ORACLE = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM (
+  SELECT q.vec_id AS query_id, v.vec_id, CAST(list_dot_product(q.e, v.e) AS BIGINT) AS score,
+         row_number() OVER (PARTITION BY q.vec_id ORDER BY list_dot_product(q.e, v.e) DESC, v.vec_id) AS rank
+  FROM v q JOIN v ON v.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0
+) WHERE rank <= 10
+"""

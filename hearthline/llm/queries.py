@@ -114,3 +114,7 @@ def op7_site_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Quality of every document; its source stands for the host, its language for the path."""
     docs = column_set(table(spark, folder, "documents"), "doc_id", "text", "source", "lang")
     return site_quality.scored(docs, table(spark, folder, "labels"), F.col("source"), F.col("lang"))
+
+
+ORACLE_SQL["op1_cover_tree"] = cover_tree.ORACLE
+ORACLE_SQL["op10_substring_dedup"] = substring.ORACLE

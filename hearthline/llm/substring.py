@@ -231,3 +231,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return done.select(
         *[named[n].alias(n) for n in docs.columns], F.col("_n_words").alias("n_words"), F.col("_n_removed").alias("n_removed")
     )
+
+
+ORACLE = r"""
+WITH docs AS (
+  SELECT doc_id, row_number() OVER () AS id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT id, unnest(range(1, len(w) - 33)) AS i,
+         unnest(list_transform(range(1, len(w) - 33), lambda i: md5(array_to_string(w[i:i + 34], ' ')))) AS window_key
+  FROM docs WHERE len(w) >= 35
+), repeated AS (
+  SELECT id, i FROM windows WHERE window_key IN (SELECT window_key FROM windows GROUP BY 1 HAVING count(*) > 1)
+), gone AS (
+  SELECT id, list(place) AS places FROM (SELECT DISTINCT id, unnest(range(i, i + 35)) AS place FROM repeated) GROUP BY id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(places), 0) AS BIGINT) AS n_removed,
+       sha256(array_to_string(list_filter(w, lambda x, i: NOT list_contains(coalesce(places, []), i)), ' ')) AS kept_sha256
+FROM docs LEFT JOIN gone USING (id)
+"""
