@@ -12,9 +12,8 @@ shingles. Two ways of finding close fingerprints:
 * ``wide_links`` (several 64-bit words): at a shingle similarity of 0.8 some 15 % of all
   bits differ, where no partition into blocks of useful width is certain to leave one
   alone. ``TABLES`` blocks of ``KEY_BITS`` bits, drawn from the wide fingerprint, make
-  sharing one likely; distances are then verified. Close pairs share many blocks, so in
-  buckets above ``WIDE_BUCKET`` every member meets the smallest one only, and what a group
-  of copies costs grows with its members.
+  sharing one likely; distances are then verified. Buckets above ``WIDE_BUCKET`` lose no
+  pair that could join two components (``buckets``).
 
 Documents are joined by fingerprint, so copies never become pairs.
 """
@@ -30,6 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hearthline.llm.buckets import complete_links
 from hearthline.llm.common import chunked, column_set, texts_of
 from hearthline.llm.components import connected_components
 from hearthline.session import staged
@@ -160,14 +160,13 @@ def wide_links(nodes: DataFrame, words: int, distance: int) -> DataFrame:
 
     keyed = nodes.select("node", *names).mapInArrow(keys, "node long, key int")
     keyed = staged(keyed, "keys")
-    pairs, crowded = _pairs_within(keyed, WIDE_BUCKET)
-    first = crowded.groupBy("key").agg(F.min("node").alias("a"))
-    stars = crowded.join(first, "key").select("a", F.col("node").alias("b")).where("a <> b")
-    candidates = pairs.unionByName(stars).distinct()
     side = lambda end: nodes.select(F.col("node").alias(end), F.struct(*names).alias(f"{end}_print"))
-    both = candidates.join(side("a"), "a").join(side("b"), "b")
     apart = sum((F.bit_count(F.col(f"a_print.{n}").bitwiseXOR(F.col(f"b_print.{n}"))) for n in names), F.lit(0))
-    return both.where(apart <= distance).select("a", "b")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        return pairs.join(side("a"), "a").join(side("b"), "b").where(apart <= distance).select("a", "b")
+
+    return complete_links(keyed.select("key", F.struct("node").alias("member")), verified, WIDE_BUCKET)
 
 
 def near_duplicates(

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
@@ -94,3 +95,17 @@ def test_keep_one_keeps_rows_without_id(spark, documents):
 def test_empty_table(spark, documents):
     found = simhash.near_duplicates(documents([]).where(F.lit(True)))
     assert found.count() == 0 and found.columns == ["doc_id", "f0", "component_id"]
+
+
+def test_wide_links_are_complete_in_crowded_buckets(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "TABLES", 1)
+    free = np.random.default_rng(simhash.SEED).permutation(512)[simhash.KEY_BITS :].tolist()
+    rng, base, prints = random.Random(5), random.Random(6).getrandbits(512), []
+    for i in range(20):  # one block for all; nodes 2k and 2k + 1 alone are close
+        flips = rng.sample(free, 60) if i % 2 == 0 else free[:1]
+        prints.append((prints[-1] if i % 2 else base) ^ sum(1 << b for b in flips))
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    rows = [(i, *(signed(p >> 64 * k & (1 << 64) - 1) for k in range(8))) for i, p in enumerate(prints)]
+    nodes = spark.createDataFrame(rows, "node long, " + ", ".join(f"f{k} long" for k in range(8)))
+    links = simhash.wide_links(nodes, 8, 3).collect()
+    assert {(r.a, r.b) for r in links} == {(i, i + 1) for i in range(0, 20, 2)}
