@@ -14,6 +14,7 @@ not from one element name. The weights have a fixed size and go to all tasks.
 from __future__ import annotations
 
 import html
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -27,8 +28,8 @@ from hearthline.llm.html_blocks import Block, leaf_blocks
 
 FIT_PAGES = 300
 FIT_BYTES = 200_000
-LAYOUTS = 3
-HASHED = 64
+DEEP = (False, False, False, True, True)
+HASHED = 128
 RATES = 7
 INPUTS = 2 * HASHED + RATES
 HIDDEN = 16
@@ -41,7 +42,7 @@ BOILERPLATE = (
     "nav header footer aside form button select fieldset menu .ad .ads .advert .advertisement .banner .sidebar .comment"
     " .comments .cookie .consent .notice .alert .menu .nav .navbar .navigation .breadcrumb .breadcrumbs .promo .share"
     " .social .related .newsletter .subscribe .popup .modal .footer .header .masthead .toolbar .widget .pagination .login"
-    " .search .sponsored .complementary .contentinfo .commentlist .discussion .reply .replies .disqus"
+    " .search .sponsored .complementary .contentinfo .commentlist .discussion .reply .replies .disqus noscript template svg"
 ).split()
 ARTICLE = "article main .article .main .content .post .entry .story .articlebody".split()
 _OUT, _IN = frozenset(BOILERPLATE), frozenset(ARTICLE)
@@ -55,7 +56,7 @@ def teacher(path: tuple[str, ...]) -> bool:
 def vectors(blocks: list[Block]) -> np.ndarray:
     out = np.zeros((len(blocks), INPUTS), np.float32)
     for at, block in enumerate(blocks):
-        for name in block.path[-12:]:
+        for name in set(block.path):
             out[at, zlib.crc32(name.encode()) % HASHED] = 1
         words = block.text.split()
         hashed = np.bincount([zlib.crc32(w.lower().encode()) % HASHED for w in words], minlength=HASHED)
@@ -81,24 +82,41 @@ FURNITURE = {
 }
 _CONTAINERS = {
     "menu": ("<nav>", '<div class="menu">', '<ul class="navbar">', '<div id="navigation">', "<header>", '<div class="header">'),
-    "notice": ('<div class="cookie">', '<div class="notice">', '<div id="consent">', '<div class="alert">', '<div class="newsletter">'),
-    "share": ('<div class="share">', '<div class="social">', '<ul class="share">'),
+    "notice": ('<div class="cookie">', '<div class="notice">', '<div id="consent">', '<div class="alert">', '<div class="newsletter">', "<noscript>"),
+    "share": ('<div class="share">', '<div class="social">', '<ul class="share">', "<svg>"),
     "form": ("<form>", '<form class="search">', '<div class="login">'),
     "footer": ("<footer>", '<div class="footer">', '<div id="footer">', '<div role="contentinfo">'),
-    "aside": ("<aside>", '<div class="sidebar">', '<div class="widget">', '<div class="related">', '<div class="promo">'),
+    "aside": ("<aside>", '<div class="sidebar">', '<div class="widget">', '<div class="related">', '<div class="promo">', "<template>"),
     "advert": ('<div class="ad">', '<div class="advert">', '<div class="sponsored">', '<div id="banner">'),
     "comments": ('<div class="comments">', '<section id="comments">', '<ol class="commentlist">', '<div class="discussion">'),
 }
 _BODIES = ("<article>", "<main>", '<div class="content">', '<div class="post">', '<div class="entry">', '<div id="main">', '<section class="story">')
 
 
-def _wrapped(rng: np.random.Generator, kind: str, texts: Iterable[str]) -> str:
+# Elements with names that tell nothing, as many pages nest them.
+_NEUTRAL = (
+    '<div class="row odd">', '<div class="col col-md-6 inner">', '<div class="grid wrap unit-12">', '<section class="box lead lg">',
+    '<div id="u-42" class="flex stretch">', '<table class="table table-striped"><tbody><tr class="row odd"><td class="cell num">',
+    '<ul class="list plain"><li class="item even">', '<dl class="pairs"><dd class="value text">',
+)
+
+
+def _deep(rng: np.random.Generator, inner: str) -> str:
+    """The same within some nested elements."""
+    for opening in rng.choice(_NEUTRAL, int(rng.integers(2, 6))):
+        names = re.findall(r"<(\w+)", opening)
+        inner = opening + inner + "".join(f"</{n}>" for n in reversed(names))
+    return inner
+
+
+def _wrapped(rng: np.random.Generator, kind: str, texts: Iterable[str], deep: bool = False) -> str:
     container = str(rng.choice(_CONTAINERS[kind]))
     inner = "p" if kind in ("comments", "aside", "advert", "notice") and rng.random() < 0.7 else "li" if rng.random() < 0.5 else "div"
     linked = kind in ("menu", "share", "footer") and rng.random() < 0.8
     parts = [f'<a href="#">{html.escape(t)}</a>' if linked else html.escape(t) for t in texts]
     name = container[1:].split()[0].rstrip(">")
-    return container + "".join(f"<{inner}>{p}</{inner}>" for p in parts) + f"</{name}>"
+    body = "".join(f"<{inner}>{p}</{inner}>" for p in parts)
+    return container + (_deep(rng, body) if deep else body) + f"</{name}>"
 
 
 def _paragraph(text: str, rng: np.random.Generator) -> str:
@@ -107,16 +125,19 @@ def _paragraph(text: str, rng: np.random.Generator) -> str:
     return f"<{kind}>{html.escape(text)}</{kind}>"
 
 
-def rebuilt(body: list[str], foreign: list[str], rng: np.random.Generator) -> str:
-    """A page in a drawn layout: the body's blocks as article, furniture and other pages' blocks around it."""
+def rebuilt(body: list[str], foreign: list[str], rng: np.random.Generator, deep: bool = False) -> str:
+    """A page in a drawn layout: the body's blocks as article, furniture and other pages' blocks around it.
+
+    Deep layouts hold the texts of both within further elements with classes.
+    """
     def furniture(kind: str) -> str:
         texts = FURNITURE[kind].split("|") if kind in FURNITURE else []
         if not texts or rng.random() < 0.3:
             texts = [*texts, *rng.choice(foreign, int(rng.integers(1, 4)))]
-        return _wrapped(rng, kind, rng.permutation(texts)[: int(rng.integers(1, 7))])
+        return _wrapped(rng, kind, rng.permutation(texts)[: int(rng.integers(1, 7))], deep)
 
     opening = str(rng.choice(_BODIES))
-    inside = [_paragraph(t, rng) for t in body]
+    inside = [_deep(rng, _paragraph(t, rng)) if deep else _paragraph(t, rng) for t in body]
     if body and rng.random() < 0.6:
         title = str(rng.choice(("h1", "h2")))
         inside.insert(0, f"<{title}>{html.escape(body[0][:60])}</{title}>")
@@ -124,11 +145,11 @@ def rebuilt(body: list[str], foreign: list[str], rng: np.random.Generator) -> st
         if rng.random() < 0.25:
             inside.insert(int(rng.integers(0, len(inside) + 1)), furniture(kind))
     if rng.random() < 0.25:
-        inside.append(_wrapped(rng, "comments", rng.choice(foreign, int(rng.integers(1, 5)))))
+        inside.append(_wrapped(rng, "comments", rng.choice(foreign, int(rng.integers(1, 5))), deep))
     before = [furniture(k) for k in ("notice", "menu", "advert", "form", "aside") if rng.random() < 0.5]
     after = [furniture(k) for k in ("share", "aside", "form", "notice", "footer") if rng.random() < 0.5]
     if rng.random() < 0.5:
-        after.insert(0, _wrapped(rng, "comments", rng.choice(foreign, int(rng.integers(1, 6)))))
+        after.insert(0, _wrapped(rng, "comments", rng.choice(foreign, int(rng.integers(1, 6))), deep))
     name = opening[1:].split()[0].rstrip(">")
     wrapper = ("<div class='page'>", "</div>") if rng.random() < 0.4 else ("", "")
     return "<html><body>" + wrapper[0] + "".join(before) + opening + "".join(inside) + f"</{name}>" + "".join(after) + wrapper[1]
@@ -146,7 +167,7 @@ def training_set(pages: list[str], seed: int = SEED) -> list[tuple[np.ndarray, n
     foreign = [t[:400] for b in bodies for t in b[:5]]
     sets = [blocks for blocks in parsed if blocks]
     for body in bodies:
-        sets += [leaf_blocks(rebuilt(body[:30], foreign, rng)) for _ in range(LAYOUTS)]
+        sets += [leaf_blocks(rebuilt(body[:30], foreign, rng, deep)) for deep in DEEP]
     return [(vectors(b), np.array([teacher(x.path) for x in b], np.float64)) for b in sets if b]
 
 

@@ -70,3 +70,16 @@ def test_table(spark, pages, prose):
     assert right >= len(rows) - 5
     assert len(by[(103, "long")].split("\n")) >= 395
     assert labeller.main_text(table.limit(0)).count() == 0
+
+
+def test_deep_layouts(pages):
+    cell = "<table class='table table-striped'><tbody><tr class='row odd'><td class='cell num'><div><p>text</p></div></table>"
+    inside, beside = (labeller.vectors(leaf_blocks(f"<{n}>{cell}</{n}>")) for n in ("article", "aside"))
+    assert (inside != beside).any()
+    weights = labeller.fit(labeller.training_set(pages[:40]))
+    bodies = [[b.text for b in leaf_blocks(p) if labeller.teacher(b.path)] for p in pages[40:]]
+    foreign = [t for b in bodies for t in b]
+    rng = np.random.default_rng(321)
+    test = [leaf_blocks(labeller.rebuilt(b, foreign, rng, True)) for b in bodies for _ in range(3)]
+    wrong = sum((m != [labeller.teacher(b.path) for b in t]).sum() for t, m in zip(test, labeller.labelled(test, weights), strict=True))
+    assert wrong < 0.05 * sum(map(len, test))
