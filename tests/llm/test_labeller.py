@@ -72,6 +72,16 @@ def test_table(spark, pages, prose):
     assert labeller.main_text(table.limit(0)).count() == 0
 
 
+def test_parts_without_end_tag_cost_no_text():
+    for name in ("noscript", "template", "svg", "math", "object"):
+        assert [b.text for b in leaf_blocks(f"<article><p>one</p><{name}><p>two</p><p>three</p></article>end")] == ["one", "two", "three", "end"]
+    assert leaf_blocks("<article><svg><p>two</p></article>")[0].path == ("article", "p")
+    blocks = leaf_blocks("<p>a <svg><g><svg><text>x</text></svg><text>y</text><path d=''/></g></svg> b <math><mi>c</mi><mo>=</mo><mn>1</mn></math> <object>d</object></p>")
+    assert [(b.text, "svg" in b.path) for b in blocks] == [("x", True), ("y", True), ("a b c=1 d", False)]
+    assert not any(labeller.teacher(b.path) for b in leaf_blocks("<article><noscript>turn it on</noscript></article>"))
+    assert [b.text for b in leaf_blocks("<div>a<svg>b</div>c</svg>d")] == ["a", "b", "cd"]
+
+
 def test_deep_layouts(pages):
     cell = "<table class='table table-striped'><tbody><tr class='row odd'><td class='cell num'><div><p>text</p></div></table>"
     inside, beside = (labeller.vectors(leaf_blocks(f"<{n}>{cell}</{n}>")) for n in ("article", "aside"))
