@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthline.llm import chat, cover_tree, labeller, mixing, packing, simhash, site_quality, substring, toxicity, vantage
+from hearthline.llm import chat, cover_tree, divergence, labeller, mixing, packing, simhash, site_quality, substring, toxicity, vantage
 from hearthline.llm.common import column_set, table, unsigned_hex
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,5 +116,12 @@ def op7_site_quality(spark: SparkSession, folder: str) -> DataFrame:
     return site_quality.scored(docs, table(spark, folder, "labels"), F.col("source"), F.col("lang"))
 
 
+@query
+def op11_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    """Distances between the sources of each language, and the terms each source overuses."""
+    return divergence.audit(column_set(table(spark, folder, "documents"), "text", "lang", "source"))
+
+
+ORACLE_SQL["op11_source_divergence"] = divergence.ORACLE
 ORACLE_SQL["op1_cover_tree"] = cover_tree.ORACLE
 ORACLE_SQL["op10_substring_dedup"] = substring.ORACLE
