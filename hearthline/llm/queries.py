@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthline.llm import chat, cover_tree, divergence, labeller, mixing, packing, simhash, site_quality, substring, toxicity, vantage
+from hearthline.llm import chat, cover_tree, divergence, labeller, merkle, mixing, packing, simhash, site_quality, substring, toxicity, vantage
 from hearthline.llm.common import column_set, table, unsigned_hex
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,6 +122,15 @@ def op11_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
     return divergence.audit(column_set(table(spark, folder, "documents"), "text", "lang", "source"))
 
 
+@query
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Leaf, subroot, root and proof of every document, and the root its checked row leads to."""
+    leaves = merkle.document_leaves(table(spark, folder, "documents"))
+    found = merkle.manifest(leaves).withColumnsRenamed({"id": "doc_id", "proof": "proof_sha256"})
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+ORACLE_SQL["op13_merkle_manifest"] = merkle.ORACLE
 ORACLE_SQL["op11_source_divergence"] = divergence.ORACLE
 ORACLE_SQL["op1_cover_tree"] = cover_tree.ORACLE
 ORACLE_SQL["op10_substring_dedup"] = substring.ORACLE
