@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthline.llm import chat, cover_tree, divergence, labeller, merkle, mixing, packing, simhash, site_quality, substring, toxicity, vantage
+from hearthline.llm import chat, cover_tree, divergence, labeller, merkle, mixing, packing, quality_rules, simhash, site_quality, substring, toxicity, vantage
 from hearthline.llm.common import column_set, table, unsigned_hex
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,6 +122,17 @@ def op11_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
     return divergence.audit(column_set(table(spark, folder, "documents"), "text", "lang", "source"))
 
 
+@query
+def op12_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts of every document, and whether it is kept."""
+    docs = column_set(table(spark, folder, "documents"), "doc_id", "text", "lang")
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return quality_rules.judged(docs).select("doc_id", *counts, "base_failed", "kept")
+
+
+ORACLE_SQL["op12_quality_rules"] = quality_rules.ORACLE
+
+
 @query
 def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     """Leaf, subroot, root and proof of every document, and the root its checked row leads to."""
