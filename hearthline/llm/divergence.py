@@ -35,9 +35,10 @@ PRIOR = 5
 SCALE = 1_000_000_000
 TOP = 50
 
-# How much a task holds: counts before it passes them on, cells of a block, rows of a tile.
+# How much a task holds: counts before it passes them on, cells of a block (at least, at most), rows
+# of a tile. A block gives a row per pair of sources, so it has a term per source where that fits.
 HELD_COUNTS = 1_000_000
-BLOCK_CELLS = 1 << 18
+BLOCK_CELLS = (1 << 15, 1 << 20)
 TILE = 512
 OUTPUT_ROWS = 1 << 16
 
@@ -189,7 +190,9 @@ def audit(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, top: int = TOP) -
             *[F.coalesce(c, zero).alias(c) for c in ("total", "vocabulary", "lang_total")],
         )
     )
-    wanted = F.ceil(F.col("vocabulary") * F.col("sources") / F.lit(BLOCK_CELLS))
+    least, most = (F.lit(n).cast("double") for n in BLOCK_CELLS)
+    cells_of_block = F.least(most, F.greatest(least, F.pow(F.col("sources"), 2)))
+    wanted = F.ceil(F.col("vocabulary") * F.col("sources") / cells_of_block)
     tiles = F.ceil(F.col("sources") / F.lit(TILE))
     sizes = staged(
         sizes.withColumn("blocks", F.greatest(F.lit(1).cast("long"), wanted)).withColumn("tiles", tiles), "sizes"

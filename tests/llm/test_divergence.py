@@ -58,7 +58,7 @@ def test_against_dictionaries(spark, prose):
 
 
 def test_many_blocks_and_tiles(spark, prose, monkeypatch):
-    monkeypatch.setattr(divergence, "BLOCK_CELLS", 40)
+    monkeypatch.setattr(divergence, "BLOCK_CELLS", (40, 400))
     rows = rows_of(prose)
     docs = spark.createDataFrame(rows, "lang string, source string, text string")
     assert found(docs, min_documents=3) == brute(rows, 3, 50)
