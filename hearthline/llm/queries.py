@@ -127,7 +127,7 @@ def op12_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Counts of every document, and whether it is kept."""
     docs = column_set(table(spark, folder, "documents"), "doc_id", "text", "lang")
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    return quality_rules.judged(docs).select("doc_id", *counts, "base_failed", "kept")
+    return quality_rules.judged(docs, carried=["doc_id"]).select("doc_id", *counts, "base_failed", "kept")
 
 
 ORACLE_SQL["op12_quality_rules"] = quality_rules.ORACLE
