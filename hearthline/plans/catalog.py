@@ -15,8 +15,10 @@ from hearthline.operators import (
     regression, robust, sensitivity, supertracts, validate, weights,
 )
 from hearthline.plans.estimator import estimate_indices
-from hearthline.session import ship_package, staged
+from hearthline import schemas
+from hearthline.session import scratch, ship_package, staged
 from hearthline.sources import retail
+from hearthline.streaming.incremental import IndexStore, follow
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -281,6 +283,18 @@ def area_index_monthly(days):
     return regression.index_series(regression.fit_repeat_sales(_valid(days), AREA), AREA)
 
 
+@query
+def area_index_incremental(days):
+    """The monthly index of pairs that arrive in files, kept up to date by a stream in several batches."""
+    valid, spark = _valid(days), days.sparkSession
+    folder = scratch(spark, "incremental")
+    valid.repartition(6, "property_id").write.parquet(f"{folder}/arrivals")
+    store = IndexStore(spark, f"{folder}/store", AREA)
+    arriving = spark.readStream.schema(schemas.PAIRS).option("maxFilesPerTrigger", 2).parquet(f"{folder}/arrivals")
+    follow(arriving, store, f"{folder}/progress").awaitTermination()
+    return store.series()
+
+
 @query
 def area_index_annual(days):
     options = FitOptions(period="year")
@@ -785,13 +799,12 @@ def sensitivity_series(days):
 
 @staged_query
 def sensitivity_impact(days):
-    return sensitivity.impact(staged(sensitivity.scenario_series(staged(_spaced(days), "spaced")), "series"))
+    return sensitivity.impact(sensitivity.scenario_series(staged(_spaced(days), "spaced")))
 
 
 @staged_query
 def sensitivity_importance(days):
-    series = staged(sensitivity.scenario_series(staged(_spaced(days), "spaced")), "series")
-    return sensitivity.importance(sensitivity.impact(series))
+    return sensitivity.importance(sensitivity.impact(sensitivity.scenario_series(staged(_spaced(days), "spaced"))))
 
 
 # --- run-time measurements -----------------------------------------------------------

@@ -68,13 +68,18 @@ def spread(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new place below the shared checkpoint folder."""
+    use_checkpoint_folder(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write once as Parquet in the shared checkpoint folder and read back.
 
     For tables that several later steps scan: each scan reads only its columns.
     """
     spark = df.sparkSession
-    use_checkpoint_folder(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

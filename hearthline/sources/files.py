@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import date
 from functools import reduce
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from hearthline import schemas
 from hearthline.operators.regression import within_dates
+from hearthline.sources.snapshots import SnapshotTable
 
 # Folders below a store that writers and readers share.
 STREAMED = "transactions_streamed"
@@ -142,19 +144,29 @@ def _stored(spark: SparkSession, path: str, schema: str | None = None) -> DataFr
         raise
 
 
+def stored_pairs(spark: SparkSession, folder: str) -> SnapshotTable:
+    """The pairs of a store. Plain Parquet folders of pairs in it are where the table starts."""
+    origin = tuple(f"{folder}/{name}" for name in ("transactions", STREAMED))
+    return SnapshotTable(spark, f"{folder}/transactions_versions", schemas.PAIRS, origin)
+
+
 def load_pairs_between(
     spark: SparkSession, folder: str, start: date | None = None, end: date | None = None
 ) -> DataFrame:
     """Stored pairs whose second sale lies in the range; the filter reaches the Parquet scan.
 
-    Uploaded pairs and those appended by a stream lie in two folders: once a stream has
-    written to a folder, readers trust its log and would not see other files there.
+    All of them belong to one version of the store, whatever uploads and streams do meanwhile.
     """
-    parts = [_stored(spark, f"{folder}/{name}", schemas.PAIRS) for name in ("transactions", STREAMED)]
-    found = [p for p in parts if p is not None]
-    if not found:
+    table = stored_pairs(spark, folder)
+    version = table.version()
+    if not version.folders:
         raise FileNotFoundError(f"no stored pairs in {folder}")
-    return within_dates(reduce(DataFrame.unionByName, found), start, end)
+    # A folder that a stream's file sink wrote is read by its log, so each folder is read by itself.
+    parts = [spark.read.schema(schemas.PAIRS).parquet(f) for f in version.folders if f in table.origin]
+    rest = tuple(f for f in version.folders if f not in table.origin)
+    if rest:
+        parts.append(table.read(replace(version, folders=rest)))
+    return within_dates(reduce(DataFrame.unionByName, parts), start, end)
 
 
 def load_stored_tracts(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,8 +1,4 @@
-"""Pairs that keep arriving as files: check them once, append the valid ones.
-
-They go to a folder of their own in the store, next to the one that uploads append to: a
-folder with a stream's log hides files that others put there. Readers take both.
-"""
+"""Pairs that keep arriving as files: check them once, append the valid ones to the store."""
 
 from __future__ import annotations
 
@@ -12,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from hearthline import schemas
 from hearthline.operators.validate import validate_pairs
-from hearthline.sources.files import STREAMED
+from hearthline.sources.files import stored_pairs
 
 
 def arriving_pairs(spark: SparkSession, folder: str, file_format: str = "csv") -> DataFrame:
@@ -24,13 +20,16 @@ def arriving_pairs(spark: SparkSession, folder: str, file_format: str = "csv") -
 
 
 def append_valid_pairs(arriving: DataFrame, store: str, progress: str) -> StreamingQuery:
-    """Append valid pairs to the store for the files present now; progress is exact-once."""
+    """Append valid pairs to the store for the files present now.
+
+    Every batch becomes a version of the store's pairs and carries its number, so a batch that is
+    run again after a failure is stored once.
+    """
+    table = stored_pairs(arriving.sparkSession, store)
     valid = arriving.where("is_valid").select(*schemas.PAIR_COLUMNS)
     return (
-        valid.writeStream.format("parquet")
-        .option("path", f"{store}/{STREAMED}")
+        valid.writeStream.foreachBatch(lambda pairs, number: table.append(pairs, (progress, number)))
         .option("checkpointLocation", progress)
-        .outputMode("append")
         .trigger(availableNow=True)
         .start()
     )
