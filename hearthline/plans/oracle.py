@@ -227,7 +227,7 @@ PARTS.update(_hierarchy_step("state", "nation", "state_series", "USA"))
 
 
 
-def _least_squares(name: str, period: str) -> dict[str, tuple[tuple[str, ...], str]]:
+def _least_squares(name: str, period: str, source: str = "months") -> dict[str, tuple[tuple[str, ...], str]]:
     """Repeat-sales fit per area by Gauss-Jordan on (normal matrix, moments, identity).
 
     Columns f and s of months, or their years, are the periods; the first one of an area is
@@ -235,9 +235,9 @@ def _least_squares(name: str, period: str) -> dict[str, tuple[tuple[str, ...], s
     """
     return {
         f"{name}_rows": (
-            ("months",),
+            (source,),
             f"""SELECT *, {period.format("f")} - o AS i, {period.format("s")} - o AS j FROM (
-                  SELECT *, min(least({period.format("f")}, {period.format("s")})) OVER (PARTITION BY cbsa_id) AS o FROM months)""",
+                  SELECT *, min(least({period.format("f")}, {period.format("s")})) OVER (PARTITION BY cbsa_id) AS o FROM {source})""",
         ),
         f"{name}_size": (
             (f"{name}_rows",),
@@ -318,6 +318,117 @@ def _least_squares(name: str, period: str) -> dict[str, tuple[tuple[str, ...], s
     }
 
 
+# Weight of a scaled residual u.
+WEIGHTS = {
+    "huber": "CASE WHEN abs(u) <= 1.345 THEN 1.0 ELSE 1.345 / abs(u) END",
+    "bisquare": "CASE WHEN abs(u) <= 4.685 THEN pow(1 - pow(u / 4.685, 2), 2) ELSE 0.0 END",
+    "cauchy": "1 / (1 + pow(u / 2.385, 2))",
+    "welsch": "exp(-pow(u / 2.985, 2))",
+}
+# Rounds that are written out; a group that has settled keeps its coefficients.
+ROUNDS = 50
+
+
+def _eliminated(name: str, identity: bool, size: str) -> dict[str, tuple[tuple[str, ...], str]]:
+    """Gauss-Jordan on the weighted normal equations of {name}_weighted, with the identity for an inverse."""
+    unit = ", list_transform(range(1, n + 1), lambda x: CASE WHEN x = r THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)" if identity else ""
+    return {
+        f"{name}_matrix": (
+            (f"{name}_weighted", size),
+            f"""SELECT cbsa_id, n, list(line ORDER BY r) AS m FROM (
+                  SELECT cbsa_id, n, r, list_concat(list(coalesce(e.v, 0.0::DOUBLE) ORDER BY c), [coalesce(any_value(b.v), 0.0::DOUBLE)]{unit}) AS line
+                  FROM (SELECT cbsa_id, n, r, unnest(range(1, n + 1)) AS c FROM (
+                          SELECT cbsa_id, n, unnest(range(1, n + 1)) AS r FROM {size} SEMI JOIN {name}_weighted USING (cbsa_id)))
+                  LEFT JOIN (SELECT cbsa_id, r, c, sum(v) AS v FROM (
+                    SELECT cbsa_id, unnest([i, j, i, j]) AS r, unnest([i, j, j, i]) AS c, unnest([w, w, -w, -w]) AS v
+                    FROM {name}_weighted) GROUP BY ALL) e USING (cbsa_id, r, c)
+                  LEFT JOIN (SELECT cbsa_id, r, sum(v) AS v FROM (
+                    SELECT cbsa_id, unnest([i, j]) AS r, unnest([-w * y, w * y]) AS v FROM {name}_weighted) GROUP BY ALL) b USING (cbsa_id, r)
+                  GROUP BY cbsa_id, n, r) GROUP BY ALL""",
+        ),
+        f"{name}_reduced": (
+            (f"{name}_matrix",),
+            f"""SELECT cbsa_id, n, 1 AS k, m FROM {name}_matrix
+                UNION ALL SELECT cbsa_id, n, k + 1, CASE WHEN abs(m[k][k]) < 1e-13 THEN m ELSE
+                  list_transform(m, lambda line, pos: CASE WHEN pos = k THEN list_transform(line, lambda x: x / m[k][k])
+                    ELSE list_transform(list_zip(line, m[k]), lambda z: z[1] - line[k] / m[k][k] * z[2]) END) END
+                FROM {name}_reduced WHERE k <= n""",
+        ),
+    }
+
+
+def _weighted(name: str, base: str, state: str, weight: str, active: str) -> tuple[tuple[str, ...], str]:
+    """Pairs with their residual, scale and weight at the coefficients that column old of the state holds."""
+    return (
+        (f"{base}_rows", state),
+        f"""SELECT * EXCLUDE (u), CASE WHEN scale > 1e-10 THEN {weight} ELSE 1.0 END AS w FROM (
+              SELECT *, e / scale AS u FROM (
+                SELECT *, 1.4826 * median(abs(e - middle)) OVER (PARTITION BY cbsa_id) AS scale FROM (
+                  SELECT *, median(e) OVER (PARTITION BY cbsa_id) AS middle FROM (
+                    SELECT r.*, y - (b.{active} - a.{active}) AS e FROM {base}_rows r
+                    JOIN {state} a ON a.cbsa_id = r.cbsa_id AND a.idx = i AND {"NOT a.done" if active == "new" else "true"}
+                    JOIN {state} b ON b.cbsa_id = r.cbsa_id AND b.idx = j))))""",
+    )
+
+
+def _reweighted(name: str, base: str, method: str, rounds: int = ROUNDS) -> dict[str, tuple[tuple[str, ...], str]]:
+    """M-estimate on top of the least-squares parts named by base: one block of parts a round."""
+    weight = WEIGHTS[method]
+    parts = {f"{name}_state0": ((f"{base}_solved",), f"SELECT cbsa_id, idx, beta AS old, beta AS new, false AS done FROM {base}_solved")}
+    for r in range(1, rounds + 1):
+        now, before = f"{name}_{r}", f"{name}_state{r - 1}"
+        parts[f"{now}_weighted"] = _weighted(now, base, before, weight, "new")
+        parts.update(_eliminated(now, False, f"{base}_size"))
+        parts[f"{name}_state{r}"] = (
+            (f"{now}_reduced", before, f"{base}_labels"),
+            f"""SELECT cbsa_id, idx, CASE WHEN done THEN old ELSE new END AS old, CASE WHEN done THEN new ELSE beta END AS new,
+                  done OR max(abs(beta - new)) OVER (PARTITION BY cbsa_id) < 1e-4 AS done FROM (
+                  SELECT s.*, beta - CASE WHEN label = 0 THEN 0 ELSE avg(beta) OVER (PARTITION BY s.cbsa_id, label) END AS beta
+                  FROM {before} s LEFT JOIN (
+                    SELECT cbsa_id, 0 AS idx, 0.0::DOUBLE AS beta FROM {now}_matrix
+                    UNION ALL SELECT cbsa_id, idx, CASE WHEN abs(m[idx][idx]) < 1e-13 THEN 0 ELSE m[idx][n + 1] END
+                    FROM (SELECT *, unnest(range(1, n + 1)) AS idx FROM {now}_reduced WHERE k = n + 1)) d USING (cbsa_id, idx)
+                  JOIN {base}_labels USING (cbsa_id, idx))""",
+        )
+    last = f"{name}_state{rounds}"
+    parts[f"{name}_weighted"] = _weighted(name, base, last, weight, "old")
+    parts.update(_eliminated(name, True, f"{base}_size"))
+    parts[f"{name}_errors"] = (
+        (f"{name}_weighted", last),
+        f"""SELECT r.*, y - (b.new - a.new) AS residual FROM {name}_weighted r
+            JOIN {last} a ON a.cbsa_id = r.cbsa_id AND a.idx = i JOIN {last} b ON b.cbsa_id = r.cbsa_id AND b.idx = j""",
+    )
+    parts[f"{name}_fit"] = (
+        (f"{name}_errors", f"{base}_size"),
+        f"""SELECT cbsa_id, min(n) AS n, min(z.o) AS o, count(*) AS pairs, sum(w * residual * residual) AS rss
+            FROM {name}_errors JOIN {base}_size z USING (cbsa_id) GROUP BY 1""",
+    )
+    parts[f"{name}_solved"] = (
+        (last, f"{name}_reduced", f"{name}_matrix", f"{name}_fit", f"{base}_labels"),
+        f"""SELECT cbsa_id, idx, new AS beta, label = 0 AS identified, CASE WHEN idx = 0 THEN 0.0
+              WHEN max(label) OVER (PARTITION BY cbsa_id) = 0 THEN sqrt(inverse * variance) WHEN degree > 0 THEN variance / sqrt(degree) END AS error
+            FROM {last} JOIN {base}_labels USING (cbsa_id, idx)
+            JOIN (SELECT cbsa_id, CASE WHEN pairs > n THEN rss / (pairs - n) END AS variance FROM {name}_fit) USING (cbsa_id)
+            LEFT JOIN (
+              SELECT cbsa_id, idx, i.m[idx][n + 1 + idx] AS inverse, a.m[idx][idx] AS degree
+              FROM (SELECT *, unnest(range(1, n + 1)) AS idx FROM {name}_reduced WHERE k = n + 1) i
+              JOIN (SELECT cbsa_id, m FROM {name}_matrix) a USING (cbsa_id)) USING (cbsa_id, idx)""",
+    )
+    return parts
+
+
+MONTH = "make_date(CAST((o + idx) // 12 AS BIGINT), CAST((o + idx) % 12 + 1 AS BIGINT), 1)"
+
+
+def _robust_levels(name: str) -> tuple[tuple[str, ...], str]:
+    return (
+        (f"{name}_solved", f"{name}_fit"),
+        f"""SELECT cbsa_id, CAST(idx AS INT) AS period_idx, {MONTH} AS date, round(100 * exp(beta), 6) AS index_value,
+             round(beta, 6) + 0.0 AS log_return, round(error, 6) AS standard_error, identified
+           FROM {name}_solved JOIN {name}_fit USING (cbsa_id)""",
+    )
+
+
 def _index_levels(name: str, date: str) -> tuple[tuple[str, ...], str]:
     return (
         (f"{name}_solved", f"{name}_fit"),
@@ -360,6 +471,57 @@ def _diagnosed(fit: str) -> dict[str, tuple[tuple[str, ...], str]]:
 PARTS.update(_diagnosed("ols_month"))
 PARTS.update(_least_squares("ols_month", "{}"))
 PARTS.update(_least_squares("ols_year", "({} // 12)"))
+# The other two methods let weights fall to nearly nothing. Where such a pair alone links a month, rounding
+# decides its coefficient, and results repeat on no engine to six digits; they have no twin here.
+for _method in ("huber", "cauchy"):
+    PARTS.update(_reweighted(f"by_{_method}", "ols_month", _method))
+
+# Scenarios of the sensitivity analysis: every variant of the pairs is a group of its own.
+PARTS["spaced_months"] = (
+    ("grown",),
+    """SELECT *, CAST(year(first_sale_date) * 12 + month(first_sale_date) - 1 AS INT) AS f,
+              CAST(year(second_sale_date) * 12 + month(second_sale_date) - 1 AS INT) AS s,
+              ln(second_sale_price) - ln(first_sale_price) AS y FROM grown
+       WHERE abs(time_diff_months) >= 12 AND first_sale_price > 0 AND second_sale_price > 0 AND second_sale_date > first_sale_date""",
+)
+PARTS["variant_months"] = (
+    ("spaced_months",),
+    """SELECT * REPLACE (v.name AS cbsa_id) FROM spaced_months, (SELECT max(second_sale_date) AS last FROM spaced_months),
+         (SELECT unnest(['all', 'without_outliers', 'years_3', 'years_5', 'years_10', 'cagr', 'price']) AS name) v
+       WHERE CASE v.name WHEN 'all' THEN true
+         WHEN 'without_outliers' THEN NOT (time_diff_years > 0 AND abs(cagr) > 0.5) AND NOT time_diff_years > 30
+         WHEN 'years_3' THEN second_sale_date >= last - INTERVAL 36 MONTH WHEN 'years_5' THEN second_sale_date >= last - INTERVAL 60 MONTH
+         WHEN 'years_10' THEN second_sale_date >= last - INTERVAL 120 MONTH
+         WHEN 'cagr' THEN abs(cagr) <= 0.3 ELSE least(first_sale_price, second_sale_price) >= 50000 END""",
+)
+PARTS["pool_months"] = (("variant_months",), "SELECT * FROM variant_months WHERE cbsa_id = 'all'")
+PARTS.update(_least_squares("variant", "{}", "variant_months"))
+PARTS.update(_least_squares("pool", "{}", "pool_months"))
+for _method in ("huber", "bisquare", "cauchy"):
+    PARTS.update(_reweighted(f"pool_{_method}", "pool", _method))
+_POOLED = " UNION ALL ".join(
+    f"""SELECT 'robust_{m}' AS scenario, idx, o, beta, error, identified
+        FROM pool_{m}_solved JOIN pool_{m}_fit USING (cbsa_id)"""
+    for m in ("huber", "bisquare", "cauchy")
+)
+PARTS["scenario_series"] = (
+    ("variant_solved", "variant_fit", *[f"pool_{m}_{p}" for m in ("huber", "bisquare", "cauchy") for p in ("solved", "fit")]),
+    f"""SELECT scenario, idx, {MONTH} AS date, 100 * exp(beta) AS index_value, beta, error, identified FROM (
+          SELECT scenario, idx, o, beta, CASE WHEN idx = 0 THEN 0.0 WHEN pairs > n THEN sqrt(inverse * rss / (pairs - n)) END AS error, identified
+          FROM variant_solved JOIN variant_fit USING (cbsa_id) JOIN (VALUES ('all', 'base_case'), ('all', 'weight_sample'), ('all', 'weight_unit'),
+            ('all', 'weight_upb'), ('years_3', 'time_window_3y'), ('years_5', 'time_window_5y'), ('years_10', 'time_window_10y'),
+            ('cagr', 'strict_cagr_filter'), ('price', 'min_price_filter'), ('without_outliers', 'outlier_threshold_2.0'),
+            ('without_outliers', 'outlier_threshold_3.0'), ('without_outliers', 'outlier_threshold_4.0'),
+            ('without_outliers', 'outlier_threshold_5.0')) names(cbsa_id, scenario) USING (cbsa_id)
+          UNION ALL {_POOLED})""",
+)
+PARTS["impacts"] = (
+    ("scenario_series",),
+    """SELECT scenario, avg(x - b) AS mean_difference, max(abs(x - b)) AS max_difference, avg((x - b) / b * 100) AS mean_pct_difference,
+              max(abs((x - b) / b * 100)) AS max_pct_difference, sqrt(avg((x - b) * (x - b))) AS rmse, corr(b, x) AS correlation, count(*) AS num_periods
+       FROM (SELECT s.scenario, s.index_value AS x, b.index_value AS b FROM scenario_series s
+             JOIN scenario_series b ON b.scenario = 'base_case' AND b.date = s.date WHERE s.scenario <> 'base_case') GROUP BY 1""",
+)
 
 PAIR = "property_id, tract_id, cbsa_id, first_sale_date, first_sale_price, second_sale_date, second_sale_price"
 SET = "geography_id, period, weight_type"
@@ -573,7 +735,44 @@ SELECTS: dict[str, tuple[tuple[str, ...], str]] = {
     "area_fit_optimality": (("valid",), "SELECT cbsa_id, 0.0::DOUBLE AS gradient, count(*) AS n_pairs FROM valid GROUP BY 1"),
     "nation_fit_optimality": (("valid",), "SELECT 'USA' AS nation, 0.0::DOUBLE AS gradient, count(*) AS n_pairs FROM valid"),
     "robust_fit_optimality": (("valid",), "SELECT cbsa_id, 0.0::DOUBLE AS gradient, count(*) AS n_pairs FROM valid GROUP BY 1"),
-    "area_index_monthly": _index_levels("ols_month", "make_date(CAST((o + idx) // 12 AS BIGINT), CAST((o + idx) % 12 + 1 AS BIGINT), 1)"),
+    "area_index_monthly": _index_levels("ols_month", MONTH),
+    "area_index_incremental": _index_levels("ols_month", MONTH),
+    **{f"area_index_{m}": _robust_levels(f"by_{m}") for m in ("huber", "cauchy")},
+    "robust_against_ols": (
+        ("by_huber_solved", "by_huber_fit", "ols_month_solved", "ols_month_fit"),
+        f"""SELECT cbsa_id, date, round(r.beta, 6) + 0.0 AS robust_coefficient, round(r.error, 6) AS robust_se, round(100 * exp(r.beta), 6) AS robust_index,
+             round(b.beta, 6) + 0.0 AS ols_coefficient, round(b.error, 6) AS ols_se, round(100 * exp(b.beta), 6) AS ols_index,
+             round(r.beta - b.beta, 6) + 0.0 AS difference, round(100 * exp(r.beta) - 100 * exp(b.beta), 6) + 0.0 AS index_difference
+           FROM (SELECT cbsa_id, {MONTH} AS date, beta, error FROM by_huber_solved JOIN by_huber_fit USING (cbsa_id)) r
+           JOIN (SELECT cbsa_id, {MONTH} AS date, beta, CASE WHEN idx = 0 THEN 0.0 WHEN pairs > n THEN sqrt(inverse * rss / (pairs - n)) END AS error
+                 FROM ols_month_solved JOIN ols_month_fit USING (cbsa_id)) b USING (cbsa_id, date)""",
+    ),
+    "robust_influence": (
+        ("by_huber_errors",),
+        """SELECT property_id, cbsa_id, first_sale_date, round(w, 6) + 0.0 AS weight, round(residual, 6) + 0.0 AS residual,
+             CASE WHEN spread > 1e-10 THEN round(residual / spread, 6) + 0.0 END AS standardized_residual, w < 0.5 AS downweighted,
+             round((rank() OVER (PARTITION BY cbsa_id ORDER BY w) + (count(*) OVER (PARTITION BY cbsa_id, w) - 1) / 2)
+               / count(*) OVER (PARTITION BY cbsa_id), 6) AS weight_percentile
+           FROM (SELECT * REPLACE (round(w, 9) AS w), stddev_pop(residual) OVER (PARTITION BY cbsa_id) AS spread FROM by_huber_errors)""",
+    ),
+    "sensitivity_series": (
+        ("scenario_series",),
+        """SELECT scenario, CAST(idx AS INT) AS period_idx, date, round(index_value, 6) AS index_value, round(beta, 6) + 0.0 AS log_return,
+             round(error, 6) AS standard_error, identified FROM scenario_series""",
+    ),
+    "sensitivity_impact": (
+        ("impacts",),
+        """SELECT scenario, round(mean_difference, 6) + 0.0 AS mean_difference, round(max_difference, 6) AS max_difference,
+             round(mean_pct_difference, 6) + 0.0 AS mean_pct_difference, round(max_pct_difference, 6) AS max_pct_difference,
+             round(rmse, 6) AS rmse, round(correlation, 6) AS correlation, num_periods FROM impacts""",
+    ),
+    "sensitivity_importance": (
+        ("impacts",),
+        """SELECT CASE WHEN scenario LIKE 'outlier%' THEN 'outlier_threshold' WHEN scenario LIKE 'robust%' THEN 'robust_method'
+               WHEN scenario LIKE 'weight%' THEN 'weight_type' WHEN scenario LIKE 'time%' THEN 'time_window' ELSE 'data_filter' END AS parameter_type,
+             round(avg(max_pct_difference), 6) AS avg_impact, round(max(max_pct_difference), 6) AS max_impact, count(*) AS num_scenarios
+           FROM impacts GROUP BY 1""",
+    ),
     "area_index_annual": _index_levels("ols_year", "make_date(CAST(o + idx AS BIGINT), 1, 1)"),
     "area_fit_summary": (
         ("ols_month_fit", "ols_month_solved"),

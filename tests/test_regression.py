@@ -115,10 +115,12 @@ def dense_robust(x, y, method, rounds=50):
 
 
 @pytest.mark.parametrize("method", ["huber", "bisquare", "cauchy", "welsch"])
-def test_robust_estimates_equal_dense_reweighting(pairs_table, random_pairs, method):
+@pytest.mark.parametrize("in_task", [1000, 0])
+def test_robust_estimates_equal_dense_reweighting(pairs_table, random_pairs, monkeypatch, method, in_task):
+    monkeypatch.setattr(robust, "IN_TASK", in_task)
     rows = random_pairs(300, months=14)
     table = pairs_table(rows)
-    for rounds in (50, 2):
+    for rounds in (50, 2) if in_task else (3,):
         options = RobustOptions(method=method, max_iterations=rounds)
         fits = cut_lineage(robust.fit_robust(table, AREA, options))
         got = {r.cbsa_id: r for r in fits.collect()}
@@ -130,7 +132,7 @@ def test_robust_estimates_equal_dense_reweighting(pairs_table, random_pairs, met
             n, k = x.shape
             se = np.sqrt(np.diag(np.linalg.inv(x.T @ (x * w[:, None]))) * (w @ error**2) / (n - k))
             assert np.allclose(got[name].log_returns[1:], beta, atol=1e-8)
-            assert got[name].iterations == done and got[name].converged == (rounds == 50)
+            assert got[name].iterations == done and got[name].converged == (rounds == 50 or done < rounds)
             assert np.allclose(got[name].standard_errors[1:], se, rtol=1e-6)
             total = w @ (y - (w @ y) / w.sum()) ** 2
             assert got[name].r_squared == pytest.approx(1 - (w @ error**2) / total)
@@ -147,6 +149,45 @@ def test_two_rounds_may_not_converge_and_perfect_data_keeps_full_weight(pairs_ta
         RobustOptions(method="median")
 
 
+def test_variants_and_sizes_of_groups_mix(pairs_table, random_pairs, monkeypatch):
+    rows = random_pairs(240, months=10, groups=("A", "B", "B", "B"))
+    variants = {"mild": RobustOptions(tuning=3.0, tolerance=1e-2), "strict": RobustOptions(method="cauchy", max_iterations=3)}
+    want = {(r.variant, r.cbsa_id): r for r in robust.fit_variants(pairs_table(rows), AREA, variants).collect()}
+    monkeypatch.setattr(robust, "IN_TASK", 100)  # A in a task, B in rounds
+    got = {(r.variant, r.cbsa_id): r for r in robust.fit_variants(pairs_table(rows), AREA, variants).collect()}
+    assert got.keys() == want.keys() and len(got) == 4
+    for name, fit in want.items():
+        assert np.allclose(got[name].log_returns, fit.log_returns, atol=1e-9) and got[name].iterations == fit.iterations
+        assert np.allclose(np.array(got[name].standard_errors, float), np.array(fit.standard_errors, float), equal_nan=True)
+        assert got[name].r_squared == pytest.approx(fit.r_squared) and got[name].weight_scale == pytest.approx(fit.weight_scale)
+    assert want["strict", "A"].iterations <= 3
+    with pytest.raises(ValueError):
+        robust.fit_variants(pairs_table(rows), AREA, {})
+
+
+@pytest.mark.parametrize("case", ["normal", "ties", "tiny", "constant", "wide"])
+def test_bands_hold_both_medians(case):
+    rng = np.random.default_rng(5)
+    for trial in range(40):
+        size = int(rng.integers(1, 400))
+        values = {
+            "normal": rng.normal(0, 1, size), "ties": rng.integers(0, 4, size) / 2.0, "tiny": rng.normal(5, 1e-9, size),
+            "constant": np.full(size, 0.25), "wide": rng.standard_cauchy(size) * 10.0 ** rng.integers(-8, 8),
+        }[case]
+        middle, scale = rng.normal(0, 1), abs(rng.normal(0, 1)) * (trial % 3)
+        edges = robust.bin_edges(middle, scale)
+        bins = np.searchsorted(edges, values, "right") - 1
+        kinds, counts = np.unique(bins, return_counts=True)
+        found = robust.brackets(kinds, counts, edges)
+        inner = (bins >= found["first"]) & (bins <= found["last"])
+        got = robust._middle_of(values[inner], np.ones(inner.sum()), found["low"] - found["before"], found["high"] - found["before"])
+        assert got == pytest.approx(np.median(values), rel=1e-12, abs=1e-300)
+        band = ((bins >= found["left_from"]) & (bins <= found["left_to"])) | ((bins >= found["right_from"]) & (bins <= found["right_to"]))
+        away = np.abs(values - got)
+        got = robust._middle_of(away[band], np.ones(band.sum()), found["low"] - found["inside"], found["high"] - found["inside"])
+        assert got == pytest.approx(np.median(away), rel=1e-12, abs=1e-300)
+
+
 def test_influence_ranks(pairs_table, random_pairs):
     table = pairs_table(random_pairs())
     rows = robust.influence(robust.weighted_residuals(table, robust.fit_robust(table, AREA), AREA), AREA).toPandas()
