@@ -6,8 +6,8 @@ and each block is packed by ``ISLANDS`` islands. An island keeps a population of
 Crossover injects whole well-filled bins of one parent into another, drops the bins that
 hold one of their pieces as well, and puts the displaced pieces back best-fit; mutation
 empties the least-filled bins. After each epoch every island sends its best packing to the
-next one of its block. A block whose packing has as few bins as its token count allows
-stops early. Blocks are the unit of work and recovery, of the same size for any input, so a
+next one of its block. Every island breeds; one whose packing has as few bins as its token
+count allows stops after that generation. Blocks are the unit of work and recovery, of the same size for any input, so a
 block wastes less than one sequence and the whole a small share.
 """
 
@@ -20,6 +20,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,17 +35,22 @@ ISLANDS = 2
 EPOCHS = 2
 GENERATIONS = 6
 POPULATION = 6
-CACHED_WORDS = 700_000
-PUNCTUATION = b".,;:!?|"
+KNOWN_BYTES = 24 << 20
+CHUNK_BYTES = 4 << 20
+PUNCTUATION = ".,;:!?|"
 
 
 class WordTokenizer:
     """Ids of whole texts, looked up word by word.
 
     The tokenizer drops white space and never joins characters across it, so a text's ids
-    are those of its words in turn. Words not seen before are encoded together, parted by a
-    special token; ASCII case is dropped first, as the tokenizer drops it. Texts that hold a special token's string are encoded whole, as such a
-    string is taken out before words are.
+    are those of its words in turn; ASCII case is dropped first, as the tokenizer drops it. Arrow
+    splits a batch and numbers its distinct words, words not known are encoded together, parted by a
+    special token, and numpy copies each word's ids to its places. Texts that hold a special
+    token's string are encoded whole, as such a string is taken out before words are.
+
+    Known words are one Arrow array and one array of ids. When they outgrow ``KNOWN_BYTES``, those
+    that were met least often go; they are encoded again if they come again.
     """
 
     def __init__(self, path: str) -> None:
@@ -55,45 +61,86 @@ class WordTokenizer:
         self.special = [t.content.encode() for t in special.values()]
         self.part, token = next(iter(special.items()))
         self.between = token.content
-        self.known: dict[bytes, bytes] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.words = pa.array([], pa.string())
+        self.flat = np.empty(0, "<u4")
+        self.ends = np.zeros(1, np.int64)
+        self.met = np.empty(0, np.int64)
 
     def _encode(self, text: str) -> np.ndarray:
         return np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    def _learn(self, words: set[bytes]) -> None:
+    def _encoded(self, words: list[str]) -> list[np.ndarray]:
+        """Ids of single words, many in one call."""
+        found: list[np.ndarray] = []
+        for start in range(0, len(words), 4096):
+            some = words[start : start + 4096]
+            ids = self._encode(self.between.join(some) + self.between)
+            ends = np.flatnonzero(ids == self.part)
+            own = np.split(ids, np.ravel(np.column_stack((ends, ends + 1))))[: 2 * len(some) : 2]
+            assert len(ends) == len(some)
+            found += own
+        return found
+
+    def _learn(self, new: list[str]) -> None:
         """Words that end in punctuation follow from the part before, as letters and signs are never joined."""
         ended = {}
-        for word in words:
+        for word in new:
             core = word.rstrip(PUNCTUATION)
-            if core and len(core) < len(word) and core[-1:].isalpha():
+            if core and len(core) < len(word) and core[-1].isalpha():
                 ended[word] = (core, word[len(core) :])
-        parts = words.difference(ended).union(*ended.values()).difference(self.known)
-        self._encode_new(list(parts))
-        known = self.known
-        known.update({word: known[core] + known[tail] for word, (core, tail) in ended.items()})
-
-    def _encode_new(self, words: list[bytes]) -> None:
-        for start in range(0, len(words), 4096):
-            some = words[start : start + 4096]
-            ids = self._encode(self.between.join([w.decode() for w in some]) + self.between)
-            ends = np.flatnonzero(ids == self.part)
-            starts = np.concatenate(([0], ends[:-1] + 1))
-            data = ids.tobytes()
-            self.known.update(zip(some, [data[a:b] for a, b in zip((4 * starts).tolist(), (4 * ends).tolist(), strict=True)], strict=True))
+        parts = list(set(new).difference(ended).union(*ended.values()))
+        ids = dict(zip(parts, self._encoded(parts), strict=True))
+        ids.update({word: np.concatenate((ids[core], ids[tail])) for word, (core, tail) in ended.items()})
+        own = [ids[w] for w in new]
+        self.words = pa.concat_arrays([self.words, pa.array(new, pa.string())])
+        self.flat = np.concatenate([self.flat, *own])
+        self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum([len(x) for x in own], dtype=np.int64)))
+        self.met = np.concatenate((self.met, np.zeros(len(new), np.int64)))
+
+    def _make_room(self) -> None:
+        """Keep the half of the known words that was met most often."""
+        if self.words.nbytes + self.flat.nbytes + 16 * len(self.met) <= KNOWN_BYTES:
+            return
+        keep = np.sort(np.argsort(-self.met, kind="stable")[: len(self.met) // 2])
+        sizes = np.diff(self.ends)[keep]
+        self.flat = self.flat[_spans(self.ends[:-1][keep], sizes)]
+        self.ends = np.concatenate(([0], np.cumsum(sizes)))
+        self.words, self.met = self.words.take(pa.array(keep)), self.met[keep]
+
+    def _word_ids(self, texts: list[bytes]) -> list[bytes]:
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts, pa.binary()).cast(pa.string())))
+        found = lists.flatten().dictionary_encode()
+        self._make_room()
+        at = pc.index_in(found.dictionary, value_set=self.words)
+        new = np.asarray(at.is_null())
+        at = np.array(at.fill_null(0))
+        if new.any():
+            at[new] = len(self.words) + np.arange(new.sum())
+            self._learn(found.dictionary.filter(pa.array(new)).to_pylist())
+        places = at[np.asarray(found.indices)]
+        self.met += np.bincount(places, minlength=len(self.met))
+        sizes = np.diff(self.ends)[places]
+        ids = self.flat[_spans(self.ends[:-1][places], sizes)]
+        ends = np.concatenate(([0], np.cumsum(sizes)))[np.asarray(lists.offsets) - lists.offsets[0].as_py()]
+        return [ids[a:b].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         lower = [t.lower() for t in texts]
         whole = {i for s in self.special for i, t in enumerate(lower) if s in t}
-        words = [[] if i in whole else t.split() for i, t in enumerate(lower)]
-        seen = set().union(*words)
-        new = seen - self.known.keys()
-        if len(self.known) + len(new) > CACHED_WORDS:
-            self.known.clear()
-            new = seen
-        self._learn(new)
-        get = self.known.__getitem__
-        return [self._encode(t.decode()).tobytes() if i in whole else b"".join(map(get, w)) for i, (t, w) in enumerate(zip(texts, words, strict=True))]
+        by_word = self._word_ids([b"" if i in whole else t for i, t in enumerate(texts)])
+        return [self._encode(t.decode()).tobytes() if i in whole else by_word[i] for i, t in enumerate(texts)]
+
+
+def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Indices of all spans, one after the other."""
+    if not len(sizes):
+        return np.empty(0, np.int64)
+    before = np.cumsum(sizes) - sizes
+    return np.arange(int(sizes.sum())) + np.repeat(starts - before, sizes)
 
 
 _loaded: dict[str, WordTokenizer] = {}
@@ -111,7 +158,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row, model, end = TaskContext.get().partitionId() << 33, tokenizer(tokenizer_path), np.array([END_ID], "<u4").tobytes()
-        for batch in chunked(batches, "_text"):
+        for batch in chunked(batches, "_text", CHUNK_BYTES):
             out: dict[str, list] = {n: [] for n in ("at", "piece", "start", "length", "ids_crc32", "ids")}
             for at, ids in enumerate(model.ids(texts_of(batch, "_text"))):
                 ids += end
@@ -212,14 +259,11 @@ def evolve(lengths: list[int], seeds: list[list[list[int]]], seed: int, generati
     rng = random.Random(seed)
     least = -(-sum(lengths) // SEQUENCE)
     population = [*seeds, best_fit(range(len(lengths)), lengths)] if not seeds else list(seeds)
-    best = max(population, key=lambda b: fitness(b, lengths))
-    if len(best) <= least:
-        return best
     while len(population) < POPULATION:
         population.append(mutated(rng.choice(population), lengths, rng))
-    for _ in range(generations):
+    for number in range(generations):
         population.sort(key=lambda b: fitness(b, lengths), reverse=True)
-        if len(population[0]) <= least:
+        if number and len(population[0]) <= least:
             break
         parents = population[: POPULATION // 2]
         children = [crossover(*rng.sample(parents, 2), lengths, rng) for _ in range(POPULATION - len(parents) - 1)]

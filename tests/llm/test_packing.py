@@ -29,7 +29,7 @@ def test_word_lookup_gives_the_ids_of_the_whole_text():
 
 
 def test_forgetting_words_changes_nothing(monkeypatch, prose):
-    monkeypatch.setattr(packing, "CACHED_WORDS", 50)
+    monkeypatch.setattr(packing, "KNOWN_BYTES", 2000)
     texts = [prose(80, i) for i in range(6)]
     model = packing.WordTokenizer(PATH)
     assert [np.frombuffer(model.ids([t.encode()])[0], "<u4").tolist() for t in texts] == brute_ids(texts)
