@@ -5,6 +5,9 @@ nor a per-group value map is safe. A first aggregate finds each group's range, a
 one counts rows per value bin; a window over the bins of a group tells which bins hold
 the wanted ranks. Only their rows are read again, collapsed to counts per distinct value,
 and a window over the values of one bin finds the ranks. All shares are found at once.
+
+Ranks and running means of every row come from even parts in order, with a few numbers of the
+parts before.
 """
 
 from __future__ import annotations
@@ -15,6 +18,8 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hearthline.session import staged
+
 BINS = 4096
 
 
@@ -89,15 +94,72 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str
     return found.drop("_group") if pooled else found
 
 
+def _placed(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Rows in even parts that follow each other in order, with the part's number in _part.
+
+    A running number tells equal rows apart, so they too are cut into parts. Stored before, so that
+    this number and what it is added to are made once, and after, since parts drawn again could differ.
+    """
+    numbered = staged(df, "unordered").withColumn("_tie", F.monotonically_increasing_id())
+    parts = numbered.repartitionByRange(*keys, *order, "_tie").withColumn("_part", F.spark_partition_id())
+    return staged(parts, "ordered")
+
+
 def percentile_rank(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
-    """Rank as a share of the group, ties given their average rank."""
-    binned, sizes = _binned(_numbers(df, keys, value), keys)
-    ranks = _located(binned, sizes, keys).select(
-        *keys,
-        F.col("_value").alias(value),
-        ((F.col("_below") + (F.col("_count") + 1) / 2) / F.col("_total")).alias(out),
+    """Rank as a share of the group, ties given their average rank; NULL for a missing value.
+
+    Windows span a group's rows of one part. Only a part's least and greatest value can occur in
+    other parts too; a row per part carries how many values are below and equal to these.
+    """
+    number = F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double"))
+    df = df.withColumn("_value", number)
+    rows = _placed(df.where(F.col("_value").isNotNull()), keys, ["_value"])
+    own = [*keys, "_part"]
+    counts = rows.groupBy(*own, "_value").agg(F.count(F.lit(1)).alias("n"))
+    parts = counts.groupBy(*own).agg(
+        F.sum("n").alias("_n"), F.min(F.struct("_value", "n")).alias("_least"), F.max(F.struct("_value", "n")).alias("_most")
+    )
+    group = Window.partitionBy(*keys)
+    before = group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = staged(
+        parts.select(
+            "*", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(group).alias("_total")
+        ),
+        "parts",
     )
-    return df.join(ranks, [*keys, value], "left")
+    ends = F.array_distinct(
+        F.array(
+            F.struct(F.col("_least._value").alias("v"), F.col("_least.n").alias("n"), F.col("_before").alias("below")),
+            F.struct(F.col("_most._value").alias("v"), F.col("_most.n").alias("n"), (F.col("_before") + F.col("_n") - F.col("_most.n")).alias("below")),
+        )
+    )
+    shared = parts.select(*keys, F.explode(ends).alias("e")).groupBy(*keys, F.col("e.v").alias("_v")).agg(
+        F.sum("e.n").alias("n"), F.min("e.below").alias("below")
+    )
+    shared = staged(shared.select(*keys, "_v", F.struct("n", "below").alias("_end")), "ends")
+    for side in ("_least", "_most"):
+        ends_of = shared.select(*keys, F.col("_v").alias(f"{side}_v"), F.col("_end").alias(f"{side}_end"))
+        parts = parts.withColumn(f"{side}_v", F.col(f"{side}._value")).join(ends_of, [*keys, f"{side}_v"])
+    here = Window.partitionBy(*own)
+    local = F.struct(
+        F.count(F.lit(1)).over(Window.partitionBy(*own, "_value")).alias("n"),
+        (F.rank().over(here.orderBy("_value")) - 1).cast("bigint").alias("below"),
+    )
+    measured = rows.withColumn("_local", local).join(
+        parts.select(*own, "_before", "_total", "_least_v", "_least_end", "_most_v", "_most_end"), own
+    )
+    inside = F.struct(F.col("_local.n").alias("n"), (F.col("_local.below") + F.col("_before")).alias("below"))
+    place = (
+        F.when(F.col("_value") == F.col("_least_v"), F.col("_least_end"))
+        .when(F.col("_value") == F.col("_most_v"), F.col("_most_end"))
+        .otherwise(inside)
+    )
+    names = [c for c in df.columns if c != "_value"]
+    found = measured.withColumn("_place", place).select(
+        *names, ((F.col("_place.below") + (F.col("_place.n") + 1) / 2) / F.col("_total")).alias(out)
+    )
+    missing = df.where(F.col("_value").isNull()).select(*names, F.lit(None).cast("double").alias(out))
+    return found.unionByName(missing)
 
 
 def running_mean(
@@ -105,31 +167,20 @@ def running_mean(
 ) -> DataFrame:
     """Mean of value over this row and all before it, ordered by (bucket, *order).
 
-    bucket must sort like the wanted order; sums of whole earlier buckets are added to a
-    window that spans one bucket only.
+    Sums of a group's earlier parts are added to a window over its rows of one part.
     """
-    earlier = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    before = (
-        df.groupBy(*keys, bucket)
-        .agg(F.sum(value).alias("_sum"), F.count(value).alias("_n"))
-        .select(
-            *keys,
-            bucket,
-            F.coalesce(F.sum("_sum").over(earlier), F.lit(0.0)).alias("_sum_before"),
-            F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_n_before"),
-        )
+    rows = _placed(df, keys, [bucket, *order])
+    own = [*keys, "_part"]
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(*own).agg(F.sum(value).alias("_sum"), F.count(value).alias("_n"))
+    before = sums.select(
+        *own,
+        F.coalesce(F.sum("_sum").over(earlier), F.lit(0.0)).alias("_sum_before"),
+        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_n_before"),
     )
-    so_far = (
-        Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    )
-    return (
-        df.join(before, [*keys, bucket])
-        .withColumn(
-            out,
-            F.try_divide(
-                F.col("_sum_before") + F.coalesce(F.sum(value).over(so_far), F.lit(0.0)),
-                F.col("_n_before") + F.count(value).over(so_far),
-            ),
-        )
-        .drop("_sum_before", "_n_before")
+    so_far = Window.partitionBy(*own).orderBy(bucket, *order, "_tie").rowsBetween(Window.unboundedPreceding, 0)
+    mean = F.try_divide(
+        F.col("_sum_before") + F.coalesce(F.sum(value).over(so_far), F.lit(0.0)),
+        F.col("_n_before") + F.count(value).over(so_far),
     )
+    return rows.join(before, own).withColumn(out, mean).drop("_sum_before", "_n_before", "_part", "_tie")

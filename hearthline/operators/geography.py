@@ -1,13 +1,11 @@
 """Tract geometry: adjacency, nearest neighbours, area summaries.
 
-Candidate neighbours come from grid cells, not from all pairs of an area.
+Candidate neighbours come from shared edges and grid cells, not from all pairs of an area.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hearthline.functions.columns import county_code, state_code
@@ -32,87 +30,95 @@ def square_tracts(tracts: DataFrame, side: float) -> DataFrame:
     return tracts.withColumn("geometry", ring)
 
 
-def _segment_gap(p: np.ndarray, q: np.ndarray) -> float:
-    """Least distance between the edges of two rings, 0 where they cross."""
-    a, b = p[:-1, None], p[1:, None]
-    c, d = q[None, :-1], q[None, 1:]
+def _segments(tracts: DataFrame) -> DataFrame:
+    """(tract_id, cbsa_id, ax, ay, bx, by): every edge of every outer ring, its ends in order.
+
+    A tract's outline is the set of its ``rings`` where the table has them, else the one of ``geometry``.
+    """
+    rings = F.col("rings") if "rings" in tracts.columns else F.array("geometry")
+    ring = tracts.select("tract_id", "cbsa_id", F.explode(rings).alias("ring")).where(F.size("ring") > 1)
+    ends = F.arrays_zip(
+        F.slice("ring", 1, F.size("ring") - 1).alias("p"), F.slice("ring", 2, F.size("ring") - 1).alias("q")
+    )
+    edges = ring.select("tract_id", "cbsa_id", F.explode(ends).alias("e")).select(
+        "tract_id", "cbsa_id", F.array_sort(F.array("e.p", "e.q")).alias("e")
+    )
+    return edges.select(
+        "tract_id", "cbsa_id", F.col("e")[0][0].alias("ax"), F.col("e")[0][1].alias("ay"),
+        F.col("e")[1][0].alias("bx"), F.col("e")[1][1].alias("by"),
+    )
 
-    def cross(u, v):
-        return u[..., 0] * v[..., 1] - u[..., 1] * v[..., 0]
 
-    opposite = (cross(b - a, c - a) * cross(b - a, d - a) < 0) & (cross(d - c, a - c) * cross(d - c, b - c) < 0)
-    if opposite.any():
-        return 0.0
+def segment_distance(first: str, second: str) -> Column:
+    """Least distance of two segments, each four columns of a prefix; 0 where they cross."""
+    a, b, c, d = ((F.col(f"{p}{e}x"), F.col(f"{p}{e}y")) for p in (first, second) for e in "ab")
 
-    def reach(points, start, end):
-        along = end - start
-        length = np.maximum((along**2).sum(-1), 1e-300)
-        t = np.clip(((points - start) * along).sum(-1) / length, 0, 1)
-        return np.sqrt(((start + t[..., None] * along - points) ** 2).sum(-1)).min()
+    def turn(o, p, q) -> Column:
+        return (p[0] - o[0]) * (q[1] - o[1]) - (p[1] - o[1]) * (q[0] - o[0])
 
-    return float(min(reach(c, a, b), reach(d, a, b), reach(a, c, d), reach(b, c, d)))
+    def reach(p, start, end) -> Column:
+        dx, dy = end[0] - start[0], end[1] - start[1]
+        length = F.greatest(dx * dx + dy * dy, F.lit(1e-300))
+        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((p[0] - start[0]) * dx + (p[1] - start[1]) * dy) / length))
+        return F.hypot(start[0] + t * dx - p[0], start[1] + t * dy - p[1])
 
+    crossing = (turn(a, b, c) * turn(a, b, d) < 0) & (turn(c, d, a) * turn(c, d, b) < 0)
+    return F.when(crossing, 0.0).otherwise(F.least(reach(c, a, b), reach(d, a, b), reach(a, c, d), reach(b, c, d)))
 
-def outline_distance(first: str, second: str):
-    """Distance between two outlines, for the few candidates the boxes leave."""
 
-    def gaps(first: pd.Series, second: pd.Series) -> pd.Series:
-        rings = zip(first, second)
-        return pd.Series([_segment_gap(np.stack(p).astype(float), np.stack(q).astype(float)) for p, q in rings])
+def _cells(segments: DataFrame, tolerance: float) -> DataFrame:
+    """Segments with every grid cell they come near: column by column, the cells between their heights there.
 
-    return F.pandas_udf(gaps, "double")(first, second)
+    Cells are twice as wide as the area's mean segment, so a segment has few cells and a cell few segments.
+    """
+    width = segments.groupBy("cbsa_id").agg(
+        F.greatest(2 * F.avg(F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"))), F.lit(10 * tolerance)).alias("w")
+    )
+    margin = F.lit(tolerance)
+    # Ends are in order, so ax <= bx.
+    columns = F.sequence(F.floor((F.col("ax") - margin) / F.col("w")), F.floor((F.col("bx") + margin) / F.col("w")))
+    by_column = segments.join(width, "cbsa_id").withColumn("cx", F.explode(columns))
 
+    def height(x: Column) -> Column:
+        share = F.try_divide(x - F.col("ax"), F.col("bx") - F.col("ax"))
+        return F.col("ay") + F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)) * (F.col("by") - F.col("ay"))
 
-def _extent(ring: str) -> dict:
-    xs = F.transform(F.col(ring), lambda p: p[0])
-    ys = F.transform(F.col(ring), lambda p: p[1])
-    return {"_x0": F.array_min(xs), "_x1": F.array_max(xs), "_y0": F.array_min(ys), "_y1": F.array_max(ys)}
+    left, right = height(F.col("cx") * F.col("w") - margin), height((F.col("cx") + 1) * F.col("w") + margin)
+    upright = F.col("ax") == F.col("bx")
+    ends = [F.when(upright, F.col("ay")).otherwise(left), F.when(upright, F.col("by")).otherwise(right)]
+    rows = F.sequence(F.floor((F.least(*ends) - margin) / F.col("w")), F.floor((F.greatest(*ends) + margin) / F.col("w")))
+    return by_column.withColumn("cy", F.explode(rows)).drop("w")
 
 
 def adjacent_tracts(tracts: DataFrame, tolerance: float = 0.001) -> DataFrame:
     """Edges between tracts of one area whose outlines touch or nearly touch.
 
-    Outlines are entered into every grid cell they reach; only tracts sharing a cell are
-    compared, by bounding box first. Cells are twice as wide as the area's mean tract.
+    Tracts that share an edge are found by the edge itself. The others are compared segment by
+    segment, where two segments come near the same grid cell, by column expressions alone.
     """
-    boxed = tracts.select("tract_id", "cbsa_id", "geometry").withColumns(_extent("geometry"))
-    width = boxed.groupBy("cbsa_id").agg(
-        F.greatest(
-            2 * F.avg(F.greatest(F.col("_x1") - F.col("_x0"), F.col("_y1") - F.col("_y0"))), F.lit(10 * tolerance)
-        ).alias("_w")
-    )
-
-    def cells(low: str, high: str):
-        return F.explode(
-            F.sequence(
-                F.floor((F.col(low) - tolerance) / F.col("_w")), F.floor((F.col(high) + tolerance) / F.col("_w"))
-            )
-        )
-
-    placed = (
-        boxed.join(width, "cbsa_id")
-        .withColumn("_cx", cells("_x0", "_x1"))
-        .withColumn("_cy", cells("_y0", "_y1"))
-        .drop("_w")
-    )
-    shared = ["cbsa_id", "_cx", "_cy"]
-    other = placed.select(*shared, *[F.col(c).alias(f"o{c}") for c in ("tract_id", "_x0", "_x1", "_y0", "_y1")])
-    near = (
-        placed.drop("geometry").join(other, shared)
-        .where("tract_id < otract_id")
-        .where(
-            (F.col("_x0") - tolerance <= F.col("o_x1")) & (F.col("o_x0") - tolerance <= F.col("_x1"))
-            & (F.col("_y0") - tolerance <= F.col("o_y1")) & (F.col("o_y0") - tolerance <= F.col("_y1"))
-        )
-        .select("tract_id", F.col("otract_id").alias("neighbor_id"))
+    segments = _segments(tracts)
+    keys = ["cbsa_id", "ax", "ay", "bx", "by"]
+    owners = segments.groupBy(*keys).agg(F.sort_array(F.collect_set("tract_id")).alias("t")).where(F.size("t") > 1)
+    other = F.filter("t", lambda x: x > F.col("tract_id"))
+    sharing = (
+        owners.select("t", F.explode("t").alias("tract_id"))
+        .select("tract_id", F.explode(other).alias("neighbor_id"))
         .distinct()
     )
-    outlines = tracts.select("tract_id", "geometry")
-    measured = (
-        near.join(outlines, "tract_id")
-        .join(outlines.select(F.col("tract_id").alias("neighbor_id"), F.col("geometry").alias("other")), "neighbor_id")
-        .withColumn("distance", outline_distance("geometry", "other"))
-        .where(F.col("distance") < tolerance)
+    placed = _cells(segments, tolerance)
+    second = placed.select("cbsa_id", "cx", "cy", *[F.col(c).alias(f"o{c}") for c in ("tract_id", "ax", "ay", "bx", "by")])
+    near = placed.join(second, ["cbsa_id", "cx", "cy"]).where(
+        (F.col("tract_id") < F.col("otract_id"))
+        & (F.col("ax") - tolerance <= F.col("obx")) & (F.col("oax") - tolerance <= F.col("bx"))
+        & (F.least("ay", "by") - tolerance <= F.greatest("oay", "oby"))
+        & (F.least("oay", "oby") - tolerance <= F.greatest("ay", "by"))
+    )
+    touching = (
+        near.withColumnRenamed("otract_id", "neighbor_id")
+        .join(sharing, ["tract_id", "neighbor_id"], "left_anti")
+        .where(segment_distance("", "o") < tolerance)
+        .select("tract_id", "neighbor_id")
+        .distinct()
     )
     pair = F.explode(
         F.array(
@@ -120,7 +126,8 @@ def adjacent_tracts(tracts: DataFrame, tolerance: float = 0.001) -> DataFrame:
             F.struct(F.col("neighbor_id").alias("a"), F.col("tract_id").alias("b")),
         )
     )
-    return measured.select(pair.alias("e")).select(F.col("e.a").alias("tract_id"), F.col("e.b").alias("neighbor_id"))
+    found = touching.unionByName(sharing)
+    return found.select(pair.alias("e")).select(F.col("e.a").alias("tract_id"), F.col("e.b").alias("neighbor_id"))
 
 
 def nearest_tracts(tracts: DataFrame, k: int = 10) -> DataFrame:

@@ -482,6 +482,13 @@ def tract_adjacency(days):
     return geography.adjacent_tracts(retail.tracts(days))
 
 
+@query
+def island_adjacency(days):
+    """Neighbours of tracts that each have an island 20 units away."""
+    moved = F.transform("geometry", lambda p: F.array(p[0], p[1] + 20))
+    return geography.adjacent_tracts(retail.tracts(days).withColumn("rings", F.array("geometry", moved)))
+
+
 @query
 def tract_nearest(days):
     return geography.nearest_tracts(retail.tracts(days), 10)

@@ -900,6 +900,12 @@ SELECTS: dict[str, tuple[tuple[str, ...], str]] = {
         """SELECT a.tract_id, b.tract_id AS neighbor_id FROM tracts a JOIN tracts b
            ON a.cbsa_id = b.cbsa_id AND abs(a.centroid_y - b.centroid_y) = 1""",
     ),
+    "island_adjacency": (
+        ("tracts",),
+        """SELECT a.tract_id, b.tract_id AS neighbor_id FROM tracts a JOIN tracts b
+           ON a.cbsa_id = b.cbsa_id AND a.tract_id <> b.tract_id
+             AND (abs(a.centroid_y - b.centroid_y) <= 1 OR abs(abs(a.centroid_y - b.centroid_y) - 20) <= 1)""",
+    ),
     "tract_nearest": (
         ("tracts",),
         """SELECT cbsa_id, tract_id, neighbor_id, CAST(rank AS INT) AS rank, distance FROM (

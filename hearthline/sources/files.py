@@ -56,24 +56,27 @@ def _files_without(rows: DataFrame, found: Column) -> list[str]:
     return [r["file"] for r in counts.where("n = 0").collect()]
 
 
-def _outer_ring(geometry: str) -> Column:
-    """Outer ring of a polygon; of several polygons, the one with the largest bounding box."""
+def _outer_rings(geometry: str) -> Column:
+    """Outer rings of a polygon or of all polygons of a MultiPolygon."""
     text = F.col(f"{geometry}.coordinates")
-    several = F.from_json(text, f"array<array<{RING}>>")
-    rings = F.transform(several, lambda polygon: polygon[0])
+    several = F.transform(F.from_json(text, f"array<array<{RING}>>"), lambda polygon: polygon[0])
+    one = F.slice(F.from_json(text, f"array<{RING}>"), 1, 1)
+    return F.when(F.col(f"{geometry}.type") == "MultiPolygon", several).otherwise(one)
+
+
+def _largest(rings: Column) -> Column:
+    """The ring with the largest bounding box."""
 
     def extent(ring: Column, axis: int) -> Column:
         along = F.transform(ring, lambda point: point[axis])
         return F.array_max(along) - F.array_min(along)
 
     sized = F.transform(rings, lambda r: F.struct((extent(r, 0) * extent(r, 1)).alias("size"), r.alias("ring")))
-    return F.when(F.col(f"{geometry}.type") == "MultiPolygon", F.array_max(sized)["ring"]).otherwise(
-        F.from_json(text, f"array<{RING}>")[0]
-    )
+    return F.array_max(sized)["ring"]
 
 
 def read_tracts(spark: SparkSession, path: str) -> DataFrame:
-    """GeoJSON tracts with their outer ring as an array of points.
+    """GeoJSON tracts: all outer rings as ``rings``, and the largest of them, an array of points, as ``geometry``.
 
     Files with one feature per line are read in parallel. Any other layout, on one line or
     indented, is read as one document per file, whose size is that of the file.
@@ -86,7 +89,8 @@ def read_tracts(spark: SparkSession, path: str) -> DataFrame:
     if documents:
         whole = spark.read.schema(f"features array<{schemas.TRACT_FEATURE}>").json(documents, multiLine=True)
         features = features.unionByName(whole.select(F.explode("features").alias("f")))
-    return features.select("f.properties.*", _outer_ring("f.geometry").alias("geometry"))
+    found = features.select("f.properties.*", _outer_rings("f.geometry").alias("rings"))
+    return found.withColumn("geometry", _largest(F.col("rings")))
 
 
 def read_adjacency(spark: SparkSession, path: str) -> DataFrame:

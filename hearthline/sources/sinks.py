@@ -32,14 +32,16 @@ def save_results(results: dict[str, DataFrame], folder: str, file_format: str =
 
 
 def write_features(tracts: DataFrame, path: str) -> str:
-    """GeoJSON features, one per line, written in parallel."""
-    properties = F.struct(*[F.col(c) for c in tracts.columns if c != "geometry"])
-    feature = F.struct(
-        F.lit("Feature").alias("type"),
-        properties.alias("properties"),
-        F.struct(F.lit("Polygon").alias("type"), F.array("geometry").alias("coordinates")).alias("geometry"),
-    )
-    tracts.select(F.to_json(feature).alias("value")).write.mode("overwrite").text(path)
+    """GeoJSON features, one per line, written in parallel; tracts of several rings are MultiPolygons."""
+    properties = F.struct(*[F.col(c) for c in tracts.columns if c not in ("geometry", "rings")])
+    one = F.to_json(F.struct(F.lit("Polygon").alias("type"), F.array("geometry").alias("coordinates")))
+    if "rings" in tracts.columns:
+        several = F.struct(F.lit("MultiPolygon").alias("type"), F.transform("rings", lambda r: F.array(r)).alias("coordinates"))
+        one = F.when(F.size("rings") > 1, F.to_json(several)).otherwise(one)
+    head = F.to_json(F.struct(F.lit("Feature").alias("type"), properties.alias("properties")))
+    feature = F.concat(F.expr("substr(head, 1, length(head) - 1)"), F.lit(',"geometry":'), F.col("outline"), F.lit("}"))
+    rows = tracts.select(head.alias("head"), one.alias("outline"))
+    rows.select(feature.alias("value")).write.mode("overwrite").text(path)
     return path
 
 

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from hearthline.config import SupertractOptions
 from hearthline.operators import geography, supertracts
@@ -102,6 +103,56 @@ def test_adjacency_equals_a_full_comparison_of_rectangles(spark):
     assert got == want
 
 
+def outline_gap(p, q):
+    """Least distance between the edges of two rings, 0 where they cross, edge by edge."""
+    best = np.inf
+    for a, b in zip(p, p[1:]):
+        for c, d in zip(q, q[1:]):
+            a, b, c, d = (np.array(x, float) for x in (a, b, c, d))
+
+            def turn(o, u, v):
+                return (u[0] - o[0]) * (v[1] - o[1]) - (u[1] - o[1]) * (v[0] - o[0])
+
+            if turn(a, b, c) * turn(a, b, d) < 0 and turn(c, d, a) * turn(c, d, b) < 0:
+                return 0.0
+            for x, s, e in ((c, a, b), (d, a, b), (a, c, d), (b, c, d)):
+                t = np.clip((x - s) @ (e - s) / max((e - s) @ (e - s), 1e-300), 0, 1)
+                best = min(best, np.linalg.norm(s + t * (e - s) - x))
+    return best
+
+
+def test_adjacency_of_slanted_outlines_with_islands(spark):
+    rng = np.random.default_rng(12)
+    rows = []
+    for i in range(50):
+        rings = []
+        for _ in range(rng.integers(1, 4)):
+            corners = rng.uniform(0, 12, 2) + rng.normal(size=(rng.integers(3, 6), 2)) * rng.choice([0.1, 0.6, 2.0])
+            if rng.random() < 0.4 and rows:  # a corner, or a point within an edge, of an earlier outline
+                old = np.array(rows[rng.integers(len(rows))][2][0])
+                corners[0] = old[0] if rng.random() < 0.5 else (old[0] + old[1]) / 2
+            rings.append([list(map(float, c)) for c in [*corners, corners[0]]])
+        rows.append((f"T{i:02d}", "AB"[i % 2], rings))
+    rows.append(("T98", "A", [[[1.0, 1.0]], []]))
+    rows.append(("T99", "A", None))
+    tracts = spark.createDataFrame(rows, "tract_id string, cbsa_id string, rings array<array<array<double>>>").withColumn("geometry", F.col("rings")[0])
+    for tolerance in (0.001, 0.2):
+        want = {
+            (t, s) for t, a, p in rows for s, b, q in rows
+            if a == b and s != t and any(outline_gap(x, y) < tolerance for x in p or () for y in q or ())
+        }
+        assert {(r.tract_id, r.neighbor_id) for r in geography.adjacent_tracts(tracts, tolerance).collect()} == want
+        assert len(want) > 40
+
+
+def test_shared_edges_are_found_in_either_direction(spark):
+    left, right = [[0.0, 0.0], [1.0, 0.0], [1.0, 1.0], [0.0, 0.0]], [[1.0, 1.0], [1.0, 0.0], [2.0, 0.5], [1.0, 1.0]]
+    tracts = spark.createDataFrame([("a", "X", left), ("b", "X", right), ("c", "Y", right)], "tract_id string, cbsa_id string, geometry array<array<double>>")
+    assert {(r.tract_id, r.neighbor_id) for r in geography.adjacent_tracts(tracts).collect()} == {("a", "b"), ("b", "a")}
+    plan = geography.adjacent_tracts(tracts)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Pandas" not in plan
+
+
 def test_area_summary_takes_the_common_state(spark):
     rows = [("T1", "C", "02", 5, 1.0), ("T2", "C", "01", 6, 2.0), ("T3", "C", "01", 7, 3.0)]
     table = spark.createDataFrame(rows, "tract_id string, cbsa_id string, state string, population bigint, area_sqmi double")

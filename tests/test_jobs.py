@@ -184,6 +184,11 @@ def test_geojson_in_any_layout(spark):
             target.write(text)
         found = {r.tract_id: r.geometry for r in files.read_tracts(spark, f"{folder}/{name}.geojson").collect()}
         assert found == {"a": small[0], "b": large[0]}
+        rings = {r.tract_id: r.rings for r in files.read_tracts(spark, f"{folder}/{name}.geojson").collect()}
+        assert rings == {"a": small, "b": [small[0], large[0]]}
+        sinks.write_features(files.read_tracts(spark, f"{folder}/{name}.geojson"), f"{folder}-again/{name}.geojson")
+        again = files.read_tracts(spark, f"{folder}-again/{name}.geojson").collect()
+        assert {r.tract_id: r.rings for r in again} == rings
     assert files.read_tracts(spark, folder).count() == 6
     edges = {"a": ["b", "c"], "b": ["a"]}
     for name, indent in (("one", None), ("indented", 2)):
