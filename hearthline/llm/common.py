@@ -45,6 +45,11 @@ def column_set(df: DataFrame, *wanted: str) -> DataFrame:
     return df.select(*[F.col(f"`{name}`") for name in wanted])
 
 
+def columns_besides(df: DataFrame, *results: str) -> list[str]:
+    """Columns of df that a result of the same name does not take the place of."""
+    return [name for name in df.columns if name not in results]
+
+
 def blocks_for(rows: int, size: int) -> int:
     return max(1, -(-rows // size))
 

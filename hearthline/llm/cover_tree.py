@@ -23,7 +23,7 @@ from hearthline.llm.vectors import best_of, search
 
 LEAF = 64
 SCALE = 1024
-NONE = -(1 << 62)
+NONE = np.iinfo(np.int64).min + 1
 
 
 @dataclass
@@ -64,6 +64,10 @@ def build(points: np.ndarray, items: np.ndarray | None = None, leaf: int = LEAF)
     return node
 
 
+def _largest(vectors: np.ndarray) -> float:
+    return float(np.abs(vectors).max()) if vectors.size else 0.0
+
+
 class Search:
     """Best k of the data for each query of one block."""
 
@@ -72,18 +76,35 @@ class Search:
         self.scores = np.full((len(queries), k), NONE)
         self.found = np.full((len(queries), k), np.iinfo(np.int64).max)
         self.margin = 1e-9
+        self.most = _largest(data) * _largest(queries) * data.shape[1]
+
+    def products(self, rows: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Exact integer products: in doubles where none can round, else in integers.
+
+        A score beyond a long has no place in the result and is an error.
+        """
+        asked, data = self.queries[rows], self.data[own]
+        if self.most < 2.0**53:
+            return (asked @ data.T).astype(np.int64)
+        if self.most < 2.0**63:
+            return asked.astype(np.int64) @ data.astype(np.int64).T
+        whole = np.frompyfunc(int, 1, 1)
+        exact = whole(asked) @ whole(data).T
+        if (np.abs(exact) >= (1 << 63) - 1).any():
+            raise OverflowError("a score is beyond the range of a long")
+        return exact.astype(np.int64)
 
     def worst(self, node: Node) -> int:
         return self.scores[node.items, -1].min()
 
     def bound(self, asked: Node, node: Node) -> float:
-        top = asked.centre @ node.centre + asked.radius * node.norm + node.radius * asked.norm + asked.radius * node.radius
-        return top + self.margin * (abs(top) + 1)
+        middle = float(asked.centre @ node.centre)
+        around = asked.radius * node.norm + node.radius * asked.norm + asked.radius * node.radius
+        return middle + around + self.margin * (asked.norm * node.norm + around + 1)
 
     def compare(self, asked: Node, node: Node) -> None:
         rows, own = asked.items, node.items
-        # Components are below 2 ** 26 here, so the products of doubles are exact integers.
-        scores = (self.queries[rows] @ self.data[own].T).astype(np.int64)
+        scores = self.products(rows, own)
         scores[self.query_ids[rows][:, None] == self.ids[own][None, :]] = NONE
         promising = np.flatnonzero((scores >= self.scores[rows, -1][:, None]).any(axis=1))
         for at in promising:

@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hearthline.llm.common import columns_besides
 from hearthline.session import staged
 
 WEIGHTS = (5, 2, 1)
@@ -84,30 +85,44 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit:
     return ranked.select("_source", "source_size", target.alias("target"))
 
 
+def _chosen(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...], limit: int) -> DataFrame:
+    """(_doc, size, source_size, target, copies), the columns of docs within the first."""
+    whole = F.struct(*[F.col(f"`{n}`") for n in docs.columns])
+    sized = docs.select(
+        whole.alias("_doc"), F.col(f"`{source_col}`").alias("_of"), F.col(f"`{id_col}`").alias("_id"),
+        word_count(F.col(f"`{text_col}`")).alias("size"),
+    )
+    sums = sized.groupBy(F.col("_of").alias("_source")).agg(F.sum("size").alias("source_size"))
+    targets = source_targets(sums, weights, limit)
+    rate = F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0))
+    whole_part = F.floor(rate)
+    once_more = (uniform(F.col("_id")) < rate - whole_part).cast("long")
+    keyed = sized.join(targets, F.col("_of").eqNullSafe(F.col("_source")), "left")
+    return keyed.select("_doc", "size", "source_size", "target", (whole_part + once_more).alias("copies"))
+
+
 def mixture(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT,
 ) -> DataFrame:
     """The rows of docs with ``size``, ``source_size``, ``target`` and ``copies``.
 
-    Null and empty texts have size 0. Rows with the same id get the same decision; rows
-    without one are told apart by nothing and share it too.
+    Columns of these names in docs give way to them. Null and empty texts have size 0. Rows with
+    the same id get the same decision; rows without one are told apart by nothing and share it too.
     """
-    sized = docs.withColumn("size", word_count(F.col(f"`{text_col}`")))
-    sums = sized.groupBy(F.col(f"`{source_col}`").alias("_source")).agg(F.sum("size").alias("source_size"))
-    targets = source_targets(sums, weights, limit)
-    rate = F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0))
-    whole = F.floor(rate)
-    once_more = (uniform(F.col(f"`{id_col}`")) < rate - whole).cast("long")
-    keyed = sized.join(targets, F.col(f"`{source_col}`").eqNullSafe(F.col("_source")), "left").drop("_source")
-    return keyed.withColumn("copies", whole + once_more)
+    results = ("size", "source_size", "target", "copies")
+    own = [F.col(f"_doc.`{n}`") for n in columns_besides(docs, *results)]
+    return _chosen(docs, id_col, text_col, source_col, weights, limit).select(*own, *results)
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
-    """Every document as often as the mixture takes it, with the columns of docs."""
-    chosen = mixture(docs, **options).where("copies > 0")
+def mixed(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT,
+) -> DataFrame:
+    """Every document as often as the mixture takes it, with all columns of docs as they are."""
+    chosen = _chosen(docs, id_col, text_col, source_col, weights, limit).where("copies > 0")
     repeated = chosen.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
-    return repeated.select(*[F.col(f"`{n}`") for n in docs.columns])
+    return repeated.select("_doc.*")
 
 
 ORACLE = r"""

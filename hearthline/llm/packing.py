@@ -35,7 +35,7 @@ ISLANDS = 2
 EPOCHS = 2
 GENERATIONS = 6
 POPULATION = 6
-KNOWN_BYTES = 24 << 20
+KNOWN_BYTES = 48 << 20
 CHUNK_BYTES = 4 << 20
 PUNCTUATION = ".,;:!?|"
 

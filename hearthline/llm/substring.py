@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hearthline.llm.common import chunked, texts_of
+from hearthline.llm.common import chunked, columns_besides, texts_of
 from hearthline.session import staged
 
 WINDOW = 35
@@ -218,7 +218,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """The rows of docs, their text without repeated words, with ``n_words`` (before) and ``n_removed``.
 
     A word goes if a window of 35 words that covers it also starts elsewhere, in this
-    document or another. A repeated row repeats all its windows. Texts that lose nothing
+    document or another. Columns of docs named like the two counts give way to them. A repeated row repeats all its windows. Texts that lose nothing
     stay as they are, byte for byte; from others the pieces that remain are joined by a
     blank. Null stays null, with no words; texts below 35 words never change.
     """
@@ -229,7 +229,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     done = joined.mapInArrow(_cut_all, f"{kinds}, _text string, _n_words long, _n_removed long")
     named = {n: F.col(f"c{i}") for i, n in enumerate(others)} | {text_col: F.col("_text")}
     return done.select(
-        *[named[n].alias(n) for n in docs.columns], F.col("_n_words").alias("n_words"), F.col("_n_removed").alias("n_removed")
+        *[named[n].alias(n) for n in columns_besides(docs, "n_words", "n_removed")], F.col("_n_words").alias("n_words"), F.col("_n_removed").alias("n_removed")
     )
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hearthline.llm.common import chunked, column_set, texts_of
+from hearthline.llm.common import chunked, column_set, columns_besides, texts_of
 from hearthline.llm.simhash import shingle_hashes
 from hearthline.session import staged
 
@@ -356,6 +356,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs with ``held_out``, ``score`` and ``predicted`` (1 from ``THRESHOLD``).
 
+    Columns of these names in docs give way to them.
     Null texts count as empty. Without labels of both kinds every score is the share of
     toxic labels. A null id is not held out. The score depends on the text alone.
     """
@@ -371,8 +372,9 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     kinds = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema, strict=True))
     done = docs.toDF(*names).mapInArrow(run, f"{kinds}, score double")
     identity = F.col(names[docs.columns.index(id_col)])
+    kept = columns_besides(docs, "held_out", "score", "predicted")
     return done.select(
-        *[F.col(n).alias(own) for n, own in zip(names, docs.columns, strict=True)],
+        *[F.col(n).alias(own) for n, own in zip(names, docs.columns, strict=True) if own in kept],
         F.coalesce(fold(identity) == HELD_OUT, F.lit(False)).alias("held_out"),
         "score",
         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
