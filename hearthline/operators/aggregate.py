@@ -11,6 +11,8 @@ from datetime import date
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from hearthline.config import FitOptions
+from hearthline.operators.regression import index_series
 from hearthline.operators.weights import NATION, nearest_period, within
 from hearthline.session import cut_lineage
 
@@ -70,9 +72,13 @@ def laspeyres(
     """Fixed-weight index: the weights of the base year, or of the year closest to it.
 
     series: tract_id, date, index_value. mapping: tract_id, geography_id. Dates a
-    geography's own members have are its dates; missing members do not rescale it.
+    geography's own members have are its dates; missing members do not rescale it. Where the
+    series has a standard_error, the values have one too, NULL where a member's is; errors
+    of different members count as independent.
     """
-    placed = series.join(mapping, "tract_id").select("geography_id", "tract_id", "date", "index_value")
+    banded = "standard_error" in series.columns
+    columns = ["geography_id", "tract_id", "date", "index_value", *["standard_error"] * banded]
+    placed = series.join(mapping, "tract_id").select(*columns)
     if start is not None:
         placed = placed.where(F.col("date") >= F.lit(start))
     if end is not None:
@@ -86,12 +92,18 @@ def laspeyres(
     members = chosen.select("geography_id", "tract_id", "weight")
     sizes = members.groupBy("geography_id").agg(F.count(F.lit(1)).alias("_tracts"))
     joined = placed.join(members, ["geography_id", "tract_id"])
+    spread = []
+    if banded:
+        known = F.count("standard_error") == F.count(F.lit(1))
+        spread = [F.when(known, F.sqrt(F.sum(F.pow(F.col("weight") * F.col("standard_error"), 2)))).alias("_spread")]
+    error = [(F.col("_spread") / F.col("coverage")).alias("standard_error")] * banded
     values = (
         joined.groupBy("geography_id", "date")
         .agg(
             F.sum(F.col("weight") * F.col("index_value")).alias("_sum"),
             F.sum("weight").alias("coverage"),
             F.count(F.lit(1)).alias("_seen"),
+            *spread,
         )
         .where(F.col("coverage") > 0)
         .join(sizes, "geography_id")
@@ -101,6 +113,7 @@ def laspeyres(
             (F.col("_sum") / F.col("coverage")).alias("index_value"),
             "coverage",
             (F.col("_tracts") - F.col("_seen")).alias("missing_tracts"),
+            *error,
         )
     )
     seen = placed.groupBy("geography_id", "tract_id").agg(F.count(F.lit(1)).alias("_seen"))
@@ -123,6 +136,28 @@ def laspeyres(
     return LaspeyresIndex(values, coverage, chosen)
 
 
+def laspeyres_from_fits(
+    fits: DataFrame,
+    weights: DataFrame,
+    mapping: DataFrame,
+    options: FitOptions = FitOptions(),
+    start: date | None = None,
+    end: date | None = None,
+    base_period: date | None = None,
+) -> LaspeyresIndex:
+    """The fixed-weight index straight from stored fits, with error bands.
+
+    fits: tract_id and the arrays of fit_repeat_sales or fit_robust. A level is the base value times the
+    exponential of its coefficient, and its error that times the coefficient's (delta method); a
+    period that no pair links to the first one has a level but no error.
+    """
+    series = index_series(fits, ["tract_id"], options)
+    error = F.when(F.col("identified"), F.col("index_value") * F.col("standard_error"))
+    return laspeyres(
+        series.select("tract_id", "date", "index_value", error.alias("standard_error")), weights, mapping, start, end, base_period
+    )
+
+
 def aggregate_hierarchy(
     series: DataFrame, raw: DataFrame, mapping: DataFrame, levels: tuple[str, ...] = ("tract_id", "cbsa_id", NATION)
 ) -> dict[str, LaspeyresIndex]:

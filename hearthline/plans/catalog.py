@@ -699,6 +699,15 @@ def laspeyres_area(days):
     return _laspeyres(days).values
 
 
+@staged_query
+def laspeyres_of_fits(days):
+    """Areas from yearly regressions of their tracts, weighted by value, with error bands."""
+    options = FitOptions(period="year", min_pairs=10)
+    fits = regression.fit_repeat_sales(_valid(days), ["tract_id"], options)
+    mapping = retail.tracts(days).select("tract_id", F.col("cbsa_id").alias("geography_id"))
+    return aggregate.laspeyres_from_fits(staged(fits, "fits"), _area_weights(days), mapping, options).values
+
+
 @query
 def laspeyres_coverage(days):
     return _laspeyres(days).coverage

@@ -476,6 +476,29 @@ PARTS.update(_least_squares("ols_year", "({} // 12)"))
 for _method in ("huber", "cauchy"):
     PARTS.update(_reweighted(f"by_{_method}", "ols_month", _method))
 
+# Yearly regressions of the tracts with ten pairs or more, a tract in the place of an area.
+PARTS["tract_months"] = (
+    ("months",),
+    """SELECT * REPLACE (tract_id AS cbsa_id) FROM months
+       WHERE tract_id IN (SELECT tract_id FROM months GROUP BY 1 HAVING count(*) >= 10)""",
+)
+PARTS.update(_least_squares("tract_year", "({} // 12)", "tract_months"))
+PARTS["fit_members"] = (
+    ("tract_year_solved", "tract_year_fit", "tracts"),
+    """SELECT t.cbsa_id AS geography_id, t.tract_id, make_date(CAST(o + idx AS BIGINT), 1, 1) AS date, 100 * exp(beta) AS x,
+              CASE WHEN NOT identified THEN NULL WHEN idx = 0 THEN 0.0
+                   WHEN pairs > n THEN 100 * exp(beta) * sqrt(inverse * rss / (pairs - n)) END AS e
+       FROM tract_year_solved s JOIN tract_year_fit f USING (cbsa_id) JOIN tracts t ON t.tract_id = s.cbsa_id""",
+)
+PARTS["fit_base"] = (
+    ("fit_members", "area_value"),
+    """SELECT v.geography_id, v.tract_id, v.weight FROM area_value v JOIN (
+         SELECT geography_id, arg_min(period, abs(period - base_year) * 10000 + period) AS period
+         FROM (SELECT DISTINCT geography_id, period FROM area_value)
+         JOIN (SELECT geography_id, year(min(date)) AS base_year FROM fit_members GROUP BY 1) USING (geography_id)
+         GROUP BY geography_id) USING (geography_id, period)""",
+)
+
 # Scenarios of the sensitivity analysis: every variant of the pairs is a group of its own.
 PARTS["spaced_months"] = (
     ("grown",),
@@ -1056,6 +1079,15 @@ SELECTS: dict[str, tuple[tuple[str, ...], str]] = {
         """SELECT geography_id, date, round(index_value, 6) AS index_value, round(coverage, 6) AS coverage, missing_tracts
            FROM area_laspeyres""",
     ),
+    "laspeyres_of_fits": (
+        ("fit_members", "fit_base"),
+        """SELECT geography_id, date, round(sum(weight * x) / sum(weight), 6) AS index_value, round(sum(weight), 6) AS coverage,
+             any_value(tracts) - count(*) AS missing_tracts,
+             CASE WHEN count(e) = count(*) THEN round(sqrt(sum(weight * e * weight * e)) / sum(weight), 6) END AS standard_error
+           FROM fit_members JOIN fit_base USING (geography_id, tract_id)
+           JOIN (SELECT geography_id, count(*) AS tracts FROM fit_base GROUP BY 1) USING (geography_id)
+           GROUP BY geography_id, date""",
+    ),
     "laspeyres_coverage": (
         ("area_base", "area_members", "area_spans"),
         """SELECT geography_id, round(sum(CASE WHEN seen = dates THEN weight ELSE 0 END) / sum(weight), 6) AS coverage_rate,

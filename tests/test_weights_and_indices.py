@@ -2,6 +2,7 @@ from datetime import date
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from hearthline import schemas
 from hearthline.config import FitOptions, SupertractOptions
@@ -105,6 +106,52 @@ def test_average_chain_and_difference(spark):
     assert full[date(2022, 1, 1)] == pytest.approx(100 * 1.10 * 1.05)
 
 
+def test_error_bands_from_fits_by_the_delta_method(spark, pairs_table, random_pairs):
+    rows = [(r[0], r[2], "X", *r[3:]) for r in random_pairs(200, months=6)]  # tracts A and B of area X
+    fits = regression.fit_repeat_sales(pairs_table(rows), ["tract_id"])
+    members = spark.createDataFrame([("A", "X"), ("B", "X"), ("C", "X")], "tract_id string, geography_id string")
+    shares = {"A": 0.5, "B": 0.3, "C": 0.2}
+    table = spark.createDataFrame([("X", 2015, "value", t, w) for t, w in shares.items()], "geography_id string, period int, weight_type string, tract_id string, weight double")
+    got = {r.date: r for r in aggregate.laspeyres_from_fits(fits, table, members).values.collect()}
+    series = {}
+    for r in regression.index_series(fits, ["tract_id"]).collect():
+        series.setdefault(r.date, {})[r.tract_id] = (r.index_value, r.index_value * r.standard_error)
+    assert got.keys() == series.keys()
+    for day, own in series.items():
+        whole = sum(shares[t] for t in own)
+        assert got[day].index_value == pytest.approx(sum(shares[t] * x for t, (x, _) in own.items()) / whole)
+        assert got[day].standard_error == pytest.approx(sum((shares[t] * e) ** 2 for t, (_, e) in own.items()) ** 0.5 / whole)
+        assert got[day].missing_tracts == 3 - len(own)
+    unlinked = fits.withColumn("identified", F.transform("identified", lambda x: F.lit(False)))
+    assert {r.standard_error for r in aggregate.laspeyres_from_fits(unlinked, table, members).values.collect()} == {None}
+
+
+def test_report_lists_kinds_scenarios_and_advice(spark, pairs_table, random_pairs):
+    chosen = [s for s in sensitivity.default_scenarios() if s.name in ("weight_upb", "strict_cagr_filter", "robust_huber")]
+    text = sensitivity.report_text(sensitivity.scenario_series(pairs_table(random_pairs(120, months=8)), chosen), chosen)
+    lines = text.split("\n")
+    assert [line for line in lines if line and not line.startswith("  ")][1:] == ["By kind of change", "By scenario", "Advice"]
+    assert sum(line.startswith("  ") and "points root mean square" in line for line in lines) == 3
+
+
+def test_an_error_in_a_fit_becomes_a_warning(spark, pairs_table, random_pairs, monkeypatch):
+    table, warnings = pairs_table(random_pairs(120, months=8)), []
+    chosen = [s for s in sensitivity.default_scenarios() if s.name in ("robust_huber", "robust_cauchy", "weight_upb")]
+    fit = sensitivity.fit_variants
+
+    def failing(pairs, keys, variants, options):
+        if "robust_cauchy" in variants:
+            raise RuntimeError("singular")
+        return fit(pairs, keys, variants, options)
+
+    monkeypatch.setattr(sensitivity, "fit_variants", failing)
+    found = {r.scenario for r in sensitivity.scenario_series(table, chosen, warnings=warnings).select("scenario").distinct().collect()}
+    assert found == {"base_case", "weight_upb", "robust_huber"}
+    assert warnings == ["scenario robust_cauchy left out: singular"]
+    with pytest.raises(ValueError):
+        sensitivity.scenario_series(table, chosen)
+
+
 def test_scenarios_equal_their_own_fits(spark, pairs_table, random_pairs):
     table = pairs_table(random_pairs(200, months=10))
     chosen = [s for s in sensitivity.default_scenarios() if s.name in ("outlier_threshold_3.0", "time_window_3y", "weight_upb", "strict_cagr_filter", "min_price_filter", "robust_huber")]
