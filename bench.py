@@ -13,7 +13,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from hearthline.plans.catalog import QUERIES  # noqa: E402
-from hearthline.session import build_session  # noqa: E402
+from hearthline.session import build_session, drop_staged  # noqa: E402
 
 HEADLINES = [
     "repeat_sale_pairs",
@@ -52,6 +52,7 @@ def main() -> None:
         began = time.perf_counter()
         QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
         timings[name] = round(time.perf_counter() - began, 3)
+        drop_staged(spark)
     print(
         json.dumps(
             {

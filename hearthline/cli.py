@@ -15,7 +15,7 @@ from hearthline.operators import quality, validate
 from hearthline.operators.geography import nearest_tracts
 from hearthline.operators.pairs import pair_sales
 from hearthline.plans.estimator import LEVELS, estimate_indices, require_demographics
-from hearthline.session import build_session, staged
+from hearthline.session import build_session, drop_staged, staged
 from hearthline.sources import files, generate, sinks
 
 
@@ -100,7 +100,9 @@ def main(argv: list[str] | None = None) -> None:
         make.add_argument(f"--{name}", type=int, default=default)
     make.set_defaults(run=_generate)
     args = parser.parse_args(argv)
-    args.run(build_session(), args)
+    spark = build_session()
+    args.run(spark, args)
+    drop_staged(spark)
 
 
 if __name__ == "__main__":

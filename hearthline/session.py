@@ -68,10 +68,28 @@ def spread(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
+# Places this driver has handed out and not dropped yet.
+_handed_out: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new place below the shared checkpoint folder."""
     use_checkpoint_folder(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    _handed_out.append(path)
+    return path
+
+
+def drop_staged(spark: SparkSession) -> int:
+    """Delete what this driver has staged so far; for the end of a run, when its results are written.
+
+    Tables not yet read to their end stand on staged folders and cannot be used after this.
+    """
+    jvm, count = spark.sparkContext._jvm, len(_handed_out)
+    while _handed_out:
+        path = jvm.org.apache.hadoop.fs.Path(_handed_out.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return count
 
 
 def staged(df: DataFrame, name: str = "stage") -> DataFrame:

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from hearthline import schemas
+from hearthline import schemas, session
 from hearthline.config import FitOptions
 from hearthline.operators import regression
 from hearthline.plans import service
@@ -168,3 +168,13 @@ def test_plain_folders_are_where_a_store_starts(spark, pairs_table, random_pairs
     assert files.load_pairs_between(spark, folder).count() == 50
     files.stored_pairs(spark, folder).replace(pairs_table(random_pairs(5)))
     assert files.load_pairs_between(spark, folder).count() == 5
+
+
+def test_what_was_staged_can_be_dropped(spark, monkeypatch):
+    monkeypatch.setattr(session, "_handed_out", [])
+    folder = session.scratch(spark, "place")
+    spark.range(3).write.parquet(folder)
+    assert session.staged(spark.range(4)).count() == 4 and spark.read.parquet(folder).count() == 3
+    assert session.drop_staged(spark) == 2 and session.drop_staged(spark) == 0
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(folder).count()
