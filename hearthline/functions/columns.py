@@ -14,6 +14,16 @@ def clean_number(name: str) -> Column:
     return F.nanvl(F.col(name).cast("double"), F.lit(None).cast("double"))
 
 
+def round_double(value: Column, digits: int) -> Column:
+    """Round the scaled double itself, ties away from zero, as C and other engines do.
+
+    Spark's own rounding goes by the shortest decimal form, which differs where a product
+    misses a tie by its last bit.
+    """
+    scale = F.lit(10.0**digits)
+    return F.round(value * scale) / scale
+
+
 def holds(condition: Column) -> Column:
     """Missing operands make a rule fail rather than become unknown."""
     return F.coalesce(condition, F.lit(False))

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hearthline.functions.columns import round_double
 from hearthline.operators.geography import square_tracts, with_codes
 from hearthline.operators.pairs import pair_daily_sales
 
@@ -75,7 +76,7 @@ def sales(days: DataFrame) -> DataFrame:
         _tract_id().alias("tract_id"),
         _cbsa_id().alias("cbsa_id"),
         "sale_date",
-        F.round(100 * F.col("p_retailprice") * (F.col("factor") / F.col("n")), 2).alias("sale_price"),
+        round_double(100 * F.col("p_retailprice") * (F.col("factor") / F.col("n")), 2).alias("sale_price"),
     )
 
 

@@ -40,6 +40,32 @@ def test_query_equals_plain_sql(spark, name):
     assert sorted(repr([r[c] for c in key]) for r in frame.collect()) == want
 
 
+@pytest.mark.parametrize("name", ["pair_metrics", "validated_pairs"])
+def test_prices_at_a_tie_and_growth_at_a_printed_digit_equal_the_sql(spark, tmp_path, name):
+    # In 1994 the price trend is exactly one: products of hundredths often end in half a cent.
+    base = duckdb.connect()
+    for table in ("nation", "region", "supplier"):
+        base.execute(f"COPY (FROM '{TABLES}/{table}.parquet') TO '{tmp_path}/{table}.parquet'")
+    base.execute(
+        f"""COPY (SELECT i AS p_partkey, 'x' AS p_name, 'Brand#' || (i % 9 + 1) AS p_brand, 'x' AS p_type, 1 AS p_size,
+                round(900 + i * 37 % 10000 / 100, 2) AS p_retailprice FROM range(2000) r(i)) TO '{tmp_path}/part.parquet'"""
+    )
+    base.execute(
+        f"""COPY (SELECT i AS l_orderkey, i % 2000 AS l_partkey, 1 AS l_suppkey, 1 AS l_linenumber,
+                CAST(1 + i * 7 % 50 AS DOUBLE) AS l_quantity, 1.0::DOUBLE AS l_extendedprice, CAST(i // 50 % 11 AS DOUBLE) / 100 AS l_discount,
+                CAST(i // 550 % 9 AS DOUBLE) / 100 AS l_tax, 'R' AS l_returnflag, 'O' AS l_linestatus,
+                TIMESTAMP '1994-01-01' + to_days(CAST(i // 2000 AS INT)) AS l_shipdate FROM range(700000) r(i)) TO '{tmp_path}/lineitem.parquet'"""
+    )
+    frame = QUERIES[name](spark, str(tmp_path))
+    names = ", ".join(frame.columns)
+    frame.write.parquet(str(tmp_path / "given"))
+    for path in glob.glob(f"{tmp_path}/*.parquet"):
+        base.execute(f"CREATE VIEW {os.path.basename(path)[:-8]} AS FROM '{path}'")
+    base.execute(f"CREATE TABLE wanted AS {statements()[name]}")
+    missing = base.execute(f"SELECT {names} FROM wanted EXCEPT ALL SELECT {names} FROM '{tmp_path}/given/*.parquet'").fetchall()
+    assert base.execute("SELECT count(*) FROM wanted").fetchone() == (frame.count(),) and not missing
+
+
 def test_every_statement_has_its_query():
     assert set(statements()) <= set(QUERIES)
 
