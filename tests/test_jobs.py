@@ -15,7 +15,7 @@ from hearthline.operators.geography import nearest_tracts
 from hearthline.plans import pipeline, service, store
 from hearthline.plans.catalog import QUERIES
 from hearthline.plans.oracle import statements
-from hearthline.sources import files, generate, sinks
+from hearthline.sources import files, generate, retail, sinks
 from hearthline.streaming.uploads import append_valid_pairs, arriving_pairs, rejections
 
 TABLES = "/root/testdata/sf0.001"
@@ -264,3 +264,16 @@ def test_command_line(spark, capsys):
         "--end-date", "2023-12-31", "--geography", "national", "--format", "json",
     ])
     assert spark.read.json(f"{folder}/index").count() > 0
+
+
+def test_lines_of_a_part_meet_once_in_tasks_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(retail, "LINES_A_TASK", 100)
+    days = retail.daily(spark, TABLES)
+    lines = retail.table(spark, TABLES, "lineitem").count()
+    placed = days.groupBy("l_partkey", F.spark_partition_id().alias("task")).agg(F.sum("n").alias("n")).collect()
+    assert sum(r.n for r in placed) == lines and len({r.l_partkey for r in placed}) == len(placed)
+    held = {t: sum(r.n for r in placed if r.task == t) for t in {r.task for r in placed}}
+    assert len(held) > lines / 100 / 2 and max(held.values()) < 400
+    # The lines are shuffled by part only, and nothing is summed before that.
+    plan = days._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("HashAggregate") < plan.index("REPARTITION_BY_NUM") and "HashAggregate" not in plan[plan.index("REPARTITION_BY_NUM"):]
