@@ -62,17 +62,20 @@ def daily(spark: SparkSession, folder: str) -> DataFrame:
 
     Almost every line has a day of its own, so sums before a shuffle would only fill memory.
     Lines go to their part's task once; the sums, the part join and later sums per part all
-    take place there.
+    take place there. The supplier join before it, which sorts lines unless suppliers are
+    few enough to broadcast, has tasks of the same bounded size.
     """
     source = table(spark, folder, "lineitem")
+    parts = _parts_of(source)
     lines = source.select(
         "l_partkey", F.col("l_suppkey").alias("s_suppkey"), F.col("l_shipdate").cast("date").alias("sale_date"),
         _factor().alias("factor"), (F.col("l_returnflag") == "R").alias("r"), (F.col("l_linestatus") == "O").alias("o"),
     )
     part = table(spark, folder, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_retailprice")
     return (
-        lines.join(_areas(spark, folder), "s_suppkey")
-        .repartition(_parts_of(source), "l_partkey")
+        lines.repartition(parts, "s_suppkey")
+        .join(_areas(spark, folder), "s_suppkey")
+        .repartition(parts, "l_partkey")
         .groupBy("l_partkey", "s_nationkey", "n_regionkey", "sale_date")
         .agg(
             F.count(F.lit(1)).alias("n"), F.sum("factor").alias("factor"),

@@ -279,6 +279,14 @@ def test_lines_of_a_part_meet_once_in_tasks_of_bounded_size(spark, monkeypatch):
     assert plan.index("HashAggregate") < plan.index("REPARTITION_BY_NUM") and "HashAggregate" not in plan[plan.index("REPARTITION_BY_NUM"):]
 
 
+def test_lines_meet_their_suppliers_in_tasks_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(retail, "LINES_A_TASK", 100)
+    parts = retail._parts_of(retail.table(spark, TABLES, "lineitem"))
+    plan = retail.daily(spark, TABLES)._jdf.queryExecution().executedPlan().toString()
+    by_supplier = [line for line in plan.splitlines() if "hashpartitioning(s_suppkey" in line and "REPARTITION_BY_NUM" in line]
+    assert by_supplier and all(f", {parts})" in line for line in by_supplier)
+
+
 @pytest.mark.parametrize("name", ["weights_redistributed", "weights_all_types"])
 def test_weights_read_stored_demographics(spark, name):
     assert any("/demographics-" in path for path in QUERIES[name](spark, TABLES).inputFiles())
