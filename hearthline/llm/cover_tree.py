@@ -1,6 +1,6 @@
 """Exact top-k inner products by dual-tree search over cover trees.
 
-Within a shard both the data and the block of queries are indexed by a cover tree: a node
+Both a shard of the data and a block of queries are indexed by a cover tree: a node
 has a centre and a radius that covers all below it, and children whose centres are taken
 farthest-first until they cover it at half the radius. The two trees are searched together.
 For centres q, p with radii r, s no query and vector below two nodes have a product above
@@ -8,8 +8,11 @@ For centres q, p with radii r, s no query and vector below two nodes have a prod
     q.p + r |p| + s |q| + r s,
 
 so a pair of nodes is dropped when that is below the worst kth score of the query group.
-Pairs of leaves are compared by one integer matrix product. Nothing is approximate: bounds
-carry a margin above the rounding of doubles, and ties at the kth score are never pruned.
+The kth scores of one shard hold for the next. Pairs of leaves are compared by one matrix
+product, and so are larger nodes where the bounds of the leaves below them would drop little.
+Nothing is approximate: bounds carry a margin above the rounding of doubles, ties at the
+kth score are never pruned, and products in single precision only tell, with a margin above
+their rounding, which queries have nothing to gain; scores are exact integers.
 """
 
 from __future__ import annotations
@@ -19,9 +22,14 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import Column, DataFrame
 
-from hearthline.llm.vectors import best_of, search
+from hearthline.llm.vectors import Best, query_blocks, search
 
 LEAF = 64
+# Queries of one matrix product, and the share that bounds of leaves must drop to be worth following.
+# Up to so many candidates a query are multiplied one by one.
+ROWS = 512
+FEW = 16
+DROPPED = 0.25
 SCALE = 1024
 NONE = np.iinfo(np.int64).min + 1
 
@@ -33,6 +41,30 @@ class Node:
     items: np.ndarray
     children: list[Node] = field(default_factory=list)
     norm: float = 0.0
+    below: Leaves | None = None
+
+
+class Leaves:
+    """What the bounds of all leaves below a node need, as arrays."""
+
+    def __init__(self, node: Node) -> None:
+        found, waiting = [], [node]
+        while waiting:
+            at = waiting.pop()
+            waiting += at.children
+            found += [] if at.children else [at]
+        self.centres = np.array([x.centre for x in found])
+        self.radii = np.array([x.radius for x in found])
+        self.norms = np.array([x.norm for x in found])
+        self.counts = np.array([len(x.items) for x in found])
+        self.starts = np.cumsum(self.counts) - self.counts
+        self.items = np.concatenate([x.items for x in found])
+
+
+def leaves(node: Node) -> Leaves:
+    if node.below is None:
+        node.below = Leaves(node)
+    return node.below
 
 
 def build(points: np.ndarray, items: np.ndarray | None = None, leaf: int = LEAF) -> Node:
@@ -69,14 +101,22 @@ def _largest(vectors: np.ndarray) -> float:
 
 
 class Search:
-    """Best k of the data for each query of one block."""
+    """Best k of the data for each query; data may come shard by shard."""
 
     def __init__(self, ids: np.ndarray, data: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> None:
-        self.ids, self.data, self.query_ids, self.queries, self.k = ids, data, query_ids, queries, k
-        self.scores = np.full((len(queries), k), NONE)
-        self.found = np.full((len(queries), k), np.iinfo(np.int64).max)
+        self.query_ids, self.queries, self.k = query_ids, queries, k
+        self.best = Best(len(queries), k, NONE)
         self.margin = 1e-9
-        self.most = _largest(data) * _largest(queries) * data.shape[1]
+        self.largest = _largest(queries)
+        self.turn_to(ids, data)
+
+    def turn_to(self, ids: np.ndarray, data: np.ndarray) -> None:
+        """Go on with other data; what was found stays."""
+        self.ids, self.data = ids, data
+        self.most = _largest(data) * self.largest * data.shape[1]
+        self.ordered = bool((ids[1:] > ids[:-1]).all())
+        # Twice what single precision may be off, for a query and a vector of length one.
+        self.slack = 2 * (data.shape[1] + 4) * 2.0**-24 * float(np.sqrt((data * data).sum(axis=1).max(initial=0)))
 
     def products(self, rows: np.ndarray, own: np.ndarray) -> np.ndarray:
         """Exact integer products: in doubles where none can round, else in integers.
@@ -95,30 +135,67 @@ class Search:
         return exact.astype(np.int64)
 
     def worst(self, node: Node) -> int:
-        return self.scores[node.items, -1].min()
+        return self.best.scores[node.items, -1].min()
 
     def bound(self, asked: Node, node: Node) -> float:
         middle = float(asked.centre @ node.centre)
         around = asked.radius * node.norm + node.radius * asked.norm + asked.radius * node.radius
         return middle + around + self.margin * (asked.norm * node.norm + around + 1)
 
+    def dropped(self, asked: Node, node: Node) -> float:
+        """Share of the products below two nodes that the bounds of their leaves would drop now."""
+        q, p = leaves(asked), leaves(node)
+        around = np.outer(q.radii, p.norms) + np.outer(q.norms, p.radii) + np.outer(q.radii, p.radii)
+        bounds = q.centres @ p.centres.T + around + self.margin * (np.outer(q.norms, p.norms) + around + 1)
+        worst = np.minimum.reduceat(self.best.scores[q.items, -1], q.starts)
+        return float(q.counts @ (bounds < worst[:, None]) @ p.counts) / (len(q.items) * len(p.items))
+
     def compare(self, asked: Node, node: Node) -> None:
-        rows, own = asked.items, node.items
+        own = node.items
+        single = self.data[own].astype(np.float32).T if self.most < 2.0**53 else None
+        for at in range(0, len(asked.items), ROWS):
+            rows = asked.items[at : at + ROWS]
+            if single is None:
+                self.take(rows, own)
+                continue
+            queries = self.queries[rows]
+            near = queries.astype(np.float32) @ single
+            need = (self.best.scores[rows, -1] - self.slack * np.sqrt((queries * queries).sum(axis=1))).astype(np.float32)
+            gain = np.flatnonzero(near.max(axis=1) >= need)
+            row, place = np.divmod(np.flatnonzero(near[gain] >= need[gain][:, None]), len(own))
+            if len(row) > FEW * len(gain):
+                self.take(rows[gain], own)
+            elif len(row):
+                row, place = gain[row], own[place]
+                scores = np.einsum("ij,ij->i", queries[row], self.data[place]).astype(np.int64)
+                row, ids = rows[row], self.ids[place]
+                last, name = self.best.scores[row, -1], self.best.found[row, -1]
+                better = ((scores > last) | ((scores == last) & (ids < name))) & (self.query_ids[row] != ids)
+                if better.any():
+                    self.best.add(row[better], ids[better], scores[better])
+
+    def take(self, rows: np.ndarray, own: np.ndarray) -> None:
+        """Add what is better than the kth found, or as good with a smaller id."""
         scores = self.products(rows, own)
         scores[self.query_ids[rows][:, None] == self.ids[own][None, :]] = NONE
-        promising = np.flatnonzero((scores >= self.scores[rows, -1][:, None]).any(axis=1))
-        for at in promising:
-            row = rows[at]
-            take = scores[at] >= self.scores[row, -1]
-            merged = np.concatenate((self.scores[row], scores[at][take]))
-            names = np.concatenate((self.found[row], self.ids[own][take]))
-            best = best_of(merged, names, self.k)
-            self.scores[row], self.found[row] = merged[best], names[best]
+        last, name = self.best.scores[rows, -1][:, None], self.best.found[rows, -1][:, None]
+        better = (scores > last) | ((scores == last) & (scores > NONE) & (self.ids[own][None, :] < name))
+        many = np.flatnonzero(better.sum(axis=1) > self.k) if self.ordered else []
+        if len(many):
+            some = np.where(better[many], scores[many], NONE)
+            least = np.partition(some, -self.k, axis=1)[:, -self.k][:, None]
+            above, level = some > least, some == least
+            room = self.k - above.sum(axis=1)[:, None]
+            better[many] = above | (level & (np.cumsum(level, axis=1) <= room))
+        row, place = np.nonzero(better)
+        if len(row):
+            self.best.add(rows[row], self.ids[own][place], scores[row, place])
 
     def visit(self, asked: Node, node: Node) -> None:
-        if self.bound(asked, node) < self.worst(asked):
+        worst = self.worst(asked)
+        if self.bound(asked, node) < worst:
             return
-        if not asked.children and not node.children:
+        if not asked.children and not node.children or worst > NONE and self.dropped(asked, node) < DROPPED:
             self.compare(asked, node)
         elif asked.children and (not node.children or asked.radius > node.radius):
             for child in asked.children:
@@ -127,10 +204,6 @@ class Search:
             for child in sorted(node.children, key=lambda c: -self.bound(asked, c)):
                 self.visit(asked, child)
 
-    def results(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        row, place = np.nonzero(self.scores > NONE)
-        return self.query_ids[row], self.found[row, place], self.scores[row, place]
-
 
 def top_k(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE) -> DataFrame:
     """(query_id, rank, vec_id, score): the k largest integer products for each query, exactly.
@@ -141,18 +214,21 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_i
     vectors stands for several candidates.
     """
 
-    def run(shard: list, query_ids: np.ndarray, asked: np.ndarray) -> tuple:
-        if len(shard) == 2:
-            ids, data = shard
-            data = np.floor(scale * data)
-            shard[1:] = [data, build(data)]
-        ids, data, tree = shard
+    def begin(query_ids: np.ndarray, asked: np.ndarray) -> tuple:
         asked = np.floor(scale * asked)
-        job = Search(ids, data, query_ids, asked, k)
-        job.visit(build(asked), tree)
-        return job.results()
+        blocks = [build(asked, rows) for rows in query_blocks(len(asked))]
+        job = Search(query_ids[:0], asked[:0], query_ids, asked, k)
+
+        def meet(ids: np.ndarray, data: np.ndarray) -> None:
+            data = np.floor(scale * data)
+            job.turn_to(ids, data)
+            tree = build(data)
+            for block in blocks:
+                job.visit(block, tree)
+
+        return meet, job.best.results
 
-    return search(vectors, queries, k, run, "long", id_col, vector_col)
+    return search(vectors, queries, k, begin, "long", id_col, vector_col)
 
 
 ORACLE = """

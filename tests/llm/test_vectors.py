@@ -83,3 +83,78 @@ def test_vantage_search_exact_with_factor_one_and_near_with_more(spark, rows, mo
     near = {(r.query_id, r.vec_id) for r in vantage.nearest(source, asked).collect()}
     assert len(near & {(w[0], w[2]) for w in want}) >= 0.9 * len(want)
     assert vantage.nearest(table(spark, []), asked).count() == 0
+
+
+def sent(df):
+    """Bytes that the exchanges of a table's plan got when it ran."""
+    waiting, total = [df._jdf.queryExecution().executedPlan()], 0
+    while waiting:
+        node = waiting.pop()
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            waiting.append(node.executedPlan())
+        elif "QueryStage" in name:
+            waiting.append(node.plan())
+        else:
+            total += node.metrics().apply("dataSize").value() if name == "Exchange" else 0
+            waiting += [node.children().apply(i) for i in range(node.children().size())]
+    return total
+
+
+@pytest.mark.parametrize("search", [cover_tree.top_k, lambda *a: vantage.nearest(*a, factor=1.0)])
+def test_what_a_search_sends_does_not_grow_with_blocks_of_queries(spark, monkeypatch, search):
+    rng = np.random.default_rng(4)
+    source = table(spark, list(enumerate(rng.normal(size=(6000, 16)).tolist())))
+    monkeypatch.setattr(vectors, "SHARD", 1000)
+    found = {}
+    for block in (600, 30):
+        monkeypatch.setattr(vectors, "QUERY_BLOCK", block)
+        df = search(source, F.col("id") % 10 == 0, 10)
+        rows = df.collect()
+        found[block] = sent(df), sorted((r.query_id, r["rank"], r.vec_id) for r in rows)
+    assert found[30][1] == found[600][1] and len(found[30][1]) == 6000
+    assert 6000 * 64 < found[30][0] < 1.2 * found[600][0]
+
+
+def test_groups_of_queries_and_shards_change_no_result(spark, rows, monkeypatch):
+    monkeypatch.setattr(vectors, "SHARD", 40)
+    monkeypatch.setattr(vectors, "HELD", 300)
+    monkeypatch.setattr(vectors, "RETURNED", 7)
+    asked = F.col("id") % 20 == 0
+    found = cover_tree.top_k(table(spark, rows), asked).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in found) == brute(rows, 20, 10, integer, finite)
+    nonzero = [(i, v) for i, v in rows if finite(v) and any(v)]
+    exact = vantage.nearest(table(spark, nonzero), asked, factor=1.0).collect()
+    want = brute(nonzero, 20, 20, lambda a, b: float(a @ b), finite)
+    assert sorted((r.query_id, r["rank"], r.vec_id) for r in exact) == [w[:3] for w in want]
+
+
+@pytest.mark.parametrize("size", [1.0, 1e5, 3e8])
+def test_ties_and_common_vectors_from_shard_to_shard(size):
+    # Vectors that many ids share, at products that single precision cannot tell apart, and beyond doubles.
+    rng = np.random.default_rng(6)
+    data = np.floor(size * rng.integers(-3, 4, size=(700, 4)))
+    data[200:500] = data[3]
+    data[500:600] = data[4] + 1
+    ids = rng.permutation(700)
+    job = cover_tree.Search(ids[:0], data[:0], ids[::7], data[::7], 5)
+    asked = cover_tree.build(data[::7], leaf=8)
+    for part in np.array_split(np.argsort(ids) if size > 1 else np.arange(700), 4):
+        job.turn_to(ids[part], data[part])
+        job.visit(asked, cover_tree.build(data[part], leaf=16))
+    row, found, scores = job.best.results()
+    whole = [[int(x) for x in v] for v in data]
+    for at in range(0, 700, 7):
+        products = ((-sum(x * y for x, y in zip(whole[at], v, strict=True)), i) for i, v in zip(ids, whole, strict=True) if i != ids[at])
+        best = sorted(products)[:5]
+        mine = row == at // 7
+        assert [(-s, i) for s, i in zip(scores[mine].tolist(), found[mine].tolist(), strict=True)] == [(s, int(i)) for s, i in best]
+
+
+def test_best_counts_equal_ids_and_scores_once():
+    best = vectors.Best(2, 3, -np.inf)
+    best.add(np.array([1, 1, 1, 0]), np.array([7, 7, 5, 9]), np.array([2.0, 2.0, 2.0, 1.0]))
+    best.add(np.array([1, 1]), np.array([7, 8]), np.array([2.0, 1.0]))
+    best.add(np.array([1]), np.array([7]), np.array([1.5]))
+    row, found, scores = best.results()
+    assert list(zip(row.tolist(), found.tolist(), scores.tolist(), strict=True)) == [(0, 9, 1.0), (1, 5, 2.0), (1, 7, 2.0), (1, 7, 1.5)]
