@@ -5,6 +5,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from hearthline.llm import simhash
 from hearthline.llm.queries import ORACLE_SQL, QUERIES
 
 
@@ -54,6 +55,26 @@ def test_stages_on_a_small_corpus(spark, prose, tmp_path):
     assert np.isclose(len(ids["mixing"]), len(once), rtol=0.3)
 
 
+def test_near_duplicates_are_those_of_simhash_and_of_the_set_join(spark, documents, prose):
+    def edited(seed, **places):
+        words = prose(40, seed).split()
+        for place, word in places.items():
+            words[int(place[1:])] = word
+        return " ".join(words)
+
+    # Rows 3 and 9 share 0.76 of their shingles, but their fingerprints are two bits apart; 9 and 12 share 0.85.
+    # Rows 4 and 5 share 0.76 too, with fingerprints further apart.
+    texts = [(9, edited(0)), (3, edited(0, w20="edit861")), (12, edited(0, w1="other", w39="end")), (4, edited(1)), (5, edited(1, w20="edit")), (6, None), (7, None)]
+    texts += [(None, edited(0)), (8, edited(2)), (8, edited(2)), (8, edited(3))]
+    docs = documents([(i, t, "a") for i, t in texts])
+    by = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs.where("doc_id < 8"), shingle=5, distinct=True).collect()}
+    assert by[4] != by[5] and by[6] == by[7]
+    kept = corpus_pipeline.without_near_duplicates(spark, docs, "")
+    assert kept.columns == docs.columns
+    want = [(3, edited(0, w20="edit861")), (4, edited(1)), (5, edited(1, w20="edit")), (6, None), (8, edited(2)), (8, edited(3)), (None, edited(0))]
+    assert sorted((str(r.doc_id), str(r.text)) for r in kept.collect()) == sorted((str(i), str(t)) for i, t in want)
+
+
 def test_every_operator_has_a_query():
     numbers = sorted(int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op"))
     assert numbers == list(range(1, 11)) and "pipeline" in QUERIES
