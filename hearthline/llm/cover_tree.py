@@ -215,7 +215,8 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_i
     """
 
     def begin(query_ids: np.ndarray, asked: np.ndarray) -> tuple:
-        asked = np.floor(scale * asked)
+        asked *= scale
+        np.floor(asked, out=asked)
         blocks = [build(asked, rows) for rows in query_blocks(len(asked))]
         job = Search(query_ids[:0], asked[:0], query_ids, asked, k)
 

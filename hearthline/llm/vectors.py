@@ -81,7 +81,10 @@ def _runs(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndar
     key, ids, vectors = (0, 0), [], []
 
     def whole() -> tuple[int, int, np.ndarray, np.ndarray]:
-        return *key, *_once(np.concatenate(ids), np.concatenate(vectors, dtype=np.float64))
+        found = _once(np.concatenate(ids), np.concatenate(vectors, dtype=np.float64))
+        ids.clear()  # the rows as they came go before the next are read
+        vectors.clear()
+        return *key, *found
 
     for batch in batches:
         shard, width = batch.column("shard").to_numpy(), batch.column("width").to_numpy()
@@ -91,7 +94,6 @@ def _runs(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndar
                 continue
             if ids and key != (shard[start], width[start]):
                 yield whole()
-                ids, vectors = [], []
             key = int(shard[start]), int(width[start])
             part = batch.slice(start, stop - start)
             ids.append(part.column("id").to_numpy())
@@ -106,9 +108,9 @@ def search(
 ) -> DataFrame:
     """(query_id, rank, vec_id, score), the k best per query.
 
-    ``begin`` gets the ids and vectors of a group of queries and gives two functions: one
-    takes the ids and vectors of a shard, the other gives ``Best.results`` over the shards
-    so far. Vectors of different lengths are searched apart from each other.
+    ``begin`` gets the ids and vectors of a group of queries, which it may overwrite, and
+    gives two functions: one takes the ids and vectors of a shard, the other gives
+    ``Best.results`` over the shards so far. Vectors of different lengths are searched apart from each other.
     """
     plain = column_set(vectors, id_col, vector_col).toDF("id", "vector")
     sent = "array<float>" if plain.schema["vector"].dataType.simpleString() == "array<float>" else "array<double>"
